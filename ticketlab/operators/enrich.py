@@ -92,7 +92,7 @@ def _attach(left: DataFrame, sides) -> DataFrame:
 
 def can_broadcast(df: DataFrame) -> bool:
     """Whether Catalyst's size estimate is within the session's broadcast threshold."""
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
     return size <= df.sparkSession._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold()
 
 

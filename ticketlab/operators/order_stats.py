@@ -11,7 +11,7 @@ import tempfile
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Row, Window
+from pyspark.sql import Column, DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 
 BUCKETS = 256
@@ -19,14 +19,12 @@ SMALL_TIE = 10_000  # rows sharing a leading key that are ordered directly
 DIGITS = 3  # hexadecimal digits per step of the hash sample: 4096 counters
 
 
-def pin(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the session's checkpoint folder and return it read back.
+def shared_folder(spark: SparkSession) -> str:
+    """The checkpoint folder of the session: the one named in ``spark.checkpoint.dir``.
 
-    Range boundaries come from sampling, so a frame that is used twice after a range
-    partitioning must be fixed first. The folder is the one named in
-    ``spark.checkpoint.dir``; only local sessions without one get a folder of their own.
+    Only a local session without that setting gets a folder of its own.
     """
-    context = df.sparkSession.sparkContext
+    context = spark.sparkContext
     if context.getCheckpointDir() is None:
         folder = context.getConf().get("spark.checkpoint.dir")
         if folder is None:
@@ -34,6 +32,16 @@ def pin(df: DataFrame) -> DataFrame:
                 raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
             folder = tempfile.mkdtemp(prefix="ticketlab-checkpoint-")
         context.setCheckpointDir(folder)
+    return context.getCheckpointDir()
+
+
+def pin(df: DataFrame) -> DataFrame:
+    """Write ``df`` to the checkpoint folder and return it read back.
+
+    Range boundaries come from sampling, so a frame that is used twice after a range
+    partitioning must be fixed first.
+    """
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql.types import StructType
+from pyspark.sql.types import DoubleType, IntegerType, LongType, StringType, StructType
 
 # --- fixed values: column names, types and order of the input files ----------------------
 TICKETS_DDL = """
@@ -79,12 +79,24 @@ REVIEW_COLUMNS = (
 )
 # -----------------------------------------------------------------------------------------
 
-TICKETS = StructType.fromDDL(TICKETS_DDL)
+_TYPES = {"string": StringType(), "int": IntegerType(), "bigint": LongType(), "double": DoubleType()}
+
+
+def _struct(ddl: str) -> StructType:
+    # StructType.fromDDL needs a running session, which an import must not.
+    out = StructType()
+    for field in ddl.split(","):
+        name, kind = field.split()
+        out = out.add(name, _TYPES[kind])
+    return out
+
+
+TICKETS = _struct(TICKETS_DDL)
 AGGREGATES = {
-    "bettor_stats": StructType.fromDDL(BETTOR_STATS_DDL),
-    "rejected": StructType.fromDDL(REJECTED_DDL),
-    "risk_tier": StructType.fromDDL(RISK_TIER_DDL),
-    "stake_size": StructType.fromDDL(STAKE_SIZE_DDL),
+    "bettor_stats": _struct(BETTOR_STATS_DDL),
+    "rejected": _struct(REJECTED_DDL),
+    "risk_tier": _struct(RISK_TIER_DDL),
+    "stake_size": _struct(STAKE_SIZE_DDL),
 }
 
 
