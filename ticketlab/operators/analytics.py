@@ -44,13 +44,18 @@ def shape(df: DataFrame) -> DataFrame:
     )
 
 
+def _n_distinct(df: DataFrame, column: str) -> Column:
+    """Distinct non-null values, as a subquery that reads this column alone.
+
+    Several distinct counts in one aggregation would repeat every row once per count.
+    """
+    return df.select(column).filter(F.col(column).isNotNull()).distinct().agg(F.count("*")).scalar()
+
+
 def overview(df: DataFrame, scale: int | None = None) -> DataFrame:
     """Headline numbers, one row."""
     return df.agg(
         F.count("*").alias("n"),
-        F.countDistinct("bettor_id").alias("n_bettors"),
-        F.countDistinct("sport").alias("n_sports"),
-        F.countDistinct("match_id").alias("n_matches"),
         _state("won").alias("n_won"),
         _state("lost").alias("n_lost"),
         _state("rejected").alias("n_rejected"),
@@ -58,7 +63,20 @@ def overview(df: DataFrame, scale: int | None = None) -> DataFrame:
         F.count(TARGET).alias("n_clv_nonnull"),
         fn.total("stake", scale).alias("total_stake"),
         fn.total("pnl", scale).alias("total_pnl"),
-    ).withColumn("med_clv", order_stats.median(df, TARGET).scalar())
+    ).select(
+        "n",
+        _n_distinct(df, "bettor_id").alias("n_bettors"),
+        _n_distinct(df, "sport").alias("n_sports"),
+        _n_distinct(df, "match_id").alias("n_matches"),
+        "n_won",
+        "n_lost",
+        "n_rejected",
+        "avg_clv",
+        order_stats.median(df, TARGET).scalar().alias("med_clv"),
+        "n_clv_nonnull",
+        "total_stake",
+        "total_pnl",
+    )
 
 
 def target_stats(df: DataFrame, column: str = TARGET, scale: int | None = None) -> DataFrame:

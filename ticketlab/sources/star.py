@@ -32,20 +32,29 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The line items, spread over all cores if their files are read by fewer tasks."""
+    df = table(spark, sf_dir, "lineitem")
+    cores = spark.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < cores:
+        df = df.repartition(cores, "l_orderkey", "l_linenumber")
+    return df
+
+
 def _text(c: Column | str) -> Column:
     return fn.col(c).cast("string")
 
 
 def tickets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One ticket per line item, in the ticket schema."""
-    lines = table(spark, sf_dir, "lineitem").select(
+    items = lines(spark, sf_dir).select(
         "*",
         F.round(F.col("l_extendedprice") * 100).cast("bigint").alias("cents"),
         F.round(F.col("l_discount") * 100).cast("bigint").alias("d"),
         F.round(F.col("l_tax") * 100).cast("bigint").alias("t"),
     )
     joined = (
-        lines.join(table(spark, sf_dir, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
+        items.join(table(spark, sf_dir, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
         .join(table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey"))
         .join(table(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey"))
     )
