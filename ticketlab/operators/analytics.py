@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ticketlab import functions as fn
@@ -32,9 +32,18 @@ def register(df: DataFrame, name: str = "tickets") -> None:
     df.createOrReplaceTempView(name)
 
 
-def with_share(grouped: DataFrame, count: str = "n", name: str = "pct") -> DataFrame:
-    """Percentage of the total of ``count``, to one decimal."""
-    whole = grouped.agg(F.sum(count)).scalar()
+def with_share(
+    grouped: DataFrame, count: str = "n", name: str = "pct", few: bool = False
+) -> DataFrame:
+    """Percentage of the total of ``count``, to one decimal.
+
+    ``few`` says that the groups are a fixed handful, so that one task can see them all;
+    otherwise the total is a subquery over the grouped rows.
+    """
+    if few:
+        whole = F.sum(count).over(Window.partitionBy(F.lit(0)))
+    else:
+        whole = grouped.agg(F.sum(count)).scalar()
     return grouped.withColumn(name, fn.percent(F.col(count), whole))
 
 
@@ -109,7 +118,7 @@ def tier_summary(
             fn.round_half_away(fn.total("pnl", scale), 2).alias("total_pnl"),
         )
     )
-    return with_share(grouped).orderBy("tier")
+    return with_share(grouped, few=True).orderBy("tier")
 
 
 def band_distribution(

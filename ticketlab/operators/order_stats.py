@@ -8,6 +8,7 @@ number of rows ahead of it. Only blocks that hold a wanted rank are then looked
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Sequence
 from functools import reduce
 
@@ -36,13 +37,15 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def pin(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the checkpoint folder and return it read back.
+    """Write ``df`` as a table in the checkpoint folder and return it read back.
 
     Range boundaries come from sampling, so a frame that is used twice after a range
-    partitioning must be fixed first.
+    partitioning must be fixed first. A table survives the loss of executors, cuts the
+    lineage, and lets later steps read only the columns they need.
     """
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+    path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def _blocks(counts: DataFrame, by: Sequence[str], order: Sequence[str], weight: str):

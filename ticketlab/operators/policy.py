@@ -20,7 +20,7 @@ def classify_bands(df: DataFrame, score: str, bands) -> DataFrame:
 
 def tier_share(df: DataFrame) -> DataFrame:
     """Count and percentage of each tier."""
-    return with_share(df.groupBy("model_tier").agg(F.count("*").alias("n")))
+    return with_share(df.groupBy("model_tier").agg(F.count("*").alias("n")), few=True)
 
 
 def _factual() -> Column:

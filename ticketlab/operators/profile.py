@@ -36,18 +36,66 @@ def feature_coverage(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     )
 
 
-def _corr(a: str, b: str) -> Column:
-    return fn.nan_to_null(
-        F.corr(fn.nan_to_null(F.col(a).cast("double")), fn.nan_to_null(F.col(b).cast("double")))
-    )
+def _correlations(df: DataFrame, columns: Sequence[str], pairs) -> tuple[DataFrame, list[Column]]:
+    """One row of sums, and the correlation of each pair as an expression over it.
+
+    A pair counts the rows where both values are present.
+
+    A first pass takes means, so that the sums of the second are of centred values and do
+    not cancel. Columns without gaps share their sums; each pair of them adds one product.
+    """
+    values = {c: fn.nan_to_null(F.col(c).cast("double")) for c in columns}
+    seen = df.agg(
+        F.count("*").alias("n"),
+        *[
+            f(v).alias(f"{name}{i}")
+            for i, v in enumerate(values.values())
+            for name, f in (("count", F.count), ("mean", F.avg), ("lo", F.min), ("hi", F.max))
+        ],
+    ).first()
+    centred, whole, flat = {}, set(), set()
+    for i, (c, v) in enumerate(values.items()):
+        centred[c] = (i, v - F.lit(seen[f"mean{i}"]))
+        if seen[f"count{i}"] == seen["n"]:
+            whole.add(c)
+        if seen[f"lo{i}"] == seen[f"hi{i}"]:
+            flat.add(c)
+    sums: dict[str, Column] = {"n": F.count("*").cast("double")}
+
+    def needed(name: str, total: Column) -> Column:
+        sums.setdefault(name, total)
+        return F.col(name)
+
+    results = []
+    for a, b in pairs:
+        if a in flat or b in flat:
+            results.append(F.lit(None).cast("double"))
+            continue
+        (i, x), (j, y) = centred[a], centred[b]
+        left, right, n = f"{i}", f"{j}", "n"
+        if not (a in whole and b in whole):
+            both = x.isNotNull() & y.isNotNull()
+            x, y = F.when(both, x), F.when(both, y)
+            left, right, n = f"{i}of{i}_{j}", f"{j}of{i}_{j}", f"n{i}_{j}"
+        count = needed(n, F.count(x).cast("double"))
+        sx, sy = needed(f"s{left}", F.sum(x)), needed(f"s{right}", F.sum(y))
+        xx = needed(f"q{left}", F.sum(x * x)) - sx * sx / count
+        yy = needed(f"q{right}", F.sum(y * y)) - sy * sy / count
+        xy = needed(f"p{i}_{j}", F.sum(x * y)) - sx * sy / count
+        spread = F.sqrt(xx) * F.sqrt(yy)
+        results.append(F.when((count > 0) & (xx > 0) & (yy > 0), xy / spread))
+    measured = df.agg(*[total.alias(name) for name, total in sums.items()])
+    return measured, [F.greatest(F.least(r, F.lit(1.0)), F.lit(-1.0)) for r in results]
 
 
 def _pairs(df: DataFrame, pairs: Sequence[tuple[str, str]], mirrored: bool) -> DataFrame:
-    """Long table of correlations, each over the rows where both values are present."""
+    """Long table of correlations."""
     parts = []
     for start in range(0, len(pairs), PAIRS_PER_PASS):
         chunk = pairs[start : start + PAIRS_PER_PASS]
-        measured = df.agg(*[_corr(a, b).alias(f"r{i}") for i, (a, b) in enumerate(chunk)])
+        columns = list(dict.fromkeys(c for pair in chunk for c in pair))
+        sums, results = _correlations(df, columns, chunk)
+        measured = sums.select(*[r.alias(f"r{i}") for i, r in enumerate(results)])
         rows = []
         for i, (a, b) in enumerate(chunk):
             both = [(a, b), (b, a)] if mirrored and a != b else [(a, b)]

@@ -44,6 +44,11 @@ def scratch(spark: SparkSession) -> str:
     return f"{order_stats.shared_folder(spark)}/run-{uuid.uuid4().hex[:12]}"
 
 
+def once(df: DataFrame, *columns: str) -> DataFrame:
+    """The named columns written once, for operators that pass over them several times."""
+    return order_stats.pin(df.select(*columns))
+
+
 def rounded(df: DataFrame, digits: int, *columns: str) -> DataFrame:
     return df.withColumns({c: fn.round_half_away(c, digits) for c in columns})
 
@@ -56,7 +61,8 @@ def sides(spark, sf):
 
 
 def merged(spark, sf):
-    return enrich.enrich(tickets(spark, sf), sides(spark, sf), MONEY)
+    stored = order_stats.pin(tickets(spark, sf))
+    return enrich.enrich(stored, star.aggregates(stored, MONEY), MONEY)
 
 
 def featured(spark, sf):
@@ -105,14 +111,22 @@ def risk_rollup(spark, sf):
 
 
 def overview(spark, sf):
-    return rounded(analytics.overview(tickets(spark, sf), MONEY), 6, "avg_clv", "med_clv")
+    df = once(
+        tickets(spark, sf), "bettor_id", "sport", "match_id", "ticket_state", TARGET, "stake", "pnl"
+    )
+    return rounded(analytics.overview(df, MONEY), 6, "avg_clv", "med_clv")
 
 
 def target_stats(spark, sf):
-    df = analytics.target_stats(tickets(spark, sf), TARGET, MONEY)
+    df = analytics.target_stats(once(tickets(spark, sf), TARGET), TARGET, MONEY)
     return rounded(df, 6, "mean_val", "std_val", "median_val")
 
 
+def clv_by_state(spark, sf):
+    df = once(tickets(spark, sf), "ticket_state", TARGET, "stake", "pnl")
+    return analytics.clv_by_state(df, MONEY)
+
+
 def browse(spark, sf):
     return analytics.browse(
         tickets(spark, sf),
@@ -176,30 +190,32 @@ def resolve_features(spark, sf):
     return df.select("ticket_id", *features.resolve_features(df, DEFAULT_FEATURES))
 
 
+SPLIT = ("ticket_id", "created_at", TARGET)
+
 # --- splits --------------------------------------------------------------------------------
 
 
 def split_kept(spark, sf):
-    return split.temporal_split(kept(spark, sf)).select("ticket_id", "split")
+    return split.temporal_split(once(kept(spark, sf), *SPLIT)).select("ticket_id", "split")
 
 
 def split_source(spark, sf):
     rows = tickets(spark, sf).count()
-    df = split.temporal_split(kept(spark, sf), basis="source", source_rows=rows)
+    df = split.temporal_split(once(kept(spark, sf), *SPLIT), basis="source", source_rows=rows)
     return split.split_counts(df)
 
 
 def split_counts(spark, sf):
-    return split.split_counts(split.temporal_split(kept(spark, sf)))
+    return split.split_counts(split.temporal_split(once(kept(spark, sf), *SPLIT)))
 
 
 def label_stats(spark, sf):
-    df = split.label_stats(split.temporal_split(kept(spark, sf)), TARGET, MONEY)
+    df = split.label_stats(split.temporal_split(once(kept(spark, sf), *SPLIT)), TARGET, MONEY)
     return rounded(df, 6, "mean_label", "std_label")
 
 
 def cap_rows(spark, sf):
-    return split.cap_rows(kept(spark, sf), 5000).select("ticket_id", "created_at")
+    return split.cap_rows(once(kept(spark, sf), *SPLIT), 5000).select("ticket_id", "created_at")
 
 
 # --- policy --------------------------------------------------------------------------------
@@ -230,24 +246,24 @@ def policy_summary(spark, sf):
 
 
 def regression_metrics(spark, sf):
-    df = calibration.regression_metrics(scored(spark, sf))
+    df = calibration.regression_metrics(once(scored(spark, sf), TARGET, "pred"))
     return rounded(df, 6, *df.columns)
 
 
 def calibration_report(spark, sf):
-    df = calibration.calibration_report(scored(spark, sf))
+    df = calibration.calibration_report(once(scored(spark, sf), TARGET, "pred"))
     return rounded(df, 6, "mean_predicted", "mean_actual", "abs_error")
 
 
 def calibration_bins(spark, sf):
-    df = calibration.calibration_bins(scored(spark, sf))
+    df = calibration.calibration_bins(once(scored(spark, sf), TARGET, "pred"))
     return rounded(df, 6, "mean_pred", "mean_actual", "std_actual")
 
 
 def isotonic(spark, sf):
     """Calibrated value of each score, with scores rounded to few levels."""
     level = F.floor(F.col("pred") * 100 + 0.5) / 100
-    df = scored(spark, sf).select(level.alias("score"), TARGET)
+    df = once(scored(spark, sf).withColumn("score", level), "score", TARGET)
     calibrator = calibration.fit_calibrator(df, TARGET, "score")
     levels = df.groupBy("score").agg(F.count("*").alias("n"))
     return rounded(calibration.calibrate(levels, calibrator, "score", "calibrated"), 6, "calibrated")
@@ -259,12 +275,12 @@ REVIEW = ["ticket_id", "sport", "ticket_state", "stake", "predicted_clv", TARGET
 
 
 def worst_50(spark, sf):
-    return review.worst(pending(spark, sf)).select(*REVIEW)
+    return review.worst(once(pending(spark, sf), *REVIEW))
 
 
 def review_sample(spark, sf):
     df = tiered(spark, sf).withColumn("predicted_clv", F.col("pred"))
-    return review.review_sample(df).select(*REVIEW)
+    return review.review_sample(once(df, *REVIEW, "model_tier")).select(*REVIEW)
 
 
 def review_points(spark, sf):
@@ -289,15 +305,15 @@ def review_states(spark, sf):
 
 
 def histogram(spark, sf):
-    return rounded(review.histogram(features.with_sharp(pending(spark, sf))), 6, "bin_lo")
+    return rounded(review.histogram(features.with_sharp(once(pending(spark, sf), TARGET))), 6, "bin_lo")
 
 
 def scatter_points(spark, sf):
-    return review.scatter_points(scored(spark, sf))
+    return review.scatter_points(once(scored(spark, sf), "ticket_id", TARGET, "pred"))
 
 
 def sample_n(spark, sf):
-    return review.sample_n(kept(spark, sf), 2000, 7).select("ticket_id", TARGET)
+    return review.sample_n(once(kept(spark, sf), "ticket_id", TARGET), 2000, 7)
 
 
 # --- profile -------------------------------------------------------------------------------
@@ -309,25 +325,30 @@ def feature_coverage(spark, sf):
     return rounded(out, 6, "non_null_pct")
 
 
+def profiled(spark, sf):
+    return once(featured(spark, sf), *PROFILE_NUMBERS, TARGET)
+
+
 def corr_with_target(spark, sf):
-    df = profile.corr_with_target(featured(spark, sf), PROFILE_NUMBERS)
+    df = profile.corr_with_target(profiled(spark, sf), PROFILE_NUMBERS)
     return rounded(df, 6, "abs_correlation")
 
 
 def corr_matrix(spark, sf):
-    df = profile.corr_matrix(featured(spark, sf), PROFILE_NUMBERS)
+    df = profile.corr_matrix(profiled(spark, sf), PROFILE_NUMBERS)
     return rounded(df, 6, "correlation")
 
 
 def high_corr_pairs(spark, sf):
-    return profile.high_corr_pairs(featured(spark, sf), PROFILE_NUMBERS, 0.4)
+    return profile.high_corr_pairs(profiled(spark, sf), PROFILE_NUMBERS, 0.4)
 
 
 # --- model ---------------------------------------------------------------------------------
 
 
 def _trained(spark, sf):
-    rows = order_stats.pin(split.temporal_split(featured(spark, sf)))
+    known = once(featured(spark, sf), "ticket_id", "created_at", TARGET, *DEFAULT_FEATURES)
+    rows = split.temporal_split(known)
     train_rows, val_rows = (rows.filter(F.col("split") == s) for s in ("train", "val"))
     fitted, _ = model.train(train_rows, DEFAULT_FEATURES, QUICK, val_rows)
     return fitted, rows
@@ -350,13 +371,14 @@ def permutation_importance(spark, sf):
 
 def permute(spark, sf):
     """A permuted column holds the same values as before."""
-    rows = kept(spark, sf).select("ticket_id", "stake")
+    rows = once(kept(spark, sf), "ticket_id", "stake")
     swapped = model.permute(rows, ["stake"], seed=7)
     return swapped.groupBy(F.col("_swap_stake").alias("stake")).agg(F.count("*").alias("n"))
 
 
 def feature_analysis(spark, sf):
-    sample = order_stats.pin(review.sample_n(featured(spark, sf), 5000, 42))
+    known = once(featured(spark, sf), "ticket_id", TARGET, *DEFAULT_FEATURES)
+    sample = order_stats.pin(review.sample_n(known, 5000, 42))
     _, gains = model.feature_analysis(sample, DEFAULT_FEATURES, scratch(spark), QUICK)
     return gains
 
@@ -390,7 +412,7 @@ def convert(spark, sf):
 
 def splits_roundtrip(spark, sf):
     path = f"{scratch(spark)}/splits"
-    df = split.temporal_split(kept(spark, sf)).select("ticket_id", TARGET, "split")
+    df = split.temporal_split(once(kept(spark, sf), *SPLIT)).select("ticket_id", TARGET, "split")
     files.ensure_splits(spark, path, lambda: df)
     return files.read_split(spark, path, "val")
 
@@ -470,7 +492,7 @@ QUERIES: dict[str, Query] = {
     "state_counts": on_tickets(analytics.state_counts),
     "state_distribution": on_tickets(analytics.state_distribution),
     "reject_reasons": on_tickets(analytics.reject_reasons),
-    "clv_by_state": on_tickets(analytics.clv_by_state, MONEY),
+    "clv_by_state": clv_by_state,
     "distinct_values": distinct_values,
     "browse": browse,
     "browse_count": browse_count,
