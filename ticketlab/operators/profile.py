@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ticketlab import functions as fn
@@ -36,56 +36,54 @@ def feature_coverage(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     )
 
 
-def _correlations(df: DataFrame, columns: Sequence[str], pairs) -> tuple[DataFrame, list[Column]]:
-    """One row of sums, and the correlation of each pair as an expression over it.
-
-    A pair counts the rows where both values are present.
+def _correlations(df: DataFrame, pairs: Sequence[tuple[str, str]]) -> DataFrame:
+    """One row with the correlation of each pair, over rows where both values are present.
 
     A first pass takes means, so that the sums of the second are of centred values and do
     not cancel. Columns without gaps share their sums; each pair of them adds one product.
     """
-    values = {c: fn.nan_to_null(F.col(c).cast("double")) for c in columns}
-    seen = df.agg(
-        F.count("*").alias("n"),
+    columns = list(dict.fromkeys(c for pair in pairs for c in pair))
+    index = {c: i for i, c in enumerate(columns)}
+    values = df.select(
+        *[fn.nan_to_null(F.col(c).cast("double")).alias(f"v{i}") for c, i in index.items()]
+    )
+    seen = values.selectExpr(
+        "count(*) AS n",
         *[
-            f(v).alias(f"{name}{i}")
-            for i, v in enumerate(values.values())
-            for name, f in (("count", F.count), ("mean", F.avg), ("lo", F.min), ("hi", F.max))
+            part
+            for i in index.values()
+            for part in (
+                f"count(v{i}) AS n{i}", f"avg(v{i}) AS m{i}", f"min(v{i}) AS lo{i}", f"max(v{i}) AS hi{i}"
+            )
         ],
     ).first()
-    centred, whole, flat = {}, set(), set()
-    for i, (c, v) in enumerate(values.items()):
-        centred[c] = (i, v - F.lit(seen[f"mean{i}"]))
-        if seen[f"count{i}"] == seen["n"]:
-            whole.add(c)
-        if seen[f"lo{i}"] == seen[f"hi{i}"]:
-            flat.add(c)
-    sums: dict[str, Column] = {"n": F.count("*").cast("double")}
-
-    def needed(name: str, total: Column) -> Column:
-        sums.setdefault(name, total)
-        return F.col(name)
-
+    whole = {i for i in index.values() if seen[f"n{i}"] == seen["n"]}
+    flat = {i for i in index.values() if seen[f"lo{i}"] == seen[f"hi{i}"]}
+    centred = values.select(
+        *[(F.col(f"v{i}") - F.lit(seen[f"m{i}"])).alias(f"z{i}") for i in index.values()]
+    )
+    sums = {"n": "CAST(count(*) AS DOUBLE)"}
     results = []
-    for a, b in pairs:
-        if a in flat or b in flat:
-            results.append(F.lit(None).cast("double"))
+    for k, (a, b) in enumerate(pairs):
+        i, j = index[a], index[b]
+        if i in flat or j in flat:
+            results.append(f"CAST(NULL AS DOUBLE) AS r{k}")
             continue
-        (i, x), (j, y) = centred[a], centred[b]
-        left, right, n = f"{i}", f"{j}", "n"
-        if not (a in whole and b in whole):
-            both = x.isNotNull() & y.isNotNull()
-            x, y = F.when(both, x), F.when(both, y)
-            left, right, n = f"{i}of{i}_{j}", f"{j}of{i}_{j}", f"n{i}_{j}"
-        count = needed(n, F.count(x).cast("double"))
-        sx, sy = needed(f"s{left}", F.sum(x)), needed(f"s{right}", F.sum(y))
-        xx = needed(f"q{left}", F.sum(x * x)) - sx * sx / count
-        yy = needed(f"q{right}", F.sum(y * y)) - sy * sy / count
-        xy = needed(f"p{i}_{j}", F.sum(x * y)) - sx * sy / count
-        spread = F.sqrt(xx) * F.sqrt(yy)
-        results.append(F.when((count > 0) & (xx > 0) & (yy > 0), xy / spread))
-    measured = df.agg(*[total.alias(name) for name, total in sums.items()])
-    return measured, [F.greatest(F.least(r, F.lit(1.0)), F.lit(-1.0)) for r in results]
+        if i in whole and j in whole:
+            x, y, left, right, n = f"z{i}", f"z{j}", f"_{i}", f"_{j}", "n"
+        else:
+            x, y = (f"IF(z{i} IS NOT NULL AND z{j} IS NOT NULL, z{c}, NULL)" for c in (i, j))
+            left, right, n = f"_{i}_{i}_{j}", f"_{j}_{i}_{j}", f"n_{i}_{j}"
+            sums[n] = f"CAST(count({x}) AS DOUBLE)"
+        for side, v in ((left, x), (right, y)):
+            sums[f"s{side}"], sums[f"q{side}"] = f"sum({v})", f"sum({v} * {v})"
+        sums[f"p_{i}_{j}"] = f"sum({x} * {y})"
+        xx, yy = (f"(q{side} - s{side} * s{side} / {n})" for side in (left, right))
+        xy = f"(p_{i}_{j} - s{left} * s{right} / {n})"
+        r = f"greatest(least({xy} / (sqrt({xx}) * sqrt({yy})), 1D), -1D)"
+        results.append(f"IF({n} > 0 AND {xx} > 0 AND {yy} > 0, {r}, NULL) AS r{k}")
+    measured = centred.selectExpr(*[f"{text} AS {name}" for name, text in sums.items()])
+    return measured.selectExpr(*results)
 
 
 def _pairs(df: DataFrame, pairs: Sequence[tuple[str, str]], mirrored: bool) -> DataFrame:
@@ -93,21 +91,11 @@ def _pairs(df: DataFrame, pairs: Sequence[tuple[str, str]], mirrored: bool) -> D
     parts = []
     for start in range(0, len(pairs), PAIRS_PER_PASS):
         chunk = pairs[start : start + PAIRS_PER_PASS]
-        columns = list(dict.fromkeys(c for pair in chunk for c in pair))
-        sums, results = _correlations(df, columns, chunk)
-        measured = sums.select(*[r.alias(f"r{i}") for i, r in enumerate(results)])
         rows = []
-        for i, (a, b) in enumerate(chunk):
-            both = [(a, b), (b, a)] if mirrored and a != b else [(a, b)]
-            rows += [
-                F.struct(
-                    F.lit(left).alias("feature_1"),
-                    F.lit(right).alias("feature_2"),
-                    F.col(f"r{i}").alias("correlation"),
-                )
-                for left, right in both
-            ]
-        parts.append(measured.select(F.inline(F.array(*rows))))
+        for k, (a, b) in enumerate(chunk):
+            for left, right in [(a, b), (b, a)] if mirrored and a != b else [(a, b)]:
+                rows.append(f"named_struct('feature_1', '{left}', 'feature_2', '{right}', 'correlation', r{k})")
+        parts.append(_correlations(df, chunk).selectExpr(f"inline(array({', '.join(rows)}))"))
     return reduce(DataFrame.unionByName, parts)
 
 
