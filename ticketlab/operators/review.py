@@ -82,9 +82,10 @@ def histogram(df: DataFrame, column: str = TARGET, by: str = "sharp", n_bins: in
     span = known.agg(F.struct(F.min(column).alias("lo"), F.max(column).alias("hi"))).scalar()
     lo, hi = span.getField("lo"), span.getField("hi")
     width = (hi - lo) / n_bins
-    place = F.least(F.floor(fn.ratio(F.col(column) - lo, width)), F.lit(n_bins - 1))
+    # Without spread the quotient is null and every value is in the first bin.
+    place = F.coalesce(F.floor(fn.ratio(F.col(column) - lo, width)), F.lit(0))
     return (
-        known.select(F.col(by), F.coalesce(place, F.lit(0)).cast("bigint").alias("bin"))
+        known.select(F.col(by), F.least(place, F.lit(n_bins - 1)).cast("bigint").alias("bin"))
         .groupBy("bin", by)
         .agg(F.count("*").alias("n"))
         .select("bin", by, (lo + F.col("bin") * width).alias("bin_lo"), "n")
