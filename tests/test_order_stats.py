@@ -71,7 +71,10 @@ def test_keys_at(frame, uneven, monkeypatch, tie):
         assert (k["v"], k["ticket_id"]) == ordered[p]
 
 
-def test_smallest(frame, uneven):
+@pytest.mark.parametrize("direct,factor", [(1_000_000, 100), (50, 3), (0, 1)])
+def test_smallest(frame, uneven, monkeypatch, direct, factor):
+    monkeypatch.setattr(o, "DIRECT", direct)
+    monkeypatch.setattr(o, "SAMPLE_FACTOR", factor)
     ordered = sorted((v, t) for t, _, v, _ in uneven)
     got = [(r["v"], r["ticket_id"]) for r in o.smallest(frame, ["v", "ticket_id"], 40).collect()]
     assert got == ordered[:40]
@@ -79,7 +82,9 @@ def test_smallest(frame, uneven):
     assert o.smallest(frame.filter("v > 99"), ["v", "ticket_id"], 5).count() == 0
 
 
-def test_smallest_puts_nulls_first(frame, uneven):
+def test_smallest_puts_nulls_first(frame, uneven, monkeypatch):
+    monkeypatch.setattr(o, "DIRECT", 100)
+    monkeypatch.setattr(o, "SAMPLE_FACTOR", 10)
     nulls = sorted(t for t, _, _, w in uneven if w is None)
     got = [r["ticket_id"] for r in o.smallest(frame, ["w", "ticket_id"], 10).collect()]
     assert got == nulls[:10]

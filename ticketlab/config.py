@@ -52,7 +52,7 @@ class BoostParams:
     huber_delta: float = 0.9
     max_bins: int = 255
     seed: int = 42
-    checkpoint_every: int = 5
+    checkpoint_every: int = 20
 
 
 @dataclass(frozen=True)

@@ -15,7 +15,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 
-BUCKETS = 256
+DIRECT = 1_000_000  # rows that may be ordered without a bound
+SAMPLE_FACTOR = 100  # rows sampled per wanted row when looking for a bound
 SMALL_TIE = 10_000  # rows sharing a leading key that are ordered directly
 DIGITS = 3  # hexadecimal digits per step of the hash sample: 4096 counters
 
@@ -240,24 +241,36 @@ def key_before(df: DataFrame, order: Sequence[str], key: Row, inclusive: bool =
 def smallest(df: DataFrame, order: Sequence[str], n: int) -> DataFrame:
     """The ``n`` rows with the smallest keys; ``order`` must be unique.
 
-    Keys alone are narrowed to ``n`` per bucket, before and after the shuffle, and then
-    overall. The wide rows are only filtered by the bound found that way.
+    A plain ordered limit hands ``n`` rows per input partition to one task. Here a bound
+    comes first: the ``n``-th smallest key of any part of the rows has at least ``n`` rows
+    up to it, so a random part yields a filter that is always valid and leaves about
+    ``n / part`` of the rows. This repeats until few enough are left to order.
     """
     order = list(order)
-    ranked = Window.partitionBy("_bucket").orderBy(*order)
-    bound = (
-        df.select(*order)
-        .withColumn("_bucket", F.pmod(F.xxhash64(*order), F.lit(BUCKETS)))
-        .withColumn("_rank", F.row_number().over(ranked))
-        .filter(F.col("_rank") <= n)
-        .orderBy(*order)
-        .limit(n)
-        .agg(F.max(F.struct(*order)).alias("key"))
-        .first()["key"]
-    )
-    if bound is None:
-        return df.limit(0)
-    return df.filter(key_before(df, order, bound, inclusive=True)).orderBy(*order).limit(n)
+    keys = df.select(*order)
+    bound, left = None, keys.count()
+    while left > max(DIRECT, 2 * SAMPLE_FACTOR * n):
+        part = keys.sample(SAMPLE_FACTOR * n / left, seed=left % 1_000_003)
+        top = _last_of(part, order, n)
+        if top["n"] < n:
+            break
+        bound = top["key"]
+        keys = df.filter(key_before(df, order, bound, inclusive=True)).select(*order)
+        before, left = left, keys.count()
+        if left > before // 2:
+            break
+    if left > DIRECT:
+        # The bound is narrowed to the answer on the keys alone, before wide rows are read.
+        bound = _last_of(keys, order, n)["key"]
+    if bound is not None:
+        df = df.filter(key_before(df, order, bound, inclusive=True))
+    return df.orderBy(*order).limit(n)
+
+
+def _last_of(keys: DataFrame, order: Sequence[str], n: int) -> Row:
+    """Count and largest key of the first ``n`` keys."""
+    first = keys.orderBy(*order).limit(n)
+    return first.agg(F.max(F.struct(*order)).alias("key"), F.count("*").alias("n")).first()
 
 
 def hash_sample(df: DataFrame, n: int, seed: int, key: str = "ticket_id") -> DataFrame:
