@@ -1,4 +1,7 @@
-"""CSV rules and round trips."""
+"""CSV rules, round trips, and what reaches the scan."""
+
+import contextlib
+import io
 
 import pytest
 
@@ -70,8 +73,7 @@ def test_splits_are_reused_pruned_and_redone(spark, tickets, tmp_path):
     assert files.ensure_splits(spark, path, build(60)).count() == 50
     assert files.ensure_splits(spark, path, build(70), overwrite=True).count() == 70
     assert calls == [50, 70]
-    plan = files.read_split(spark, path, "val")._jdf.queryExecution().executedPlan().toString()
-    assert "PartitionFilters: [isnotnull(split" in plan
+    assert "PartitionFilters: [isnotnull(split" in plan(files.read_split(spark, path, "val"))
 
 
 def test_unfinished_splits_are_rebuilt(spark, tickets, tmp_path):
@@ -103,3 +105,47 @@ def test_ingest_end_to_end(spark, tickets, tmp_path):
         files.write_csv(df, paths[kind])
     n = jobs.ingest_job(spark, f"{tmp_path}/t.csv", paths, f"{tmp_path}/work", f"{tmp_path}/out")
     assert n == tickets.count() == spark.read.parquet(f"{tmp_path}/out").count()
+
+
+def plan(df):
+    text = io.StringIO()
+    df.sparkSession.conf.set("spark.sql.maxMetadataStringLength", 10_000)
+    with contextlib.redirect_stdout(text):
+        df.explain("formatted")
+    return text.getvalue()
+
+
+def test_filters_and_columns_reach_the_scan(spark, tickets):
+    from ticketlab.operators import analytics, filters
+
+    kept = plan(filters.apply_rules(filters.valid_target(tickets)).select("ticket_id"))
+    pushed = kept[kept.index("PushedFilters"):]
+    for part in ("GreaterThanOrEqual(bos,1.0)", "GreaterThan(pending_delay,0)", "LessThanOrEqual(pending_delay,9)", "IsNotNull(odds_after_10)"):
+        assert part in pushed
+    sport = plan(analytics.by_sport(tickets))
+    read = sport[sport.index("ReadSchema"):].split("\n")[0]
+    for name in ("sport", "bettor_id", "odds_after_10", "stake", "pnl"):
+        assert f"{name}:" in read
+    assert read.count(":") == 6
+    assert "PythonUDF" not in kept + sport
+
+
+def test_one_shuffle_of_the_wide_rows(spark, tickets):
+    """In the one-shuffle form only one exchange carries the ticket columns."""
+    from ticketlab.operators import enrich
+
+    df = enrich.enrich(tickets, star.aggregates(tickets), by_key=True)
+    wide = [line for line in plan(df).split("\n") if "ReadSchema" in line and "home_team" in line]
+    assert len(wide) == 1
+
+
+def test_scratch_tables_are_removed(spark, tickets):
+    from pathlib import Path
+
+    from ticketlab.operators import order_stats
+
+    folder = Path(order_stats.shared_folder(spark).removeprefix("file:"))
+    before = set(folder.iterdir())
+    order_stats.quantile_list(tickets, "stake", [0.5])
+    order_stats.keys_at(tickets, ["created_at", "ticket_id"], [10, 20])
+    assert set(folder.iterdir()) == before

@@ -14,7 +14,7 @@ from ticketlab import functions as fn
 from ticketlab.config import PENDING_THRESHOLD
 from ticketlab.operators import order_stats
 from ticketlab.operators.filters import valid_target
-from ticketlab.schema import TARGET, enrich_columns
+from ticketlab.schema import TARGET, enrich_columns, inspect_columns
 
 
 def _state(name: str) -> Column:
@@ -199,7 +199,7 @@ def by_sport(df: DataFrame, scale: int | None = None) -> DataFrame:
 
 
 def null_counts(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
-    columns = enrich_columns(df.columns) if columns is None else columns
+    columns = inspect_columns(df.columns) if columns is None else columns
     return _unpivot(df, {c: F.count_if(F.col(c).isNull()) for c in columns}, "feature", "n_null")
 
 

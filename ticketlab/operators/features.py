@@ -11,6 +11,7 @@ from ticketlab import functions as fn
 from ticketlab.schema import (
     CATEGORICAL_FEATURES,
     DEFAULT_FEATURES,
+    FEATURE_GROUPS,
     LEAKED_COLUMNS,
     METADATA_COLUMNS,
     TARGET,
@@ -53,6 +54,12 @@ def resolve_features(df: DataFrame, configured: Sequence[str] = DEFAULT_FEATURES
     return [c for c in configured if c in present]
 
 
+def chosen(names: Iterable[str]) -> list[str]:
+    """The named features in the order of the feature groups."""
+    names = set(names)
+    return [c for group in FEATURE_GROUPS.values() for c in group if c in names]
+
+
 def check_leakage(features: Iterable[str]) -> None:
     """Raise if a feature reveals the outcome or is an identifier."""
     features = list(features)

@@ -13,7 +13,7 @@ from pyspark.ml.regression import (
     GBTRegressionModel,
     RandomForestRegressor,
 )
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ticketlab import functions as fn
@@ -131,7 +131,7 @@ def largest_category(encoder: PipelineModel) -> int:
 # --- boosting ------------------------------------------------------------------------------
 
 
-def ensemble(spark, trees, weights) -> GBTRegressionModel:
+def ensemble(spark: SparkSession, trees, weights) -> GBTRegressionModel:
     """Spark's own boosted model made of single trees and their weights."""
     package = spark._jvm.org.apache.spark.ml.regression
     jtrees = spark.sparkContext._gateway.new_array(package.DecisionTreeRegressionModel, len(trees))
@@ -154,25 +154,32 @@ def _validation_errors(val: DataFrame, trees, rate: float) -> list[float]:
 
 
 def boost(
-    train: DataFrame, val: DataFrame | None, params: BoostParams, row_key: str, max_bins: int
+    train: DataFrame,
+    val: DataFrame | None,
+    params: BoostParams,
+    row_key: str,
+    max_bins: int,
+    folder: str,
 ) -> tuple[GBTRegressionModel, int, list[float]]:
     """Gradient boosting with Huber loss over columns ``features`` and ``_label``.
 
     Starts from the mean label. Each round fits one tree to the residuals clipped at
     ``huber_delta``, on a hashed share of the rows that changes every ``bagging_every``
     rounds. Stops when the validation MAE has not improved for ``patience`` rounds, and
-    keeps the trees up to the best round. Returns the model, that round and the MAE history.
+    keeps the trees up to the best round. ``folder`` holds the current scores. Returns the
+    model, that round and the MAE history.
     """
     spark = train.sparkSession
     rate, block = params.learning_rate, max(1, params.checkpoint_every)
     base = DecisionTreeRegressor(maxDepth=0, labelCol="_label", featuresCol="features").fit(train)
     start = base.setPredictionCol("_score")
     keep = ["features", "_label"]
+    place = f"{folder}/0"
     state = order_stats.pin(
-        start.transform(train.select(row_key, *keep)).select(row_key, *keep, "_score")
+        start.transform(train.select(row_key, *keep)).select(row_key, *keep, "_score"), place
     )
     val_state = None if val is None else order_stats.pin(
-        start.transform(val.select(*keep)).select(*keep, "_score")
+        start.transform(val.select(*keep)).select(*keep, "_score"), place
     )
     trees, history, best, done = [], [], 0, False
     recent: list = []
@@ -215,9 +222,11 @@ def boost(
             # The scores move on to a checkpoint, so that no plan spans more than one block.
             step = ensemble(spark, recent, [rate] * len(recent)).setPredictionCol("_step")
             moved = (F.col("_score") + F.col("_step")).alias("_score")
-            state = order_stats.pin(step.transform(state).select(row_key, *keep, moved))
+            left, place = place, f"{folder}/{number + 1}"
+            state = order_stats.pin(step.transform(state).select(row_key, *keep, moved), place)
             if val_state is not None:
-                val_state = order_stats.pin(step.transform(val_state).select(*keep, moved))
+                val_state = order_stats.pin(step.transform(val_state).select(*keep, moved), place)
+            order_stats.delete(spark, left)
             recent = []
     used = best if history else len(trees)
     model = ensemble(spark, [base, *trees[:used]], [1.0] + [rate] * used)
@@ -272,18 +281,19 @@ def train(
     bins = params.max_bins
     if set(categorical) & set(features):
         bins = max(bins, largest_category(encoder))
-    booster, used, history = boost(encoded, encoded_val, params, row_key, bins)
+    with order_stats.scratch(train_rows.sparkSession) as folder:
+        booster, used, history = boost(encoded, encoded_val, params, row_key, bins, folder)
     return TicketModel(encoder, booster, used), history
 
 
 # --- importance ----------------------------------------------------------------------------
 
 
-def importance(model: TicketModel, spark, folder: str) -> DataFrame:
+def importance(model: TicketModel, spark: SparkSession, folder: str) -> DataFrame:
     """Total gain and number of splits per feature, features without a split included.
 
-    Reads the nodes of the saved model under ``folder``; a node's gain counts for each of
-    its training rows.
+    Reads the nodes of the model, which is saved under ``folder``; a node's gain counts for
+    each of its training rows.
     """
     path = f"{folder.rstrip('/')}/booster-{uuid.uuid4().hex[:12]}"
     model.booster.write().save(path)

@@ -9,7 +9,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Row, SparkSession, Window
@@ -37,22 +38,39 @@ def shared_folder(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
-def pin(df: DataFrame) -> DataFrame:
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[str]:
+    """A folder beside the checkpoints that is removed afterwards."""
+    folder = f"{shared_folder(spark)}/scratch-{uuid.uuid4().hex}"
+    try:
+        yield folder
+    finally:
+        delete(spark, folder)
+
+
+def delete(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def pin(df: DataFrame, folder: str | None = None) -> DataFrame:
     """Write ``df`` as a table in the checkpoint folder and return it read back.
 
     Range boundaries come from sampling, so a frame that is used twice after a range
     partitioning must be fixed first. A table survives the loss of executors, cuts the
     lineage, and lets later steps read only the columns they need.
     """
-    path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    path = f"{folder or shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def _blocks(counts: DataFrame, by: Sequence[str], order: Sequence[str], weight: str):
+def _blocks(
+    counts: DataFrame, by: Sequence[str], order: Sequence[str], weight: str, folder: str | None
+):
     """Range blocks of ``counts`` and, per block, the weight in it, ahead of it and overall."""
     blocks = pin(
-        counts.repartitionByRange(*by, *order).withColumn("_block", F.spark_partition_id())
+        counts.repartitionByRange(*by, *order).withColumn("_block", F.spark_partition_id()), folder
     )
     group = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
     ahead = group.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
@@ -88,13 +106,17 @@ def _attach(blocks: DataFrame, totals: DataFrame, by: Sequence[str]) -> DataFram
 
 
 def running_total(
-    df: DataFrame, order: Sequence[str], weight: str, by: Sequence[str] = ()
+    df: DataFrame,
+    order: Sequence[str],
+    weight: str,
+    by: Sequence[str] = (),
+    folder: str | None = None,
 ) -> DataFrame:
     """Add ``running`` (up to and including the row) and ``overall``, in ascending ``order``.
 
     ``order`` must be unique within ``by``.
     """
-    blocks, totals = _blocks(df, by, order, weight)
+    blocks, totals = _blocks(df, by, order, weight, folder)
     inside = Window.partitionBy(*by, "_block").orderBy(*order).rowsBetween(
         Window.unboundedPreceding, Window.currentRow
     )
@@ -133,7 +155,11 @@ def with_position(df: DataFrame, order: Sequence[str]) -> DataFrame:
 
 
 def quantiles(
-    df: DataFrame, column: str, probabilities: Sequence[float], by: Sequence[str] = ()
+    df: DataFrame,
+    column: str,
+    probabilities: Sequence[float],
+    by: Sequence[str] = (),
+    folder: str | None = None,
 ) -> DataFrame:
     """Exact linearly interpolated quantiles, as an array column ``q`` per group.
 
@@ -147,7 +173,7 @@ def quantiles(
         .groupBy(*by, "_value")
         .agg(F.count("*").alias("_n"))
     )
-    blocks, totals = _blocks(counts, by, ["_value"], "_n")
+    blocks, totals = _blocks(counts, by, ["_value"], "_n", folder)
     wanted = []
     for p in probabilities:
         place = (F.col("_total") - 1).cast("double") * F.lit(float(p))
@@ -186,7 +212,8 @@ def median(df: DataFrame, column: str, by: Sequence[str] = (), name: str = "medi
 
 def quantile_list(df: DataFrame, column: str, probabilities: Sequence[float]) -> list[float]:
     """Exact quantiles as numbers, the counterpart of ``approxQuantile``."""
-    row = quantiles(df, column, probabilities).first()
+    with scratch(df.sparkSession) as folder:
+        row = quantiles(df, column, probabilities, folder=folder).first()
     return [] if row is None or row["q"][0] is None else list(row["q"])
 
 
@@ -197,15 +224,17 @@ def keys_at(df: DataFrame, order: Sequence[str], positions: Sequence[int]) -> li
     only rows that share a boundary value are looked at for the next column.
     """
     first, rest = order[0], list(order[1:])
-    ranked = running_total(df.groupBy(first).agg(F.count("*").alias("_n")), [first], "_n")
-    start = F.col("running") - F.col("_n")
-    hits = [(start <= p) & (F.lit(p) < F.col("running")) for p in positions]
-    if not hits:
+    if not positions:
         return []
-    # At most one row per wanted position.
-    bounds = ranked.filter(reduce(lambda a, b: a | b, hits)).select(
-        first, start.alias("start"), F.col("running").alias("end")
-    ).collect()
+    with scratch(df.sparkSession) as folder:
+        counts = df.groupBy(first).agg(F.count("*").alias("_n"))
+        ranked = running_total(counts, [first], "_n", folder=folder)
+        start = F.col("running") - F.col("_n")
+        hits = [(start <= p) & (F.lit(p) < F.col("running")) for p in positions]
+        # At most one row per wanted position.
+        bounds = ranked.filter(reduce(lambda a, b: a | b, hits)).select(
+            first, start.alias("start"), F.col("running").alias("end")
+        ).collect()
     found: list[Row | None] = []
     for p in positions:
         bound = next((b for b in bounds if b["start"] <= p < b["end"]), None)

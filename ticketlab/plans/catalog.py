@@ -450,7 +450,7 @@ def enrich_job(spark, sf):
 
 def _ran(spark, sf):
     root = scratch(spark)
-    _ingested(spark, sf, root)
+    files.write_parquet(merged(spark, sf), f"{root}/merged")
     jobs.train_job(spark, f"{root}/merged", f"{root}/model", Settings(boost=QUICK))
     return f"{root}/model"
 

@@ -23,7 +23,7 @@ from ticketlab.operators import (
     review,
     split,
 )
-from ticketlab.schema import AGGREGATES, DEFAULT_FEATURES, TARGET, enrich_columns
+from ticketlab.schema import AGGREGATES, DEFAULT_FEATURES, TARGET, inspect_columns
 from ticketlab.sources import files
 from ticketlab.sources.star import Aggregates
 
@@ -132,12 +132,12 @@ def train_job(
     return files.read_metrics(spark, f"{root}/metrics.json")
 
 
-def _scored(spark: SparkSession, root: str, name: str) -> DataFrame:
+def _scored(spark: SparkSession, root: str, name: str, folder: str) -> DataFrame:
     """One split with ``raw_score``, computed once."""
     if not files.path_exists(spark, f"{root}/splits/_SUCCESS"):
         raise FileNotFoundError(f"no splits under {root}; run train_job first")
     rows = files.read_split(spark, f"{root}/splits", name)
-    return order_stats.pin(model.TicketModel.load(f"{root}/model").score(rows))
+    return order_stats.pin(model.TicketModel.load(f"{root}/model").score(rows), folder)
 
 
 def calibrate_job(spark: SparkSession, model_dir: str) -> DataFrame:
@@ -146,18 +146,21 @@ def calibrate_job(spark: SparkSession, model_dir: str) -> DataFrame:
     Returns the MAE before and after, one row.
     """
     root = model_dir.rstrip("/")
-    scored = _scored(spark, root, "val")
-    calibrator = calibration.fit_calibrator(scored, TARGET, "raw_score")
-    calibrator.write().overwrite().save(f"{root}/calibrator")
-    both = calibration.calibrate(scored, calibrator, "raw_score", "calibrated")
-    for column, name in (("raw_score", "calibration_pre"), ("calibrated", "calibration_post")):
-        report = calibration.calibration_report(both, TARGET, column)
-        files.write_report(report, f"{root}/{name}.csv")
-    label = F.col(TARGET)
-    return both.agg(
-        F.avg(F.abs(F.col("raw_score") - label)).alias("mae_before"),
-        F.avg(F.abs(F.col("calibrated") - label)).alias("mae_after"),
-    )
+    with order_stats.scratch(spark) as folder:
+        scored = _scored(spark, root, "val", folder)
+        calibrator = calibration.fit_calibrator(scored, TARGET, "raw_score")
+        calibrator.write().overwrite().save(f"{root}/calibrator")
+        both = calibration.calibrate(scored, calibrator, "raw_score", "calibrated")
+        for column, name in (("raw_score", "calibration_pre"), ("calibrated", "calibration_post")):
+            report = calibration.calibration_report(both, TARGET, column)
+            files.write_report(report, f"{root}/{name}.csv")
+        label = F.col(TARGET)
+        errors = both.agg(
+            F.avg(F.abs(F.col("raw_score") - label)).alias("mae_before"),
+            F.avg(F.abs(F.col("calibrated") - label)).alias("mae_after"),
+        )
+        files.write_metrics(errors, f"{root}/calibration.json")
+    return files.read_metrics(spark, f"{root}/calibration.json")
 
 
 def evaluate_job(
@@ -171,13 +174,14 @@ def evaluate_job(
     Returns the metrics and the policy totals in one row.
     """
     root = model_dir.rstrip("/")
-    scored = _scored(spark, root, "test")
-    calibrator = None
-    if files.path_exists(spark, f"{root}/calibrator"):
-        calibrator = IsotonicRegressionModel.load(f"{root}/calibrator")
-    predicted = calibration.calibrate(scored, calibrator, "raw_score", "predicted_clv")
-    tiered = policy.classify(predicted, "predicted_clv", settings.pending)
-    files.write_parquet(policy.policy(tiered, scale).drop("raw_score"), f"{root}/ope/simulation")
+    with order_stats.scratch(spark) as folder:
+        scored = _scored(spark, root, "test", folder)
+        calibrator = None
+        if files.path_exists(spark, f"{root}/calibrator"):
+            calibrator = IsotonicRegressionModel.load(f"{root}/calibrator")
+        predicted = calibration.calibrate(scored, calibrator, "raw_score", "predicted_clv")
+        tiered = policy.classify(predicted, "predicted_clv", settings.pending)
+        files.write_parquet(policy.policy(tiered, scale).drop("raw_score"), f"{root}/ope/simulation")
     simulated = spark.read.parquet(f"{root}/ope/simulation")
     files.write_parquet(review.review_sample(simulated), f"{root}/ope/review_sample")
     measures = calibration.regression_metrics(simulated, TARGET, "predicted_clv")
@@ -205,7 +209,7 @@ def inspect(df: DataFrame, bands, settings: Settings = Settings()) -> dict[str,
         out["state_counts"] = analytics.state_counts(df)
     if settings.rules:
         out["rule_audit"] = filters.rule_audit(df, settings.rules)
-    if enrich_columns(df.columns):
+    if inspect_columns(df.columns):
         out["null_counts"] = analytics.null_counts(df)
     return out
 
@@ -218,10 +222,13 @@ def feature_report(
     seed: int = 42,
     settings: Settings = Settings(),
 ) -> dict[str, DataFrame]:
-    """The feature-analysis tables over an exact-size sample of the kept rows."""
+    """The feature-analysis tables over an exact-size sample of the kept rows.
+
+    ``names`` are taken in the order of the feature groups, those that exist.
+    """
     kept = filters.apply_rules(filters.valid_target(df, finite=False), settings.rules)
     sample = order_stats.pin(features.engineer(review.sample_n(kept, sample_size, seed), "right"))
-    names = features.resolve_features(sample, names)
+    names = features.resolve_features(sample, features.chosen(names))
     numbers = features.numeric_features(sample, names)
     fitted, gains = model.feature_analysis(sample, names, folder, settings.boost)
     return {

@@ -6,7 +6,7 @@ Written against the tables alone, independently of the DataFrame code.
 from __future__ import annotations
 
 from ticketlab.plans.catalog import AUDIT_RULES, BANDS, PROFILE_NUMBERS
-from ticketlab.schema import DEFAULT_FEATURES, ENRICH_COLUMNS, REVIEW_COLUMNS, enrich_columns
+from ticketlab.schema import DEFAULT_FEATURES, ENRICH_COLUMNS, REVIEW_COLUMNS, enrich_columns, inspect_columns
 
 TICKETS = """
 SELECT
@@ -123,19 +123,27 @@ FROM risk_tier r LEFT JOIN (
   GROUP BY bettor_id) d ON r.bettor_id = d.bettor_id
 GROUP BY r.bettor_id
 """
-CTES["merged"] = """
-SELECT t.*, bs.pnl AS bs_pnl, bs.margin AS bs_margin, bs.stake AS bs_stake,
-  bs.avg_odds_after_10 AS bs_avg_odds_after_10, bs.avg_odds_after_30 AS bs_avg_odds_after_30,
-  bs.avg_odds_after_90 AS bs_avg_odds_after_90, bs.rejected_stake AS bs_rejected_stake,
-  bs.rejected_pnl AS bs_rejected_pnl, rj.total_rejected_stake, rj.total_rejected_pnl,
-  rj.n_reject_reasons, rj.avg_rejected_odds_after_10, rj.avg_rejected_odds_after_30,
-  rj.avg_rejected_odds_after_90, rt.dominant_risk_tier, rt.risk_tier_total_pnl,
-  rt.risk_tier_total_volume, rt.risk_tier_avg_margin, ss.mean_stake_size
+_KEY = "t.bettor_id = {0}.bettor_id AND t.sport = {0}.sport AND t.market_name = {0}.market_type"
+
+
+def _from_side(side: str, *keys: str) -> str:
+    return f"{side}.* EXCLUDE ({', '.join(keys)})"
+
+
+CTES["history"] = f"""
+SELECT bettor_id, sport, market_type,
+  {", ".join(f"{c[3:]} AS {c}" for c in ENRICH_COLUMNS if c.startswith("bs_"))}
+FROM bettor_stats
+"""
+CTES["merged"] = f"""
+SELECT t.*, {_from_side("history", "bettor_id", "sport", "market_type")},
+  {_from_side("rejected_rollup", "bettor_id", "sport", "market_type")},
+  {_from_side("risk_rollup", "bettor_id")}, stake_size.mean_stake_size
 FROM tickets t
-LEFT JOIN bettor_stats bs ON t.bettor_id = bs.bettor_id AND t.sport = bs.sport AND t.market_name = bs.market_type
-LEFT JOIN rejected_rollup rj ON t.bettor_id = rj.bettor_id AND t.sport = rj.sport AND t.market_name = rj.market_type
-LEFT JOIN risk_rollup rt ON t.bettor_id = rt.bettor_id
-LEFT JOIN stake_size ss ON t.bettor_id = ss.bettor_id
+LEFT JOIN stake_size USING (bettor_id)
+LEFT JOIN risk_rollup USING (bettor_id)
+LEFT JOIN history ON {_KEY.format("history")}
+LEFT JOIN rejected_rollup ON {_KEY.format("rejected_rollup")}
 """
 CTES["kept"] = """
 SELECT * FROM tickets WHERE odds_after_10 IS NOT NULL AND isfinite(odds_after_10)
@@ -200,7 +208,8 @@ DEPENDS = {
     "tickets": (),
     "bettor_stats": ("tickets",), "rejected": ("tickets",), "risk_tier": ("tickets",),
     "stake_size": ("tickets",), "rejected_rollup": ("rejected",), "risk_rollup": ("risk_tier",),
-    "merged": ("bettor_stats", "rejected_rollup", "risk_rollup", "stake_size"),
+    "history": ("bettor_stats",),
+    "merged": ("history", "rejected_rollup", "risk_rollup", "stake_size"),
     "kept": ("tickets",), "featured": ("kept", "stake_size"), "positioned": ("kept",),
     "split_kept": ("positioned",), "split_source": ("positioned",), "scored": ("kept",),
     "tiered": ("scored",), "pending": ("tiered",), "skip_yield": ("tiered",),
@@ -395,7 +404,7 @@ WHERE odds_after_10 IS NOT NULL AND isfinite(odds_after_10)"""),
     "rule_audit": over("tickets", select=audit()),
     "band_distribution": over("tickets", select=bands()),
     "null_counts": over("merged", select=per_column(
-        MERGED_NAMES, "SELECT '{c}' AS feature, count(*) - count({c}) AS n_null", "merged")),
+        inspect_columns(ENRICH_COLUMNS), "SELECT '{c}' AS feature, count(*) - count({c}) AS n_null", "merged")),
     "coverage": over("merged", select=" UNION ALL ".join(
         f"SELECT '{c}' AS feature, {rnd(pct(f'count({c})', 'count(*)'), 1)} AS coverage_pct FROM merged"
         for c in MERGED_NAMES)),

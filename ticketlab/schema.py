@@ -56,6 +56,8 @@ ENRICH_COLUMNS = (
 )
 ENRICH_PREFIXES = ("bs_", "total_", "avg_rejected", "risk_tier", "dominant_")
 ENRICH_NAMES = ("mean_stake_size", "n_reject_reasons")
+INSPECT_PREFIXES = ("bs_", "total_", "avg_rejected", "risk_tier")
+INSPECT_NAMES = ("mean_stake_size",)
 FEATURE_GROUPS = {
     "Aggregate bettor-level": (
         "bs_avg_odds_after_10", "avg_rejected_odds_after_10", "bs_avg_odds_after_30",
@@ -103,3 +105,8 @@ AGGREGATES = {
 def enrich_columns(columns) -> list[str]:
     """Columns of a merged table that come from the four aggregates, by name."""
     return [c for c in columns if c.startswith(ENRICH_PREFIXES) or c in ENRICH_NAMES]
+
+
+def inspect_columns(columns) -> list[str]:
+    """The ones among them that the inspection counts nulls of."""
+    return [c for c in columns if c.startswith(INSPECT_PREFIXES) or c in INSPECT_NAMES]
