@@ -132,6 +132,8 @@ def test_policy_without_settled_stake_or_profit(spark):
     )
     assert policy.skip_yield(df).first()[0] == 0.0
     assert policy.policy_summary(policy.policy(df)).first()["pnl_delta_pct"] == 0.0
+    shares = [tuple(r) for r in policy.tier_share(df).collect()]
+    assert shares == [("SKIP", 2, 100.0), ("PENDING", 0, 0.0)]
     empty = policy.policy_summary(policy.policy(df.limit(0))).first()
     assert (empty["n_total"], empty["skip_rate"], empty["pnl_delta"]) == (0, 0.0, 0.0)
 

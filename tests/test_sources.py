@@ -43,11 +43,14 @@ def test_fraction_is_not_an_integer(spark, tmp_path):
         files.read_aggregate_csv(spark, str(path), "risk_tier").collect()
 
 
-def test_wrong_header_raises(spark, tmp_path):
+def test_columns_are_found_by_name(spark, tmp_path):
     path = tmp_path / "t.csv"
+    path.write_text("extra,mean_stake_size,bettor_id\nx,2.5,007\n")
+    row = files.read_aggregate_csv(spark, str(path), "stake_size").first()
+    assert row.asDict() == {"bettor_id": "007", "mean_stake_size": 2.5}
     path.write_text("bettor_id,wrong\n1,2\n")
-    with pytest.raises(Exception):
-        files.read_aggregate_csv(spark, str(path), "stake_size").collect()
+    with pytest.raises(ValueError, match="mean_stake_size"):
+        files.read_aggregate_csv(spark, str(path), "stake_size")
 
 
 def test_limited_read_and_conversion(spark, tickets, tmp_path):

@@ -276,7 +276,7 @@ def train(
     label = fn.clean_label(target).alias("_label")
     encoded = encoder.transform(train_rows).select(row_key, "features", label)
     encoded_val = None
-    if val_rows is not None:
+    if val_rows is not None and not val_rows.isEmpty():
         encoded_val = encoder.transform(val_rows).select("features", label)
     bins = params.max_bins
     if set(categorical) & set(features):

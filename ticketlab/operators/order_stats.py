@@ -303,7 +303,7 @@ def _last_of(keys: DataFrame, order: Sequence[str], n: int) -> Row:
 
 
 def hash_sample(df: DataFrame, n: int, seed: int, key: str = "ticket_id") -> DataFrame:
-    """Exactly ``n`` rows (or all, if fewer) with the smallest salted hash of ``key``.
+    """Exactly ``n`` rows (or all, if fewer) with the smallest salted hash of the unique ``key``.
 
     The hash is narrowed three digits at a time by counting at most 4096 prefixes, so
     neither the rows nor their hashes are sorted beyond the few that can be chosen.
@@ -325,5 +325,8 @@ def hash_sample(df: DataFrame, n: int, seed: int, key: str = "ticket_id") -> Dat
             need -= count
         if count <= need + n:
             break
-    chosen = df.withColumn("_hash", hashed).filter(F.substring("_hash", 1, len(prefix)) <= prefix)
-    return chosen.orderBy("_hash", key).limit(n).drop("_hash")
+    near = df.withColumn("_hash", hashed).filter(F.substring("_hash", 1, len(prefix)) <= prefix)
+    order = ["_hash", key]
+    last = _last_of(near.select(*order), order, n)["key"]
+    # A filter, unlike a limit, leaves the sample spread over the tasks that read it.
+    return near.filter(key_before(near, order, last, inclusive=True)).drop("_hash")

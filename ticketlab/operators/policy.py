@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from ticketlab import functions as fn
 from ticketlab.config import PENDING_THRESHOLD
-from ticketlab.operators.analytics import with_share
 
 
 def classify(df: DataFrame, score: str, pending: float = PENDING_THRESHOLD) -> DataFrame:
@@ -19,8 +18,14 @@ def classify_bands(df: DataFrame, score: str, bands) -> DataFrame:
 
 
 def tier_share(df: DataFrame) -> DataFrame:
-    """Count and percentage of each tier."""
-    return with_share(df.groupBy("model_tier").agg(F.count("*").alias("n")), few=True)
+    """Count and percentage of both tiers, also of one without tickets."""
+    counts = {t: F.count_if(F.col("model_tier") == t) for t in ("SKIP", "PENDING")}
+    both = counts["SKIP"] + counts["PENDING"]
+    rows = [
+        F.struct(F.lit(t).alias("model_tier"), n.alias("n"), fn.percent(n, both).alias("pct"))
+        for t, n in counts.items()
+    ]
+    return df.agg(F.array(*rows).alias("rows")).select(F.inline("rows"))
 
 
 def _factual() -> Column:

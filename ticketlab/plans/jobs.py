@@ -124,11 +124,10 @@ def train_job(
         train_rows = split.cap_rows(train_rows, settings.max_train_rows)
     fitted, _ = model.train(train_rows, names, settings.boost, val_rows)
     fitted.save(f"{root}/model")
-    gains = model.importance(fitted, spark, order_stats.shared_folder(spark))
-    files.write_metrics(
-        model.train_metrics(fitted, train_rows.count(), val_rows, model.top_importance(gains)),
-        f"{root}/metrics.json",
-    )
+    with order_stats.scratch(spark) as folder:
+        top = model.top_importance(model.importance(fitted, spark, folder))
+        record = model.train_metrics(fitted, train_rows.count(), val_rows, top)
+        files.write_metrics(record, f"{root}/metrics.json")
     return files.read_metrics(spark, f"{root}/metrics.json")
 
 

@@ -41,24 +41,23 @@ def _number(name: str, kind: DataType) -> Column:
 def read_csv(
     spark: SparkSession, path: str, schema: StructType, blank_strings: str = "empty"
 ) -> DataFrame:
-    """Strictly typed CSV with a header.
+    """Strictly typed CSV; columns are found by their names in the header.
 
     Blank text is an empty string (``blank_strings='empty'``) or null (``'null'``). Numbers
     accept the usual null tokens; anything else that does not parse raises.
     """
     if blank_strings not in ("empty", "null"):
         raise ValueError(f"blank_strings must be 'empty' or 'null', not {blank_strings!r}")
-    as_text = StructType()
-    for f in schema:
-        as_text = as_text.add(f.name, StringType())
     raw = (
-        spark.read.schema(as_text)
-        .option("header", True)
+        spark.read.option("header", True)
         .option("mode", "FAILFAST")
         .option("escape", '"')
         .option("enforceSchema", False)
         .csv(path)
     )
+    missing = [f.name for f in schema if f.name not in raw.columns]
+    if missing:
+        raise ValueError(f"{path}: columns {missing} are missing")
     columns = []
     for f in schema:
         if f.dataType != StringType():
