@@ -258,3 +258,15 @@ def test_inspection(tickets):
     out = jobs.inspect(tickets, [("LOW", 0.0), ("HIGH", None)])
     assert set(out) == {"shape", "columns", "target_stats", "band_distribution", "state_counts", "rule_audit"}
     assert out["shape"].first()["n_columns"] == 31 and out["columns"].count() == 31
+
+
+def test_split_with_missing_times(spark):
+    """Rows without a time come first, ordered by ticket."""
+    df = spark.createDataFrame(
+        [(None if i < 150 else "2020", f"{i:04d}") for i in range(200)], "created_at string, ticket_id string"
+    )
+    got = split.temporal_split(df, SplitFractions(0.5, 0.4))
+    names = {r["ticket_id"]: r["split"] for r in got.collect()}
+    assert [names[f"{i:04d}"] for i in (0, 99, 100, 149, 150, 179, 180, 199)] == [
+        "train", "train", "val", "val", "val", "val", "test", "test",
+    ]
