@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ticketlab.llm.graph import components
-from ticketlab.llm.words import SPACED, Words, mix, runs, shingles
+from ticketlab.llm.words import SPACED, Words, carrying, mix, runs, shingles
 from ticketlab.operators.order_stats import pin
 
 SHINGLE = 5
@@ -114,10 +114,9 @@ def _sets(size: int, percent: int, batches: Iterator[pa.RecordBatch], full: bool
 
 
 def _read(docs: DataFrame, id_col: str, text_col: str, size: int, percent: int, full: bool):
-    kind = docs.schema[id_col].dataType.simpleString()
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(
         lambda batches: _sets(size, percent, batches, full),
-        f"id {kind}, n bigint, node bigint, items array<bigint>",
+        carrying(docs, id_col, "n bigint, node bigint, items array<bigint>"),
     )
 
 
@@ -257,10 +256,9 @@ def similar_groups(
     placed = made.select("id", "n", "node").join(groups_of, "node", "left").withColumn(
         "component", F.coalesce("component", "node")
     )
-    kind = docs.schema[id_col].dataType.simpleString()
     least = placed.filter("component is not null").groupBy("component").agg(F.min("id").alias("least"))
     return placed.join(least, "component", "left").select(
         F.col("id").alias(id_col),
         F.col("n").alias("n_shingles"),
-        F.when(F.col("component").isNull(), F.col("id")).otherwise(F.col("least")).cast(kind).alias("component_id"),
+        F.when(F.col("component").isNull(), F.col("id")).otherwise(F.col("least")).alias("component_id"),
     )

@@ -4,9 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from ticketlab.llm import partenum
+from ticketlab.llm import decontam, language, packing, partenum
+
+WORD_BPE = "word_bpe_49k.json"
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -21,6 +25,28 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@query
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark items found in documents, as copies or edited copies."""
+    return decontam.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query
+def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces of all documents in sequences of at most 4096 tokens."""
+    return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path(WORD_BPE))
+
+
+@query
+def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document, learnt from three quarters of the labelled ones."""
+    docs = table(spark, sf_dir, "documents").withColumn("held_out", language.held_out())
+    model = language.learn(docs.filter("doc_id is not null and not held_out"))
+    return language.identify(docs, model).select(
+        "doc_id", language.held_out().alias("held_out"), "lang_pred", "score", "share", "mixture"
+    )
+
+
 @query
 def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents grouped by five-word shingles at a Jaccard similarity of 0.8."""

@@ -6,6 +6,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql.types import StructType
 
 RUN_BYTES = 1 << 20  # texts handled together; a longer text is a run of its own
 
@@ -40,7 +42,7 @@ class Words:
             self.low = np.concatenate(([1], np.cumprod(np.full(_STEP, _B)))).astype(np.uint64)
             self.high_step = self.low[_STEP]
 
-    def _power(self, exponent: np.ndarray) -> np.ndarray:
+    def power(self, exponent: np.ndarray) -> np.ndarray:
         if not len(exponent) or exponent.max() < _STEP:
             return self.low[exponent]
         high = np.cumprod(np.full(int(exponent.max()) // _STEP, self.high_step))
@@ -60,13 +62,16 @@ class Words:
         with np.errstate(over="ignore"):
             at = np.arange(starts[0], len(data))
             at -= np.repeat(starts, np.diff(np.append(starts, len(data))))
-            terms = self.value[data[starts[0] :]] * self._power(at)
+            terms = self.value[data[starts[0] :]] * self.power(at)
             hashes = mix(np.add.reduceat(terms, starts - starts[0]))
         return hashes, np.searchsorted(starts, offsets)
 
     def hash(self, word: str) -> int:
+        """Hash of one string taken as a single word, whatever its bytes."""
         data = np.frombuffer(word.encode(), np.uint8)
-        return int(self.of(data, np.array([0, len(data)]))[0][0])
+        with np.errstate(over="ignore"):
+            total = np.add.reduce(self.value[data] * self.power(np.arange(len(data))), keepdims=True)
+            return int(mix(total)[0])
 
 
 SPACED = bytes([0x20, *range(0x09, 0x0E)])
@@ -104,3 +109,9 @@ def shingles(hashes: np.ndarray, size: int) -> np.ndarray:
         for k in range(size):
             h = h * _A + hashes[k : n - size + 1 + k]
         return np.unique(mix(h + np.uint64(size)))
+
+
+def carrying(docs: DataFrame, id_col: str, rest: str) -> StructType:
+    """Schema of a result that begins with ``id``, of any type, and goes on with ``rest``."""
+    made = StructType().add("id", docs.schema[id_col].dataType)
+    return StructType(made.fields + StructType.fromDDL(rest).fields)
