@@ -8,23 +8,52 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ticketlab.llm import partenum
+from ticketlab.llm import decontam, language, packing, partenum
 from ticketlab.operators.order_stats import delete, shared_folder
 
 
+def languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps documents with a language that makes up half of the text or more."""
+    model = language.learn(docs.filter(F.col("doc_id").isNotNull() & ~language.held_out()))
+    rows = docs.select(F.struct("*").alias("row"), "text")
+    judged = language.identify(rows, model, id_col="row")
+    return judged.filter(language.accepted()).select("row.*")
+
+
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group of near copies: the one with the smallest id."""
-    groups = partenum.similar_groups(docs)
-    kept = groups.filter(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    # Repeated rows are copies of each other, so one of them stays.
-    return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(docs.columns)
+    """Keeps one document of each group of near copies: the one with the smallest id.
+
+    A row is named by its id and a hash of all its columns, so that rows which repeat an
+    id with another text are not mixed up; of rows equal in all columns one stays.
+    """
+    name = F.struct(F.col("doc_id").isNull(), "doc_id", F.xxhash64(*docs.columns))
+    rows = docs.select(F.struct("*").alias("row"), name.alias("name"), "text")
+    groups = partenum.similar_groups(rows, id_col="name")
+    kept = groups.filter(F.col("name") == F.col("component_id")).select("name").distinct()
+    return rows.join(kept, "name", "left_semi").dropDuplicates(["name"]).select("row.*")
+
+
+def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps documents that hold no test item, neither as it is nor edited."""
+    return decontam.without_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of the documents in sequences of at most 4096 tokens."""
+    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
-STAGES: list[tuple[str, Stage]] = [("near_copies", near_copies)]
+STAGES: list[tuple[str, Stage]] = [
+    ("languages", languages),
+    ("near_copies", near_copies),
+    ("decontaminated", decontaminated),
+    ("packed", packed),
+]
 ORACLE_SQL = None  # near copies and alignment scores have no SQL form; tests use brute force
 
 
