@@ -61,6 +61,9 @@ class Items:
         order = np.argsort(gram, kind="stable")
         return cls(ids, words, gram[order], item[order], at[order], size[order])
 
+    def parts(self) -> tuple:
+        return self.ids, self.words, self.gram, self.item, self.at, self.size
+
     def seeds(self, uses: dict[int, int]) -> Items:
         """Only the n-grams that are the rarest of SPAN neighbours, the first among equals.
 
@@ -109,7 +112,7 @@ class _Finder:
 
 
 def _uses(sent, batches: Iterator[pa.RecordBatch]):
-    finder = _Finder(sent.value)
+    finder = _Finder(Items(*sent.value))
     total: dict[int, int] = {}
     for batch in batches:
         for _, rows, data, offsets in runs(batch.column(0)):
@@ -190,7 +193,7 @@ def _found(items: Items, finder: _Finder, threshold: float, data: np.ndarray, of
 
 
 def _hits(sent, threshold: float, batches: Iterator[pa.RecordBatch]):
-    items: Items = sent.value
+    items = Items(*sent.value)
     finder = _Finder(items)
     for batch in batches:
         for first, rows, data, offsets in runs(batch.column(1)):
@@ -210,7 +213,7 @@ def _hits(sent, threshold: float, batches: Iterator[pa.RecordBatch]):
 
 
 def _without(sent, threshold: float, batches: Iterator[pa.RecordBatch]):
-    items: Items = sent.value
+    items = Items(*sent.value)
     finder = _Finder(items)
     for batch in batches:
         keep = np.ones(batch.num_rows, bool)
@@ -222,7 +225,7 @@ def _without(sent, threshold: float, batches: Iterator[pa.RecordBatch]):
 
 def _seeds(spark, text: DataFrame, items: Items):
     """The block's seeds, ready for the tasks."""
-    sent = spark.sparkContext.broadcast(items)
+    sent = spark.sparkContext.broadcast(items.parts())
     uses = (
         text.select("text")
         .mapInArrow(lambda b: _uses(sent, b), "gram bigint, n bigint")
@@ -230,7 +233,7 @@ def _seeds(spark, text: DataFrame, items: Items):
         .agg(F.sum("n").alias("n"))
         .collect()  # one row for each n-gram of the block at most
     )
-    return spark.sparkContext.broadcast(items.seeds({r["gram"]: r["n"] for r in uses}))
+    return spark.sparkContext.broadcast(items.seeds({r["gram"]: r["n"] for r in uses}).parts())
 
 
 def leaks(

@@ -175,7 +175,7 @@ def _has_letter(data: np.ndarray, code: np.ndarray) -> bool:
 
 def _judge(model, batches: Iterator[pa.RecordBatch]):
     code = _codes()
-    languages, chance = model.value.languages, model.value.chance
+    languages, chance = model.value
     log = np.log(chance)
     for batch in batches:
         for first, rows, data, offsets in runs(batch.column(1)):
@@ -222,7 +222,7 @@ def identify(
     are ignored, an empty table gives an empty result. The model goes to every task; its
     size is the number of labels times CELLS.
     """
-    sent = docs.sparkSession.sparkContext.broadcast(model)
+    sent = docs.sparkSession.sparkContext.broadcast((model.languages, model.chance))
     return (
         docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
         .mapInArrow(

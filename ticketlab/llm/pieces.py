@@ -10,7 +10,6 @@ from __future__ import annotations
 
 import os
 import re
-from functools import lru_cache
 
 import numpy as np
 
@@ -20,7 +19,6 @@ KNOWN = 1_000_000  # pre-tokens a task remembers
 _SPACE, _LETTER, _DIGIT, _OTHER = 0, 1, 2, 3
 
 
-@lru_cache(1)
 def load(path: str):
     os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs one task a core
     from tokenizers import Tokenizer
@@ -159,7 +157,8 @@ class Pieces:
         self.size = np.zeros(1 << 15, np.int64)
         self.used = 0
 
-    def _add(self, hashes: list[int], words: list[str]) -> None:
+    def _look_up(self, words: list[str]) -> tuple[list[np.ndarray], list[np.ndarray]]:
+        """Ids of pre-tokens and how many each has, in portions."""
         ids, sizes = [], []
         for at in range(0, len(words), 200):
             part = words[at : at + 200]
@@ -174,6 +173,14 @@ class Pieces:
             assert len(ends) == len(part)
             ids.append(found)
             sizes.append(np.diff(ends, prepend=0))
+        return ids, sizes
+
+    def count(self, words: list[str]) -> np.ndarray:
+        """How many pieces each pre-token has."""
+        return np.concatenate([np.zeros(0, np.int64), *self._look_up(words)[1]])
+
+    def _add(self, hashes: list[int], words: list[str]) -> None:
+        ids, sizes = self._look_up(words)
         ids, sizes = np.concatenate(ids), np.concatenate(sizes)
         first = len(self.place)
         for name, more in (("ids", self.used + len(ids)), ("start", first + len(sizes)), ("size", first + len(sizes))):

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ticketlab.llm import decontam, language, packing, partenum
+from ticketlab.llm import decontam, language, packing, partenum, token_counts
 
 WORD_BPE = "word_bpe_49k.json"
 
@@ -47,6 +47,12 @@ def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes and tokens of every document."""
+    return token_counts.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path(WORD_BPE))
+
+
 @query
 def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents grouped by five-word shingles at a Jaccard similarity of 0.8."""
