@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ticketlab.llm import decontam, language, packing, partenum, token_counts
+from ticketlab.llm import decontam, language, licenses, packing, partenum, token_counts
 
 WORD_BPE = "word_bpe_49k.json"
 
@@ -47,6 +47,12 @@ def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License phrases and notices of every document."""
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
 @query
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bytes and tokens of every document."""
