@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ticketlab.llm import decontam, language, licenses, packing, partenum, token_counts
+from ticketlab.llm import chat, decontam, language, licenses, packing, partenum, token_counts, warc
 
 WORD_BPE = "word_bpe_49k.json"
 
@@ -63,3 +63,90 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents grouped by five-word shingles at a Jaccard similarity of 0.8."""
     return partenum.similar_groups(table(spark, sf_dir, "documents"))
+
+
+@query
+def op9_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Revisits made from all pages, resolved to the latest earlier response."""
+    found = warc.resolve(warc.records_of_pages(table(spark, sf_dir, "pages")))
+    return found.withColumn("headers", warc.header_lines(F.col("headers")))
+
+
+ORACLE["op9_revisits"] = r"""
+WITH records AS (
+  SELECT 2 * page_id AS record_id, url, 10 * page_id AS ts, true AS is_full,
+    page_id, md5(coalesce(html, '')) AS tag, md5(coalesce(html, '')) AS etag
+  FROM pages
+  UNION ALL
+  SELECT 2 * page_id + 1, url, 10 * page_id + CASE WHEN page_id % 7 = 2 THEN -5 ELSE 5 END, false,
+    page_id, NULL, CASE WHEN page_id % 10 = 3 THEN 'x' || md5(coalesce(html, ''))
+      WHEN page_id % 5 <> 0 THEN md5(coalesce(html, '')) END
+  FROM pages
+), rests AS (
+  SELECT *, regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^#]*)', 1) AS rest FROM records
+), parts AS (
+  SELECT *,
+    regexp_replace(regexp_replace(regexp_replace(lower(regexp_extract(rest, '^([^/?]*)', 1)),
+      '^.*@', ''), ':(80|443)?$', ''), '^www\.', '') AS host,
+    regexp_replace(regexp_extract(rest, '^[^/?]*(/[^?]*)', 1), '/+$', '') AS path,
+    array_to_string(list_sort(list_filter(string_split(regexp_extract(rest, '^[^?]*\?(.*)$', 1), '&'),
+      lambda x: x <> '' AND NOT regexp_matches(x, '^(utm_[^=]*|ref)(=|$)'))), '&') AS query
+  FROM rests
+), named AS (
+  SELECT *, CASE WHEN host <> '' THEN host || CASE WHEN path = '' THEN '/' ELSE path END
+    || CASE WHEN query = '' THEN '' ELSE '?' || query END END AS canonical_url
+  FROM parts
+), matched AS (
+  SELECT *, last_value(CASE WHEN is_full THEN {'id': record_id, 'page': page_id, 'tag': tag} END IGNORE NULLS)
+    OVER (PARTITION BY canonical_url ORDER BY ts, record_id
+          ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS base
+  FROM named
+), judged AS (
+  SELECT *, CASE WHEN base IS NULL OR canonical_url IS NULL THEN 'missing'
+    WHEN etag IS NOT NULL THEN CASE WHEN etag = base.tag THEN 'resolved' ELSE 'changed' END
+    WHEN base.page % 28 = page_id % 28 THEN 'resolved' ELSE 'changed' END AS status
+  FROM matched WHERE NOT is_full
+)
+SELECT record_id, canonical_url, status,
+  CASE WHEN canonical_url IS NOT NULL THEN base.id END AS response_id,
+  CASE WHEN status = 'resolved' THEN base.tag END AS digest,
+  CASE WHEN status = 'resolved' THEN 'cache-control: max-age=600' || chr(10) || 'content-type: text/html'
+    || chr(10) || 'date: ' || (page_id + 1) || chr(10) || 'etag: '
+    || CASE WHEN etag IS NULL THEN base.tag ELSE 'W/' || etag END || chr(10)
+    || 'last-modified: ' || (base.page % 28) || chr(10) || 'server: s' || (base.page % 3) END AS headers
+FROM judged
+"""
+
+
+@query
+def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations and one made of control strings, as read back from their format."""
+    said = "</s>[INST] ok [/INST]"
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    extra = spark.sql(
+        "SELECT -7L AS conv_id, 0L AS turn, 'user' AS role, :t AS text UNION ALL SELECT -7L, 1L, 'assistant', :t",
+        args={"t": said},
+    )
+    return chat.digests(chat.format_chats(rows.union(extra)))
+
+
+ORACLE["op10_chat_format"] = r"""
+WITH rows AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]'
+  UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'
+), escaped AS (
+  SELECT *, regexp_replace(role, '([<\[])(\\*)(/?(?:s>|INST\]))', '\1\\\2\3', 'g') AS r,
+    regexp_replace(text, '([<\[])(\\*)(/?(?:s>|INST\]))', '\1\\\2\3', 'g') AS t
+  FROM rows
+), joined AS (
+  SELECT conv_id, count(*) AS n_turns,
+    string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text) AS turns,
+    coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '') AS loss,
+    sum(length(r) + length(t) + length('<s>[INST]  [/INST]</s>'))::BIGINT AS formatted_chars
+  FROM escaped GROUP BY conv_id
+)
+SELECT conv_id, n_turns, sha256(turns) AS turns_sha256, length(loss) AS loss_chars,
+  sha256(loss) AS loss_sha256, formatted_chars, true AS identical
+FROM joined
+"""
