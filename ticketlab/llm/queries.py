@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ticketlab.llm import chat, decontam, language, lattice, licenses, packing, partenum, token_counts, warc
+from ticketlab.llm import chat, decontam, language, lattice, licenses, packing, partenum, token_counts, url_filters, warc
 
 WORD_BPE = "word_bpe_49k.json"
 
@@ -25,6 +25,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@query
+def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdict on every page's url by rules, else by its host's place among the links."""
+    return url_filters.judge(table(spark, sf_dir, "pages"))
+
+
 @query
 def op2_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Links of all vectors at a cosine of 0.95."""
