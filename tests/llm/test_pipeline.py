@@ -20,7 +20,8 @@ def small(spark, tmp_path):
     for r in docs:
         rows.append((r.doc_id, r.text, r.lang, r.source, r.n_chars, "x"))
     base = docs[0].text
-    for i, text in enumerate(["12 34 !!", "", None, base, base.upper(), docs[1].text + " " + test]):
+    shout = "".join(c.upper() if c.isascii() else c for c in base)
+    for i, text in enumerate(["12 34 !!", "", None, base, shout, docs[1].text + " " + test]):
         rows.append((100_000 + i, text, "en", "s", 1, "x"))
         bad.add(100_000 + i)
     rows += [(200_000, "eins und zwei", "de", "s", 1, "x")] * 2

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import zlib
+from bisect import bisect_left
 from collections import deque
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -23,18 +24,38 @@ CHUNK = 1 << 20  # ids held before windows are cut
 GRID = 64  # within sentences a cut is possible every so many ids of a document
 
 
-def choose_cuts(at: np.ndarray, penalty: np.ndarray, window: int = WINDOW) -> list[int]:
-    """Positions of the cuts that minimise padding plus penalties; the last one is ``at[-1]``.
+def padded(rest: int, window: int) -> float:
+    """Cost of a last window of ``rest`` ids that is filled up."""
+    return window - rest if rest else 0
+
+
+def split_up(rest: int, window: int) -> float:
+    """Cost of the cheaper way to end: one padded window, or windows of powers of two."""
+    return min(padded(rest, window), max(0, rest.bit_count() - 1) * INSIDE)
+
+
+def left_open(rest: int, window: int) -> float:
+    """Cost of what is not cut yet."""
+    return 0
+
+
+def choose_cuts(
+    at: np.ndarray,
+    penalty: np.ndarray,
+    window: int = WINDOW,
+    end: Callable[[int, int], float] = padded,
+) -> list[int]:
+    """Positions of the cuts that minimise padding plus penalties, without one at the end.
 
     ``at`` are the possible cuts in order, none more than ``window`` after the one before
-    (or after 0), ``penalty`` what a cut there costs. best(k) is the penalty of k plus the
+    (or after 0), the last one being the end; ``penalty`` is what a cut there costs and
+    ``end`` what the ids after the last cut do. best(k) is the penalty of k plus the
     least best(i) + window - (at[k] - at[i]) over the i within one window, so only
     best(i) + at[i] has to be compared: a queue of candidates with growing values gives
     the least one, and each enters and leaves it once. Of equal ones the earliest is
     taken, which fills windows as far as possible.
     """
-    where, cost = at.tolist(), penalty.tolist()
-    place = [0, *where]
+    place, cost = [0, *at.tolist()], [0.0, *penalty.tolist()]
     best, back = [0.0] * len(place), [0] * len(place)
     queue = deque([(0.0, 0)])
     for k in range(1, len(place)):
@@ -42,25 +63,27 @@ def choose_cuts(at: np.ndarray, penalty: np.ndarray, window: int = WINDOW) -> li
         while place[queue[0][1]] < here - window:
             queue.popleft()
         value, i = queue[0]
-        best[k], back[k] = value - here + window + cost[k - 1], i
+        best[k], back[k] = value - here + window + cost[k], i
         value = best[k] + here
         while queue and queue[-1][0] > value:
             queue.pop()
         queue.append((value, k))
-    cuts, k = [], len(place) - 1
+    total = place[-1]
+    last = range(bisect_left(place, total - window), len(place))
+    k = min(last, key=lambda k: best[k] + end(total - place[k], window))
+    cuts = []
     while k:
         cuts.append(place[k])
         k = back[k]
     return cuts[::-1]
 
 
-def _tail(length: int, window: int) -> list[int]:
-    """Sizes of the last windows: powers of two, which need no padding, or one padded window.
-
-    Every further piece counts as a cut inside a sentence.
-    """
-    powers = [1 << b for b in range(length.bit_length() - 1, -1, -1) if length >> b & 1]
-    return powers if (len(powers) - 1) * INSIDE < window - length else [length]
+def _tail(rest: int, window: int) -> list[int]:
+    """Sizes of the windows that ``split_up`` stands for."""
+    if not rest:
+        return []
+    powers = [1 << b for b in range(rest.bit_length() - 1, -1, -1) if rest >> b & 1]
+    return powers if (len(powers) - 1) * INSIDE < window - rest else [rest]
 
 
 class _Packer:
@@ -95,13 +118,11 @@ class _Packer:
         if not self.held:
             return
         at, cost = np.concatenate(self.cuts), np.concatenate(self.costs)
-        cuts = choose_cuts(at, cost, self.window)
-        # The end of what is held is no real end yet: the last windows wait for more.
+        # The end of what is held is no real end before the last call: it waits for more.
+        cuts = choose_cuts(at, cost, self.window, split_up if last else left_open)
         if last:
-            begin = cuts[-2] if len(cuts) > 1 else 0
-            cuts = cuts[:-1] + (begin + np.cumsum(_tail(self.held - begin, self.window))).tolist()
-        else:
-            cuts = cuts[:-2]
+            begin = cuts[-1] if cuts else 0
+            cuts += (begin + np.cumsum(_tail(self.held - begin, self.window), dtype=np.int64)).tolist()
         done = cuts[-1] if cuts else 0
         ids = np.concatenate(self.ids)
         doc, begin = 0, 0  # current document and where its remaining ids begin
