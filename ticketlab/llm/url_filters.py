@@ -60,10 +60,10 @@ def host_links(pages: DataFrame, url_col: str = "url", html_col: str = "html") -
     host and the domain above it, down to two labels, count as one link each way.
     """
     own = host(F.col(url_col))
-    links = (
-        pages.select(own.alias("src"), F.explode(F.array_distinct(F.regexp_extract_all(html_col, F.lit(LINK), F.lit(1)))).alias("dst"))
-        .withColumn("dst", F.translate("dst", UPPER, LOWER))
+    found = F.transform(
+        F.regexp_extract_all(html_col, F.lit(LINK), F.lit(1)), lambda x: F.translate(x, UPPER, LOWER)
     )
+    links = pages.select(own.alias("src"), F.explode(F.array_distinct(found)).alias("dst"))
     linked = links.groupBy("src", "dst").agg(F.count("*").cast("double").alias("weight"))
     known = pages.select(own.alias("host")).union(links.select("dst")).distinct()
     labels = F.split("host", r"\.")
