@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql.types import StructType
 
-RUN_BYTES = 1 << 20  # texts handled together; a longer text is a run of its own
+RUN_BYTES = 1 << 18  # texts handled together; a longer text is a run of its own
 
 _A = np.uint64(0x9E3779B97F4A7C15)
 _B = np.uint64(0xBF58476D1CE4E5B9)
