@@ -74,7 +74,7 @@ def difference(spark, con, name: str, folder: str) -> str | None:
         if a != b:
             where = [(c, x, y) for c, x, y in zip(ours[0], a, b) if x != y]
             return f"first different row: {where}"
-    kinds = {"string": "VARCHAR", "bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE"}
+    kinds = {"string": "VARCHAR", "bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "boolean": "BOOLEAN"}
     wrong = [(c, t, types[c]) for c, t in df.dtypes if kinds.get(t) != types[c]]
     return f"types {wrong}" if wrong else None
 

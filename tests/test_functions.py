@@ -130,7 +130,7 @@ def test_describe_fill_and_clean(spark):
     assert listed == [("sport", "string"), ("v", "double")]
     filled = features.fill_categories(df).select("sport").collect()
     assert sorted(r[0] for r in filled) == ["__missing__", "x"]
-    assert features.clean_numbers(df).filter("v IS NULL").count() == 1
+    assert fn.clean_numbers(df).filter("v IS NULL").count() == 1
 
 
 def test_engineer_only_what_it_can(spark):

@@ -38,7 +38,8 @@ def test_encoder(spark, toy):
     )
     got = [list(r["features"]) for r in enc.transform(unseen).orderBy("ticket_id").collect()]
     s = model.SENTINEL
-    assert got == [[-s, 1.0, 1.0, 0.5], [s, 0.0, 3.0, 0.5], [-s, 1.0, 3.0, -5.0]]
+    # A new string takes the place of the one before it; missing sorts before all letters.
+    assert got == [[-s, 1.0, 1.0, 0.5], [s, 0.0, 2.0, 0.5], [-s, 1.0, 0.0, -5.0]]
 
 
 def test_encoder_refuses_outcomes(toy):
@@ -46,11 +47,12 @@ def test_encoder_refuses_outcomes(toy):
         model.fit_encoder(toy, ["x", "odds_after_10"])
 
 
-def test_wide_strings_are_cut_in_order(spark):
+def test_wide_strings_are_cut_in_order(spark, monkeypatch):
     df = spark.createDataFrame([(f"it's {i:04d}", 1.0) for i in range(900)], "name string, odds_after_10 double")
-    enc = model.fit_encoder(df, ["name"], max_labels=10)
+    monkeypatch.setattr(model, "CUTS", 10)
+    enc = model.fit_encoder(df, ["name"])
     codes = [r["features"][0] for r in enc.transform(df).orderBy("name").collect()]
-    assert codes == sorted(codes) and 200 < len(set(codes)) <= 255
+    assert codes == sorted(codes) and len(set(codes)) == 10
 
 
 def test_boosting_learns_and_stops_early(spark, toy):
@@ -70,6 +72,25 @@ def test_boosting_learns_and_stops_early(spark, toy):
     assert rise["kind"] > rise["noise"] and rise["x"] > rise["noise"]
 
 
+def test_best_round_walks_in_order():
+    errors = [5.0, 4.0, 4.5, 4.4, 4.3, 1.0]
+    assert model.best_round(errors, 3) == (2, 5)
+    assert model.best_round(errors, 4) == (6, 6)
+    assert model.best_round(errors[:3], 3) == (2, 3)
+    assert model.best_round([], 3) == (0, 0)
+
+
+@pytest.mark.parametrize("every", [1, 7, 20])
+def test_stopping_does_not_depend_on_checkpoints(toy, every):
+    noise = toy.withColumn("odds_after_10", F.rand(1))
+    other = noise.withColumn("odds_after_10", F.rand(2))
+    params = dict(rounds=25, learning_rate=0.5, min_leaf=5, max_depth=2, patience=3)
+    fitted, history = model.train(noise, ["noise"], BoostParams(**params, checkpoint_every=every), other)
+    plain, same = model.train(noise, ["noise"], BoostParams(**params, checkpoint_every=3), other)
+    assert fitted.best_iteration == plain.best_iteration
+    assert history == pytest.approx(same, rel=1e-9)
+
+
 def test_patience_ends_training(toy):
     noise = toy.withColumn("odds_after_10", F.rand(1))
     _, history = model.train(

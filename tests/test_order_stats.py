@@ -61,9 +61,7 @@ def test_positions(frame, uneven):
     assert got == {t: i for i, (_, t) in enumerate(ordered)}
 
 
-@pytest.mark.parametrize("tie", [10_000, 0])
-def test_keys_at(frame, uneven, monkeypatch, tie):
-    monkeypatch.setattr(o, "SMALL_TIE", tie)
+def test_keys_at(frame, uneven):
     ordered = sorted((v, t) for t, _, v, _ in uneven)
     keys = o.keys_at(frame, ["v", "ticket_id"], [0, 1500, 2999, 3000])
     assert keys[3] is None

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from ticketlab.schema import DELAY
 
 
 @dataclass(frozen=True)
@@ -17,10 +18,10 @@ class Rule:
 # --- fixed values: results depend on them ------------------------------------------------
 DEFAULT_RULES = (
     Rule("bos", ">=", 1.0),
-    Rule("pending_delay", ">", 0),
-    Rule("pending_delay", "<=", 9),
+    Rule(DELAY, ">", 0),
+    Rule(DELAY, "<=", 9),
 )
-PENDING_THRESHOLD = -0.02
+DELAY_THRESHOLD = -0.02
 SHARP_THRESHOLD = -0.01
 ODDS_EDGES = (1.3, 1.7, 2.2, 3.5)
 ODDS_LABELS = ("heavy_fav", "slight_fav", "even", "underdog", "longshot")
@@ -58,7 +59,7 @@ class BoostParams:
 @dataclass(frozen=True)
 class Settings:
     rules: tuple[Rule, ...] = DEFAULT_RULES
-    pending: float = PENDING_THRESHOLD
+    delay_below: float = DELAY_THRESHOLD
     split: SplitFractions = field(default_factory=SplitFractions)
     boost: BoostParams = field(default_factory=BoostParams)
     max_train_rows: int | None = None

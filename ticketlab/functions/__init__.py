@@ -4,16 +4,19 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ticketlab.config import (
     MISSING_CATEGORY,
     ODDS_EDGES,
     ODDS_LABELS,
-    PENDING_THRESHOLD,
+    DELAY_THRESHOLD,
     SHARP_THRESHOLD,
 )
+from ticketlab.schema import DELAYED
+
+LOW_BITS = 24
 
 
 def col(c: Column | str) -> Column:
@@ -31,6 +34,12 @@ def nan_to_null(c: Column | str) -> Column:
     return F.when(~F.isnan(c), c)
 
 
+def clean_numbers(df: DataFrame) -> DataFrame:
+    """NaN as null in every floating column, so that both mean a missing value."""
+    floating = [f.name for f in df.schema if f.dataType.typeName() in ("double", "float")]
+    return df.withColumns({c: nan_to_null(F.col(c)) for c in floating})
+
+
 def round_half_away(c: Column | str, digits: int) -> Column:
     """Round a double half away from zero by scaling in binary."""
     c, p = col(c), F.lit(float(10**digits))
@@ -55,12 +64,18 @@ def total(c: Column | str, scale: int | None = None) -> Column:
 
     ``scale`` states that the values carry at most that many decimals. The sum is then
     taken in whole units of ``10**-scale``: exact, the same for every partitioning and
-    task retry. Without it this is an ordinary double sum.
+    task retry, for up to 5 * 10**11 rows. Without it this is an ordinary double sum.
     """
     c = col(c)
     if scale is None:
         return F.sum(c)
-    return F.sum(_units(c, scale)).cast("double") / F.lit(float(10**scale))
+    units = _units(c, scale)
+    # Summed as two longs, since one would overflow at some 10**10 rows of money, and put
+    # together as a decimal once per group.
+    high = F.sum(F.shiftright(units, LOW_BITS)).cast("decimal(20,0)")
+    low = F.sum(units.bitwiseAND(F.lit((1 << LOW_BITS) - 1))).cast("decimal(20,0)")
+    whole = high * F.lit(1 << LOW_BITS).cast("decimal(10,0)") + low
+    return whole.cast("double") / F.lit(float(10**scale))
 
 
 def mean(c: Column | str, scale: int | None = None) -> Column:
@@ -116,9 +131,9 @@ def odds_bucket(odds: Column | str = "selection_odds", closed: str = "left") ->
     return out.otherwise(F.lit(ODDS_LABELS[-1]))
 
 
-def tier(score: Column | str, pending: float = PENDING_THRESHOLD) -> Column:
-    """PENDING below the threshold, SKIP at or above it and for a missing score."""
-    return F.when(col(score) < pending, F.lit("PENDING")).otherwise(F.lit("SKIP"))
+def tier(score: Column | str, below: float = DELAY_THRESHOLD) -> Column:
+    """The delaying tier below the threshold, SKIP at or above it and for a missing score."""
+    return F.when(col(score) < below, F.lit(DELAYED)).otherwise(F.lit("SKIP"))
 
 
 def band(score: Column | str, bands: Sequence[tuple[str, float | None]]) -> Column:

@@ -11,10 +11,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ticketlab import functions as fn
-from ticketlab.config import PENDING_THRESHOLD
+from ticketlab.config import DELAY_THRESHOLD
 from ticketlab.operators import order_stats
 from ticketlab.operators.filters import valid_target
-from ticketlab.schema import TARGET, enrich_columns, inspect_columns
+from ticketlab.schema import DELAYED, TARGET, enrich_columns, inspect_columns
 
 
 def _state(name: str) -> Column:
@@ -104,10 +104,10 @@ def target_stats(df: DataFrame, column: str = TARGET, scale: int | None = None)
 
 
 def tier_summary(
-    df: DataFrame, pending: float = PENDING_THRESHOLD, scale: int | None = None
+    df: DataFrame, below: float = DELAY_THRESHOLD, scale: int | None = None
 ) -> DataFrame:
     """Tickets with a target by the tier their target would put them in."""
-    label = F.when(F.col(TARGET) < pending, F.lit("1. PENDING")).otherwise(F.lit("2. SKIP"))
+    label = F.when(F.col(TARGET) < below, F.lit(f"1. {DELAYED}")).otherwise(F.lit("2. SKIP"))
     grouped = (
         df.filter(F.col(TARGET).isNotNull())
         .groupBy(label.alias("tier"))

@@ -12,8 +12,6 @@ from ticketlab import functions as fn
 from ticketlab.operators import order_stats
 from ticketlab.schema import TARGET
 
-EDGE_DIGITS = 9
-
 
 def regression_metrics(df: DataFrame, actual: str = TARGET, predicted: str = "pred") -> DataFrame:
     """Error and association measures, one row."""
@@ -38,7 +36,7 @@ def regression_metrics(df: DataFrame, actual: str = TARGET, predicted: str = "pr
 def quantile_edges(df: DataFrame, column: str, n_bins: int) -> list[float]:
     """Distinct bin edges from minimum to maximum; ties in the data merge bins."""
     exact = order_stats.quantile_list(df, column, [i / n_bins for i in range(n_bins + 1)])
-    return sorted({round(e, EDGE_DIGITS) for e in exact})
+    return sorted(set(exact))
 
 
 def quantile_bins(df: DataFrame, column: str, n_bins: int) -> DataFrame:

@@ -78,9 +78,3 @@ def numeric_features(df: DataFrame, columns: Iterable[str]) -> list[str]:
 def describe_columns(df: DataFrame) -> DataFrame:
     """Column names and types."""
     return df.sparkSession.createDataFrame(df.dtypes, "column string, type string")
-
-
-def clean_numbers(df: DataFrame) -> DataFrame:
-    """NaN as null in every floating column, so that both mean a missing value."""
-    floating = [f.name for f in df.schema if f.dataType.typeName() in ("double", "float")]
-    return df.withColumns({c: fn.nan_to_null(F.col(c)) for c in floating})

@@ -20,12 +20,11 @@ from ticketlab import functions as fn
 from ticketlab.config import MISSING_CATEGORY, BoostParams
 from ticketlab.operators import order_stats
 from ticketlab.operators.features import check_leakage, numeric_features
-from ticketlab.schema import CATEGORICAL_FEATURES, TARGET
+from ticketlab.schema import CATEGORICAL_FEATURES, DELAYED_COUNT, TARGET
 
 # Stands for a missing number, below every real one; infinities are clamped to its size.
 SENTINEL = 1.0e30
-MAX_LABELS = 100_000  # values of a string feature that may be held in a dictionary
-CUTS = 254
+CUTS = 254  # values that cut a string feature, as many as the trees have split candidates
 CATEGORY, NUMBER, ABSENT = "_cat_", "_num_", "_nul_"
 
 
@@ -33,45 +32,41 @@ CATEGORY, NUMBER, ABSENT = "_cat_", "_num_", "_nul_"
 
 
 def _order_cuts(df: DataFrame, column: str, n: int) -> list[str]:
-    """At most ``n`` values that cut the rows, ordered by ``column``, into even parts."""
-    text = df.select(fn.fill_category(column).alias("_text"))
-    rows = text.count()
-    keys = order_stats.keys_at(text, ["_text"], sorted({rows * i // (n + 1) for i in range(1, n + 1)}))
+    """``n`` of the distinct values, evenly spaced in sorted order; all if there are no more."""
+    text = df.select(fn.fill_category(column).alias("_text")).distinct()
+    values = text.count()
+    ranks = sorted({values * i // n for i in range(n)})
+    keys = order_stats.keys_at(text, ["_text"], ranks)
     return sorted({k["_text"] for k in keys if k is not None})
 
 
 def fit_encoder(
-    train: DataFrame,
-    features: Sequence[str],
-    categorical: Sequence[str] = (),
-    max_labels: int = MAX_LABELS,
+    train: DataFrame, features: Sequence[str], categorical: Sequence[str] = ()
 ) -> PipelineModel:
     """Learn the encoding on the training rows.
 
-    Strings become codes in sorted order, with missing as a value of its own. They count as
-    ordered numbers unless listed in ``categorical``. A string feature with more than
-    ``max_labels`` values gets no dictionary: its code is its place among as many cut values
-    as the trees have split candidates. Missing numbers get a value below all others and,
-    where training rows have any, an indicator beside it.
+    A string stands for the last cut value that does not sort after it, and its code is the
+    place of that; missing sorts as its own label. The cut values are CUTS of the distinct
+    training values, evenly spaced in sorted order, so with no more than CUTS of them
+    the codes are their dense ranks. Strings count as ordered numbers unless listed in ``categorical``.
+    Missing numbers get a value below all others and, where training rows have any, an
+    indicator beside it.
     """
     check_leakage(features)
     numbers = numeric_features(train, features)
     strings = [c for c in features if c not in numbers]
     found = train.agg(
         *[F.count_if(F.col(c).isNull() | F.isnan(F.col(c).cast("double"))).alias(c) for c in numbers],
-        *[F.approx_count_distinct(c).alias(c) for c in strings],
         F.count("*").alias("_n"),
     ).first()
     flagged = [c for c in numbers if found[c]]
-    wide = [c for c in strings if found[c] > max_labels]
-    strings = [c for c in strings if c not in wide]
-    lines = [f"coalesce(`{c}`, '{MISSING_CATEGORY}') AS `_str_{c}`" for c in strings]
-    for c in wide:
+    lines = []
+    for c in strings:
         quoted = [v.replace("\\", "\\\\").replace("'", "\\'") for v in _order_cuts(train, c, CUTS)]
         cuts = ", ".join(f"'{v}'" for v in quoted)
         lines.append(
-            f"CAST(size(filter(array({cuts}), v -> v <= coalesce(`{c}`, '{MISSING_CATEGORY}'))) "
-            f"AS DOUBLE) AS `{CATEGORY}{c}`"
+            f"coalesce(array_max(filter(array({cuts}), v -> v <= coalesce(`{c}`, '{MISSING_CATEGORY}'))), "
+            f"'{quoted[0]}') AS `_str_{c}`"
         )
     for c in numbers:
         x = f"CAST(`{c}` AS DOUBLE)"
@@ -122,12 +117,6 @@ def features_of(encoder: PipelineModel) -> list[str]:
     return list(dict.fromkeys(feature_of(s) for s in slots_of(encoder)))
 
 
-def largest_category(encoder: PipelineModel) -> int:
-    """Number of codes of the widest string feature, 0 without one."""
-    indexers = [s for s in encoder.stages if hasattr(s, "labelsArray")]
-    return max((len(a) + 1 for s in indexers for a in s.labelsArray), default=0)
-
-
 # --- boosting ------------------------------------------------------------------------------
 
 
@@ -153,6 +142,21 @@ def _validation_errors(val: DataFrame, trees, rate: float) -> list[float]:
     return list(scored.agg(*names).first())
 
 
+def best_round(history: Sequence[float], patience: int) -> tuple[int, int]:
+    """Best round, and the round at which training ends or has come to.
+
+    Walks the errors in order and ends ``patience`` rounds after the last improvement, so
+    the result does not depend on how many rounds are looked at together.
+    """
+    best = 0
+    for number, error in enumerate(history, 1):
+        if not best or error < history[best - 1]:
+            best = number
+        elif number - best >= patience:
+            return best, number
+    return best, len(history)
+
+
 def boost(
     train: DataFrame,
     val: DataFrame | None,
@@ -215,8 +219,9 @@ def boost(
         if len(recent) == block or last:
             if val_state is not None:
                 history += _validation_errors(val_state, recent, rate)
-                best = min(range(len(history)), key=history.__getitem__) + 1
-                done = len(history) - best >= params.patience
+                best, stop = best_round(history, params.patience)
+                done = stop < len(history) or stop - best >= params.patience
+                history = history[:stop]
             if done or last:
                 break
             # The scores move on to a checkpoint, so that no plan spans more than one block.
@@ -280,7 +285,7 @@ def train(
         encoded_val = encoder.transform(val_rows).select("features", label)
     bins = params.max_bins
     if set(categorical) & set(features):
-        bins = max(bins, largest_category(encoder))
+        bins = max(bins, CUTS + 1)
     with order_stats.scratch(train_rows.sparkSession) as folder:
         booster, used, history = boost(encoded, encoded_val, params, row_key, bins, folder)
     return TicketModel(encoder, booster, used), history
@@ -423,7 +428,7 @@ def results_summary(training: DataFrame, evaluation: DataFrame) -> DataFrame:
     left = training.select(
         "val_mae", "val_rmse", "best_iteration", "n_train", "n_val"
     ).limit(1).withColumn("_one", F.lit(1))
-    counts = ("pending_count", "skip_count", "skip_rejected_count")
+    counts = (DELAYED_COUNT, "skip_count", "skip_rejected_count")
     measures = ("mae", "rmse", "correlation", "median_ae", "skip_rate", "pnl_delta", "pnl_delta_pct")
     have = set(evaluation.columns)
     right = evaluation.limit(1).select(

@@ -18,7 +18,6 @@ from pyspark.sql import functions as F
 
 DIRECT = 1_000_000  # rows that may be ordered without a bound
 SAMPLE_FACTOR = 100  # rows sampled per wanted row when looking for a bound
-SMALL_TIE = 10_000  # rows sharing a leading key that are ordered directly
 DIGITS = 3  # hexadecimal digits per step of the hash sample: 4096 counters
 
 
@@ -243,10 +242,7 @@ def keys_at(df: DataFrame, order: Sequence[str], positions: Sequence[int]) -> li
             continue
         tied = df.filter(F.col(first).eqNullSafe(F.lit(bound[first]))).select(*rest)
         inner_position = p - bound["start"]
-        if bound["end"] - bound["start"] <= SMALL_TIE:
-            inner = tied.orderBy(*rest).limit(inner_position + 1).tail(1)[0]
-        else:
-            inner = keys_at(tied, rest, [inner_position])[0]
+        inner = keys_at(tied, rest, [inner_position])[0]
         found.append(Row(**{first: bound[first]}, **inner.asDict()))
     return found
 
@@ -267,15 +263,13 @@ def key_before(df: DataFrame, order: Sequence[str], key: Row, inclusive: bool =
     return before & (F.col(order[0]).isNull() | (F.col(order[0]) <= F.lit(lead)))
 
 
-def smallest(df: DataFrame, order: Sequence[str], n: int) -> DataFrame:
-    """The ``n`` rows with the smallest keys; ``order`` must be unique.
+def _bounded(df: DataFrame, order: list[str], n: int) -> tuple[Row | None, DataFrame, int]:
+    """A key with at least ``n`` rows up to it, the keys up to it, and how many these are.
 
-    A plain ordered limit hands ``n`` rows per input partition to one task. Here a bound
-    comes first: the ``n``-th smallest key of any part of the rows has at least ``n`` rows
-    up to it, so a random part yields a filter that is always valid and leaves about
-    ``n / part`` of the rows. This repeats until few enough are left to order.
+    The ``n``-th smallest key of any part of the rows has at least ``n`` rows up to it, so
+    a random part yields a filter that is always valid and leaves about ``n / part`` of
+    the rows. This repeats until few enough are left to order.
     """
-    order = list(order)
     keys = df.select(*order)
     bound, left = None, keys.count()
     while left > max(DIRECT, 2 * SAMPLE_FACTOR * n):
@@ -288,6 +282,17 @@ def smallest(df: DataFrame, order: Sequence[str], n: int) -> DataFrame:
         before, left = left, keys.count()
         if left > before // 2:
             break
+    return bound, keys, left
+
+
+def smallest(df: DataFrame, order: Sequence[str], n: int) -> DataFrame:
+    """The ``n`` rows with the smallest keys; ``order`` must be unique.
+
+    A plain ordered limit hands ``n`` rows per input partition to one task; here a bound
+    comes first.
+    """
+    order = list(order)
+    bound, keys, left = _bounded(df, order, n)
     if left > DIRECT:
         # The bound is narrowed to the answer on the keys alone, before wide rows are read.
         bound = _last_of(keys, order, n)["key"]
@@ -296,6 +301,11 @@ def smallest(df: DataFrame, order: Sequence[str], n: int) -> DataFrame:
     return df.orderBy(*order).limit(n)
 
 
+def last_of_smallest(df: DataFrame, order: Sequence[str], n: int) -> Row:
+    """Key of the last of the ``n`` rows with the smallest keys."""
+    return _last_of(_bounded(df, list(order), n)[1], order, n)["key"]
+
+
 def _last_of(keys: DataFrame, order: Sequence[str], n: int) -> Row:
     """Count and largest key of the first ``n`` keys."""
     first = keys.orderBy(*order).limit(n)

@@ -6,11 +6,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ticketlab import functions as fn
-from ticketlab.config import PENDING_THRESHOLD
+from ticketlab.config import DELAY_THRESHOLD
+from ticketlab.schema import DELAYED, DELAYED_COUNT, DELAYED_RATE
 
 
-def classify(df: DataFrame, score: str, pending: float = PENDING_THRESHOLD) -> DataFrame:
-    return df.withColumn("model_tier", fn.tier(score, pending))
+def classify(df: DataFrame, score: str, below: float = DELAY_THRESHOLD) -> DataFrame:
+    return df.withColumn("model_tier", fn.tier(score, below))
 
 
 def classify_bands(df: DataFrame, score: str, bands) -> DataFrame:
@@ -19,8 +20,8 @@ def classify_bands(df: DataFrame, score: str, bands) -> DataFrame:
 
 def tier_share(df: DataFrame) -> DataFrame:
     """Count and percentage of both tiers, also of one without tickets."""
-    counts = {t: F.count_if(F.col("model_tier") == t) for t in ("SKIP", "PENDING")}
-    both = counts["SKIP"] + counts["PENDING"]
+    counts = {t: F.count_if(F.col("model_tier") == t) for t in ("SKIP", DELAYED)}
+    both = counts["SKIP"] + counts[DELAYED]
     rows = [
         F.struct(F.lit(t).alias("model_tier"), n.alias("n"), fn.percent(n, both).alias("pct"))
         for t, n in counts.items()
@@ -61,12 +62,12 @@ def policy(df: DataFrame, scale: int | None = None) -> DataFrame:
 
 def policy_summary(df: DataFrame) -> DataFrame:
     """Totals of a policy table, one row; rates are 0 where the denominator is."""
-    skip, pending = (F.count_if(F.col("model_tier") == t) for t in ("SKIP", "PENDING"))
+    skip, delayed = (F.count_if(F.col("model_tier") == t) for t in ("SKIP", DELAYED))
     n = F.count("*")
     totals = df.agg(
         n.alias("n_total"),
         skip.alias("skip_count"),
-        pending.alias("pending_count"),
+        delayed.alias(DELAYED_COUNT),
         F.count_if(_skip_rejected()).alias("skip_rejected_count"),
         F.coalesce(F.sum("factual_pnl"), F.lit(0.0)).alias("factual_pnl"),
         F.coalesce(F.sum("counterfactual_pnl"), F.lit(0.0)).alias("counterfactual_pnl"),
@@ -81,8 +82,8 @@ def policy_summary(df: DataFrame) -> DataFrame:
         "n_total",
         "skip_count",
         share("skip_count").alias("skip_rate"),
-        "pending_count",
-        share("pending_count").alias("pending_rate"),
+        DELAYED_COUNT,
+        share(DELAYED_COUNT).alias(DELAYED_RATE),
         "skip_rejected_count",
         "factual_pnl",
         "counterfactual_pnl",

@@ -1,4 +1,4 @@
-"""The review sample of PENDING tickets and the tables behind its charts."""
+"""The review sample of tickets to delay and the tables behind its charts."""
 
 from __future__ import annotations
 
@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ticketlab import functions as fn
 from ticketlab.operators import order_stats
-from ticketlab.schema import REVIEW_COLUMNS, TARGET
+from ticketlab.schema import DELAYED, REVIEW_COLUMNS, TARGET
 
 
 def worst(df: DataFrame, n: int = 50, score: str = "predicted_clv") -> DataFrame:
@@ -32,15 +32,15 @@ def scatter_points(
 def review_sample(
     df: DataFrame, score: str = "predicted_clv", size: int = 100, seed: int = 42
 ) -> DataFrame:
-    """All PENDING tickets if at most ``size``; else the worst half and a random half."""
-    pending = df.filter(F.col("model_tier") == "PENDING")
-    if pending.limit(size + 1).count() <= size:
-        return pending
+    """All tickets to delay if at most ``size``; else the worst half and a random half."""
+    delayed = df.filter(F.col("model_tier") == DELAYED)
+    if delayed.limit(size + 1).count() <= size:
+        return delayed
     half = size // 2
-    lowest = worst(pending, half, score)
-    # ``lowest`` has at most ``half`` rows.
-    rest = pending.join(F.broadcast(lowest.select("ticket_id")), "ticket_id", "left_anti")
-    return lowest.unionByName(sample_n(rest, half, seed))
+    order = [score, "ticket_id"]
+    last = order_stats.last_of_smallest(delayed, order, half)
+    lowest = order_stats.key_before(delayed, order, last, inclusive=True)
+    return delayed.filter(lowest).unionByName(sample_n(delayed.filter(~lowest), half, seed))
 
 
 def review_summary(df: DataFrame, score: str = "predicted_clv") -> DataFrame:

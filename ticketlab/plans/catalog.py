@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,7 +25,7 @@ from ticketlab.operators import (
     split,
 )
 from ticketlab.plans import jobs
-from ticketlab.schema import DEFAULT_FEATURES, TARGET
+from ticketlab.schema import DEFAULT_FEATURES, DELAY, DELAYED, TARGET
 from ticketlab.sources import files, star
 from ticketlab.sources.star import MONEY
 
@@ -33,7 +34,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 BANDS = (("HIGHER", -0.02), ("STATIC", 0.0), ("LOWER", 0.02), ("SKIP", None))
 AUDIT_RULES = (*DEFAULT_RULES, Rule("sport", "!=", "BUILDING"), Rule("absent", ">", 0))
 PROFILE_NUMBERS = (
-    "selection_odds", "stake", "pending_delay", "client_id", "market_type_id", "stake_ratio",
+    "selection_odds", "stake", DELAY, "client_id", "market_type_id", "stake_ratio",
     "mean_stake_size", "odds_after_30", "odds_after_90",
 )
 QUICK = BoostParams(rounds=4, learning_rate=0.3, patience=2, max_depth=4, checkpoint_every=2)
@@ -83,9 +84,9 @@ def tiered(spark, sf):
     return policy.classify(scored(spark, sf), "pred")
 
 
-def pending(spark, sf):
-    """PENDING tickets as the review sees them."""
-    rows = tiered(spark, sf).filter(F.col("model_tier") == "PENDING")
+def delayed(spark, sf):
+    """Tickets to delay as the review sees them."""
+    rows = tiered(spark, sf).filter(F.col("model_tier") == DELAYED)
     return rows.withColumn("predicted_clv", F.col("pred"))
 
 
@@ -153,7 +154,7 @@ def valid_target(spark, sf):
 
 
 def apply_rules(spark, sf):
-    return kept(spark, sf).select("ticket_id", "bos", "pending_delay", TARGET)
+    return kept(spark, sf).select("ticket_id", "bos", DELAY, TARGET)
 
 
 def stake_ratio(spark, sf):
@@ -252,12 +253,12 @@ def regression_metrics(spark, sf):
 
 def calibration_report(spark, sf):
     df = calibration.calibration_report(once(scored(spark, sf), TARGET, "pred"))
-    return rounded(df, 6, "mean_predicted", "mean_actual", "abs_error")
+    return rounded(rounded(df, 9, "bin_lo", "bin_hi"), 6, "mean_predicted", "mean_actual", "abs_error")
 
 
 def calibration_bins(spark, sf):
     df = calibration.calibration_bins(once(scored(spark, sf), TARGET, "pred"))
-    return rounded(df, 6, "mean_pred", "mean_actual", "std_actual")
+    return rounded(rounded(df, 9, "bin_lo", "bin_hi"), 6, "mean_pred", "mean_actual", "std_actual")
 
 
 def isotonic(spark, sf):
@@ -275,7 +276,7 @@ REVIEW = ["ticket_id", "sport", "ticket_state", "stake", "predicted_clv", TARGET
 
 
 def worst_50(spark, sf):
-    return review.worst(once(pending(spark, sf), *REVIEW))
+    return review.worst(once(delayed(spark, sf), *REVIEW))
 
 
 def review_sample(spark, sf):
@@ -284,28 +285,28 @@ def review_sample(spark, sf):
 
 
 def review_points(spark, sf):
-    return review.review_points(pending(spark, sf), "predicted_clv")
+    return review.review_points(delayed(spark, sf), "predicted_clv")
 
 
 def review_detail(spark, sf):
-    return review.review_detail(pending(spark, sf), "stake", ascending=False)
+    return review.review_detail(delayed(spark, sf), "stake", ascending=False)
 
 
 def review_summary(spark, sf):
-    return rounded(review.review_summary(pending(spark, sf)), 6, "avg_predicted_clv")
+    return rounded(review.review_summary(delayed(spark, sf)), 6, "avg_predicted_clv")
 
 
 def review_by_sport(spark, sf):
-    df = review.review_by_sport(pending(spark, sf), MONEY)
+    df = review.review_by_sport(delayed(spark, sf), MONEY)
     return rounded(df, 6, "pct_sharp", "mean_clv")
 
 
 def review_states(spark, sf):
-    return review.review_states(pending(spark, sf))
+    return review.review_states(delayed(spark, sf))
 
 
 def histogram(spark, sf):
-    return rounded(review.histogram(features.with_sharp(once(pending(spark, sf), TARGET))), 6, "bin_lo")
+    return rounded(review.histogram(features.with_sharp(once(delayed(spark, sf), TARGET))), 6, "bin_lo")
 
 
 def scatter_points(spark, sf):
@@ -370,10 +371,17 @@ def permutation_importance(spark, sf):
 
 
 def permute(spark, sf):
-    """A permuted column holds the same values as before."""
+    """Every ticket with the stake of its partner."""
     rows = once(kept(spark, sf), "ticket_id", "stake")
     swapped = model.permute(rows, ["stake"], seed=7)
-    return swapped.groupBy(F.col("_swap_stake").alias("stake")).agg(F.count("*").alias("n"))
+    return swapped.select("ticket_id", F.col("_swap_stake").alias("stake"))
+
+
+def encode(spark, sf):
+    """Codes of a string feature."""
+    rows = once(kept(spark, sf), "ticket_id", "sport")
+    coded = model.fit_encoder(rows, ["sport"]).transform(rows)
+    return coded.select("ticket_id", vector_to_array("features")[0].alias("code"))
 
 
 def feature_analysis(spark, sf):
@@ -542,6 +550,7 @@ QUERIES: dict[str, Query] = {
     "train_score": train_score,
     "importance": importance,
     "permute": permute,
+    "encode": encode,
     "permutation_importance": permutation_importance,
     "feature_analysis": feature_analysis,
     "results_summary": results_summary,

@@ -179,7 +179,7 @@ def evaluate_job(
         if files.path_exists(spark, f"{root}/calibrator"):
             calibrator = IsotonicRegressionModel.load(f"{root}/calibrator")
         predicted = calibration.calibrate(scored, calibrator, "raw_score", "predicted_clv")
-        tiered = policy.classify(predicted, "predicted_clv", settings.pending)
+        tiered = policy.classify(predicted, "predicted_clv", settings.delay_below)
         files.write_parquet(policy.policy(tiered, scale).drop("raw_score"), f"{root}/ope/simulation")
     simulated = spark.read.parquet(f"{root}/ope/simulation")
     files.write_parquet(review.review_sample(simulated), f"{root}/ope/review_sample")

@@ -5,6 +5,7 @@ Written against the tables alone, independently of the DataFrame code.
 
 from __future__ import annotations
 
+from ticketlab.config import MISSING_CATEGORY
 from ticketlab.plans.catalog import AUDIT_RULES, BANDS, PROFILE_NUMBERS
 from ticketlab.schema import DEFAULT_FEATURES, ENRICH_COLUMNS, REVIEW_COLUMNS, enrich_columns, inspect_columns
 
@@ -56,7 +57,7 @@ SELECT bettor_id, sport, market_name AS market_type, CAST(sum(CAST(pnl AS DECIMA
   CAST(sum(CAST(pnl AS DECIMAL(18,4))) AS DOUBLE) / nullif(CAST(sum(CAST(CASE WHEN ticket_state <> 'rejected' THEN stake END AS DECIMAL(18,4))) AS DOUBLE), 0) AS margin, CAST(sum(CAST(stake AS DECIMAL(18,4))) AS DOUBLE) AS stake,
   CAST(sum(CAST(odds_after_10 AS DECIMAL(18,4))) AS DOUBLE) / nullif(count(odds_after_10), 0) AS avg_odds_after_10, CAST(sum(CAST(odds_after_30 AS DECIMAL(18,4))) AS DOUBLE) / nullif(count(odds_after_30), 0) AS avg_odds_after_30, CAST(sum(CAST(odds_after_90 AS DECIMAL(18,4))) AS DOUBLE) / nullif(count(odds_after_90), 0) AS avg_odds_after_90,
   CAST(sum(CAST(CASE WHEN ticket_state = 'rejected' THEN stake ELSE 0 END AS DECIMAL(18,4))) AS DOUBLE) AS rejected_stake, CAST(sum(CAST(CASE WHEN ticket_state = 'rejected' THEN stake * odds_after_10 ELSE 0 END AS DECIMAL(18,6))) AS DOUBLE) AS rejected_pnl
-FROM tickets WHERE CAST(bettor_id AS BIGINT) % 7 <> 0 GROUP BY bettor_id, sport, market_name
+FROM tickets GROUP BY bettor_id, sport, market_name
 """
 
 REJECTED = """
@@ -71,7 +72,7 @@ FROM tickets GROUP BY bettor_id, ots_risk_tier_id
 """
 
 STAKE_SIZE = """
-SELECT bettor_id, CAST(sum(CAST(stake AS DECIMAL(18,4))) AS DOUBLE) / nullif(count(stake), 0) AS mean_stake_size FROM tickets WHERE CAST(bettor_id AS BIGINT) % 11 <> 0 GROUP BY bettor_id
+SELECT bettor_id, CAST(sum(CAST(stake AS DECIMAL(18,4))) AS DOUBLE) / nullif(count(stake), 0) AS mean_stake_size FROM tickets GROUP BY bettor_id
 """
 
 CTES = {
@@ -191,7 +192,7 @@ CTES["scored"] = "SELECT *, odds_after_30 / 2 AS pred FROM kept WHERE odds_after
 CTES["tiered"] = (
     "SELECT *, CASE WHEN pred < CAST('-0.02' AS DOUBLE) THEN 'PENDING' ELSE 'SKIP' END AS model_tier FROM scored"
 )
-CTES["pending"] = "SELECT *, pred AS predicted_clv FROM tiered WHERE model_tier = 'PENDING'"
+CTES["delayed"] = "SELECT *, pred AS predicted_clv FROM tiered WHERE model_tier = 'PENDING'"
 CTES["skip_yield"] = f"""
 SELECT coalesce({total('CASE WHEN settled THEN coalesce(pnl, 0) END')}
   / nullif({total('CASE WHEN settled THEN stake END')}, 0), 0) AS skip_yield
@@ -212,7 +213,7 @@ DEPENDS = {
     "merged": ("history", "rejected_rollup", "risk_rollup", "stake_size"),
     "kept": ("tickets",), "featured": ("kept", "stake_size"), "positioned": ("kept",),
     "split_kept": ("positioned",), "split_source": ("positioned",), "scored": ("kept",),
-    "tiered": ("scored",), "pending": ("tiered",), "skip_yield": ("tiered",),
+    "tiered": ("scored",), "delayed": ("tiered",), "skip_yield": ("tiered",),
     "policy": ("tiered", "skip_yield"),
 }
 
@@ -452,31 +453,31 @@ FROM tickets GROUP BY 1"""),
   GROUP BY r.i, u.lo""",
     }, select=f"""SELECT r.score, r.n, {rnd('max(f.m)', 6)} AS calibrated FROM ranked r JOIN floors f ON f.i = r.i
 GROUP BY r.score, r.n"""),
-    "worst_50": over("pending", select=f"SELECT {REVIEW} FROM pending ORDER BY predicted_clv, ticket_id LIMIT 50"),
-    "review_sample": over("pending", extra={
-        "worst": f"SELECT {REVIEW} FROM pending ORDER BY predicted_clv, ticket_id LIMIT 50",
-        "other": f"""SELECT {REVIEW} FROM pending WHERE ticket_id NOT IN (SELECT ticket_id FROM worst)
+    "worst_50": over("delayed", select=f"SELECT {REVIEW} FROM delayed ORDER BY predicted_clv, ticket_id LIMIT 50"),
+    "review_sample": over("delayed", extra={
+        "worst": f"SELECT {REVIEW} FROM delayed ORDER BY predicted_clv, ticket_id LIMIT 50",
+        "other": f"""SELECT {REVIEW} FROM delayed WHERE ticket_id NOT IN (SELECT ticket_id FROM worst)
   {md5_order(42)} LIMIT 50""",
     }, select="SELECT * FROM worst UNION ALL SELECT * FROM other"),
-    "review_points": over("pending", select=f"""SELECT ticket_id, predicted_clv, odds_after_10, sport, market_name,
-  stake, ticket_state, {FLAG} AS sharp FROM pending"""),
-    "review_detail": over("pending", select=f"""SELECT {', '.join(c for c in REVIEW_COLUMNS if not c.startswith('bs_'))}
-FROM pending"""),
-    "review_summary": over("pending", select=f"""SELECT count(*) AS n, count(*) FILTER ({SHARP}) AS n_sharp,
+    "review_points": over("delayed", select=f"""SELECT ticket_id, predicted_clv, odds_after_10, sport, market_name,
+  stake, ticket_state, {FLAG} AS sharp FROM delayed"""),
+    "review_detail": over("delayed", select=f"""SELECT {', '.join(c for c in REVIEW_COLUMNS if not c.startswith('bs_'))}
+FROM delayed"""),
+    "review_summary": over("delayed", select=f"""SELECT count(*) AS n, count(*) FILTER ({SHARP}) AS n_sharp,
   {rnd(pct(f'count(*) FILTER ({SHARP})', 'count(*)'), 1)} AS pct_sharp,
   count(*) FILTER (ticket_state = 'rejected') AS n_rejected,
   {rnd(pct("count(*) FILTER (ticket_state = 'rejected')", 'count(*)'), 1)} AS pct_rejected,
-  {rnd('avg(predicted_clv)', 6)} AS avg_predicted_clv FROM pending"""),
-    "review_by_sport": over("pending", select=f"""SELECT sport, count(odds_after_10) AS "count",
+  {rnd('avg(predicted_clv)', 6)} AS avg_predicted_clv FROM delayed"""),
+    "review_by_sport": over("delayed", select=f"""SELECT sport, count(odds_after_10) AS "count",
   {rnd(pct(f'count(*) FILTER ({SHARP})', 'count(*)'), 6)} AS pct_sharp, {rnd(mean('odds_after_10'), 6)} AS mean_clv
-FROM pending WHERE sport IS NOT NULL GROUP BY sport"""),
-    "review_states": over("pending", select="""SELECT ticket_state AS state, count(*) AS "count" FROM pending
+FROM delayed WHERE sport IS NOT NULL GROUP BY sport"""),
+    "review_states": over("delayed", select="""SELECT ticket_state AS state, count(*) AS "count" FROM delayed
 WHERE ticket_state IS NOT NULL GROUP BY 1"""),
-    "histogram": over("pending", extra={
-        "span": "SELECT min(odds_after_10) AS lo, (max(odds_after_10) - min(odds_after_10)) / 25 AS width FROM pending",
+    "histogram": over("delayed", extra={
+        "span": "SELECT min(odds_after_10) AS lo, (max(odds_after_10) - min(odds_after_10)) / 25 AS width FROM delayed",
     }, select=f"""SELECT bin, sharp, {rnd('lo + bin * width', 6)} AS bin_lo, n FROM (
   SELECT CAST(least(floor((odds_after_10 - lo) / width), 24) AS BIGINT) AS bin, {FLAG} AS sharp, count(*) AS n
-  FROM pending, span WHERE odds_after_10 IS NOT NULL GROUP BY 1, 2), span"""),
+  FROM delayed, span WHERE odds_after_10 IS NOT NULL GROUP BY 1, 2), span"""),
     "scatter_points": over("scored", select=f"""SELECT ticket_id, odds_after_10, pred FROM scored
 {md5_order(42)} LIMIT 10000"""),
     "sample_n": over("kept", select=f"SELECT ticket_id, odds_after_10 FROM kept {md5_order(7)} LIMIT 2000"),
@@ -492,7 +493,12 @@ FROM ({correlations([p for p in ALL_PAIRS if p[0] != p[1]], 'corr({a}, {b})', Fa
     }, select=f"""SELECT sport, stake, {rnd('stake / sum(stake) OVER () * 100', 6)} AS stake_pct,
   {rnd('sum(stake) OVER (ORDER BY stake DESC, sport ROWS UNBOUNDED PRECEDING) / sum(stake) OVER () * 100', 6)}
     AS cumulative_stake_pct FROM sports"""),
-    "permute": over("kept", select="SELECT stake, count(*) AS n FROM kept GROUP BY stake"),
+    "permute": over("kept", extra={
+        "here": "SELECT ticket_id, row_number() OVER (ORDER BY ticket_id) AS p FROM kept",
+        "there": """SELECT stake, row_number() OVER (ORDER BY md5(ticket_id || '|7'), ticket_id) AS p FROM kept""",
+    }, select="SELECT ticket_id, stake FROM here JOIN there USING (p)"),
+    "encode": over("kept", select=f"""SELECT ticket_id,
+  CAST(dense_rank() OVER (ORDER BY coalesce(sport, '{MISSING_CATEGORY}')) - 1 AS DOUBLE) AS code FROM kept"""),
     "csv_roundtrip": over("tickets", select="SELECT * FROM tickets"),
     "parquet_roundtrip": over("tickets", select="SELECT * FROM tickets"),
     "convert": over("tickets", select="SELECT count(*) AS n_rows FROM tickets"),

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql.types import DoubleType, IntegerType, LongType, StringType, StructType
 
 # --- fixed values: column names, types and order of the input files ----------------------
+DELAY = "pending_delay"
+DELAYED = "PENDING"
+DELAYED_COUNT, DELAYED_RATE = "pending_count", "pending_rate"
 TICKETS_DDL = """
     ticket_id string, created_at string, accepted_at string, rejected_at string,
     bettor_id string, pending_delay int, client_id int, cashout_stake double,
@@ -43,7 +46,7 @@ METADATA_COLUMNS = (
 CATEGORICAL_FEATURES = ("market_name", "market_selection", "sport", "odds_bucket")
 
 DEFAULT_FEATURES = (
-    "selection_odds", "stake", "pending_delay", "market_selection", "sport", "client_id",
+    "selection_odds", "stake", DELAY, "market_selection", "sport", "client_id",
     "market_type_id", "stake_ratio", "odds_bucket",
 )
 ENRICH_COLUMNS = (
@@ -69,14 +72,14 @@ FEATURE_GROUPS = {
         "dominant_risk_tier",
     ),
     "Ticket-level": (
-        "selection_odds", "stake", "pending_delay", "market_name", "market_selection",
+        "selection_odds", "stake", DELAY, "market_name", "market_selection",
         "sport", "sport_id", "tournament_id", "client_id", "ots_risk_tier_id",
         "market_type_id", "bos",
     ),
     "Engineered": ("stake_ratio", "odds_bucket"),
 }
 REVIEW_COLUMNS = (
-    "sport", "market_name", "selection_odds", "stake", "pending_delay", "predicted_clv",
+    "sport", "market_name", "selection_odds", "stake", DELAY, "predicted_clv",
     "odds_after_10", "odds_after_30", "ticket_state", "bs_avg_odds_after_10", "bettor_id",
 )
 # -----------------------------------------------------------------------------------------

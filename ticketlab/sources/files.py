@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DataType, StringType, StructType
 
@@ -84,7 +84,8 @@ def read_aggregate_csv(spark: SparkSession, path: str, kind: str) -> DataFrame:
 
 
 def read_tickets(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path)
+    """A ticket table; NaN is read as null, both mean a missing value."""
+    return fn.clean_numbers(spark.read.parquet(path))
 
 
 def write_parquet(df: DataFrame, path: str, mode: str = "overwrite") -> None:
@@ -108,8 +109,9 @@ def path_bytes(spark: SparkSession, path: str) -> int:
 
 def publish(df: DataFrame, uri: str) -> int:
     """Write to any Hadoop URI, read back, and raise unless the row counts agree."""
-    write_parquet(df, uri)
-    wrote, expected = df.sparkSession.read.parquet(uri).count(), df.count()
+    written = Observation()
+    write_parquet(df.observe(written, F.count(F.lit(1)).alias("n")), uri)
+    wrote, expected = df.sparkSession.read.parquet(uri).count(), written.get["n"]
     if wrote != expected:
         raise RuntimeError(f"{uri}: wrote {wrote} rows, expected {expected}")
     return wrote

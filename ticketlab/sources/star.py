@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ticketlab import functions as fn
-from ticketlab.schema import TICKETS
+from ticketlab.schema import DELAY, TICKETS
 
 MONEY = 4  # decimals of stakes, profits and price movements in the derived tickets
 PRODUCT = 6  # decimals of a stake multiplied by a price movement
@@ -32,22 +32,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The line items, spread over all cores if their files are read by fewer tasks."""
-    df = table(spark, sf_dir, "lineitem")
-    cores = spark.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < cores:
-        df = df.repartition(cores, "l_orderkey", "l_linenumber")
-    return df
-
-
 def _text(c: Column | str) -> Column:
     return fn.col(c).cast("string")
 
 
 def tickets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One ticket per line item, in the ticket schema."""
-    items = lines(spark, sf_dir).select(
+    items = table(spark, sf_dir, "lineitem").select(
         "*",
         F.round(F.col("l_extendedprice") * 100).cast("bigint").alias("cents"),
         F.round(F.col("l_discount") * 100).cast("bigint").alias("d"),
@@ -75,7 +66,7 @@ def tickets(spark: SparkSession, sf_dir: str) -> DataFrame:
         "accepted_at": F.when(~rejected, _text("l_shipdate")),
         "rejected_at": F.when(rejected, _text("l_shipdate")),
         "bettor_id": _text("o_custkey"),
-        "pending_delay": F.col("l_linenumber") * 2 - 2,
+        DELAY: F.col("l_linenumber") * 2 - 2,
         "client_id": F.col("c_nationkey"),
         "cashout_stake": F.when(F.col("l_linenumber") == 7, cents.cast("double") / 200).otherwise(0.0),
         "reject_reason": F.when(rejected, F.col("o_orderpriority")),
@@ -158,15 +149,10 @@ def stake_size(df: DataFrame, scale: int | None = None) -> DataFrame:
 
 
 def aggregates(df: DataFrame, scale: int | None = None) -> Aggregates:
-    """All four side tables of a ticket table.
-
-    The test mapping leaves some bettors without history so that the left joins have
-    unmatched rows.
-    """
-    bettor = F.col("bettor_id").cast("bigint")
+    """All four side tables of a ticket table, with every bettor in it."""
     return Aggregates(
-        bettor_stats(df.filter(bettor % 7 != 0), scale),
+        bettor_stats(df, scale),
         rejected_by_reason(df, scale),
         risk_tier(df, scale),
-        stake_size(df.filter(bettor % 11 != 0), scale),
+        stake_size(df, scale),
     )
