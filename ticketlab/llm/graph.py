@@ -5,12 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ticketlab.operators.order_stats import delete, pin
+from ticketlab.operators.order_stats import delete, pin, shared_folder
 
 
-def _drop(df: DataFrame) -> None:
-    for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
-        delete(df.sparkSession, folder)
+def discard(*tables: DataFrame) -> None:
+    """Remove tables written by ``pin`` that nothing reads any more."""
+    for df in tables:
+        shared = shared_folder(df.sparkSession).rpartition(":")[2]
+        for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
+            if "/table-" in folder and folder.rpartition(":")[2].lstrip("/").startswith(shared.lstrip("/")):
+                delete(df.sparkSession, folder)
 
 
 def _round(edges: DataFrame) -> DataFrame:
@@ -28,7 +32,7 @@ def _round(edges: DataFrame) -> DataFrame:
         .filter("u > v")
         .distinct()
     )
-    _drop(least)
+    discard(least)
     least = pin(large.groupBy("u").agg(F.min("v").alias("m")))
     joined = large.join(least, "u")
     small = pin(
@@ -37,8 +41,8 @@ def _round(edges: DataFrame) -> DataFrame:
         .union(least.select("u", F.col("m").alias("v")))
         .distinct()
     )
-    _drop(least)
-    _drop(large)
+    discard(least)
+    discard(large)
     return small
 
 
@@ -64,7 +68,7 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     last = mark(edges)
     while last[0]:
         after = _round(edges)
-        _drop(edges)
+        discard(edges)
         edges, before, last = after, last, mark(after)
         if before == last:
             break

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ticketlab.llm.graph import components
+from ticketlab.llm.graph import components, discard
 from ticketlab.llm.words import mix
 from ticketlab.operators.order_stats import pin
 
@@ -251,7 +251,9 @@ def near_vectors(
         .sortWithinPartitions("cell", "i", "j")
         .mapInArrow(lambda b: _link(cosine, b), "a bigint, b bigint")
     )
-    placed = pin(components(links))
+    joined = components(links)
+    placed = pin(joined)
+    discard(cells, busy, links, joined)
 
     sizes = placed.groupBy("component").agg(_pieces(F.count("*"), side).alias("pieces"))
     dealt = (
@@ -278,6 +280,7 @@ def near_vectors(
             "node", (F.col("rows") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), "component_id"
         )
     )
+    discard(nodes, placed)
     joined = named.select("id", "node").join(result, "node", "left")
     component = F.when(F.col("node").isNull(), F.col("id")).otherwise(F.col("component_id"))
     return joined.select(

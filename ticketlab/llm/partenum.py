@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ticketlab.llm.graph import components
+from ticketlab.llm.graph import components, discard
 from ticketlab.llm.words import SPACED, Words, carrying, mix, runs, shingles
 from ticketlab.operators.order_stats import pin
 
@@ -196,7 +196,9 @@ def similar_groups(
         .select("sig", "node", "lo")
         .distinct()
     )
-    candidates = pin(components(members.select(F.col("lo").alias("a"), F.col("node").alias("b"))))
+    chained = components(members.select(F.col("lo").alias("a"), F.col("node").alias("b")))
+    candidates = pin(chained)
+    discard(chained)
 
     # Signatures with the same members are one group.
     groups = (
@@ -252,7 +254,9 @@ def similar_groups(
         .groupBy("kind", "unit", "i", "j")
         .applyInPandas(lambda pdf: _forest(pdf, percent), "a bigint, b bigint")
     )
+    discard(members, candidates, plan)
     groups_of = components(links)
+    discard(links)
     placed = made.select("id", "n", "node").join(groups_of, "node", "left").withColumn(
         "component", F.coalesce("component", "node")
     )

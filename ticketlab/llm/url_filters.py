@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ticketlab.llm.graph import discard
 from ticketlab.operators.order_stats import pin
 
 ALLOW, BLOCK = "allow", "block"
@@ -113,20 +114,23 @@ def propagate(seeds: DataFrame, links: DataFrame, damping: float = DAMPING, roun
         F.col("dst").alias("from"), F.col("src").alias("to"), F.lit(0.0).alias("t"), (F.col("weight") / F.col("all_in")).alias("d")
     )
     ways = pin(forward.union(backward))
-    state = start.select("host", F.col("trust0").alias("trust"), F.col("distrust0").alias("distrust"))
+    state = begun = start.select("host", F.col("trust0").alias("trust"), F.col("distrust0").alias("distrust"))
     for _ in range(rounds):
         given = (
             ways.join(state.withColumnRenamed("host", "from"), "from")
             .groupBy("to")
             .agg(F.sum(F.col("trust") * F.col("t")).alias("t"), F.sum(F.col("distrust") * F.col("d")).alias("d"))
         )
-        state = pin(
+        before, state = state, pin(
             start.join(given.withColumnRenamed("to", "host"), "host", "left").select(
                 "host",
                 ((1 - damping) * F.col("trust0") + damping * F.coalesce("t", F.lit(0.0))).alias("trust"),
                 ((1 - damping) * F.col("distrust0") + damping * F.coalesce("d", F.lit(0.0))).alias("distrust"),
             )
         )
+        if before is not begun:
+            discard(before)
+    discard(ways, start)
     return state
 
 
@@ -155,7 +159,9 @@ def judge(
     count = lambda v: F.count(F.when(F.col("by.verdict") == v, 1)).cast("double")
     seeds = ruled.filter("host != ''").groupBy("host").agg(count(ALLOW).alias("trusted"), count(BLOCK).alias("blocked"))
     links = pin(host_links(pages, url_col, html_col))
-    scores = propagate(pin(seeds), links)
+    counted = pin(seeds)
+    scores = propagate(counted, links)
+    discard(counted, links)
     trust, distrust = F.round("trust", DIGITS), F.round("distrust", DIGITS)
     blocked = F.coalesce((distrust > 0) & (distrust >= F.round(trust * ratio, DIGITS)), F.lit(False))
     return ruled.join(scores, "host", "left").select(
