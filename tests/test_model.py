@@ -152,6 +152,14 @@ def test_jobs_end_to_end(spark, tickets, tmp_path):
     assert {"model_tier", "predicted_clv", "factual_pnl", "counterfactual_pnl"} <= set(sim.columns)
     expected = sim.agg(F.sum(F.col("counterfactual_pnl") - F.col("factual_pnl"))).first()[0]
     assert after["pnl_delta"] == pytest.approx(expected, abs=1e-6)
+    tables = jobs.review_job(spark, root)
+    shown = spark.read.parquet(f"{root}/ope/review_sample").count()
+    assert tables["summary"].first()["n"] == tables["points"].count() == tables["detail"].count() == shown <= 100
+    for name in ("histogram", "states", "by_sport"):
+        assert (tables[name].count() > 0) == (shown > 0)
+    assert files.read_report(spark, f"{root}/ope/importance.csv").count() == len(DEFAULT_FEATURES)
+    assert files.read_report(spark, f"{root}/ope/calibration_bins.csv").count() >= 1
+    assert spark.read.parquet(f"{root}/ope/scatter").count() == min(10_000, after["n_total"])
     panel = jobs.results_job(spark, root).first()
     assert panel["skip_count"] + panel["pending_count"] == after["n_total"] and panel["val_mae"] == trained["val_mae"]
 

@@ -74,15 +74,19 @@ def _sides(aggregates: Aggregates, scale: int | None) -> list[tuple[DataFrame, d
         {"bettor_id": "_rej_bettor", "sport": "_rej_sport", "market_type": "_rej_market"}
     )
     risk = risk_rollup(aggregates.risk_tier, scale).withColumnRenamed("bettor_id", "_rt_bettor")
-    stake = aggregates.stake_size.select(F.col("bettor_id").alias("_ss_bettor"), "mean_stake_size")
     return [
         (stats, dict(zip(("_bs_bettor", "_bs_sport", "_bs_market"), KEYS))),
         (rejected, dict(zip(("_rej_bettor", "_rej_sport", "_rej_market"), KEYS))),
         (risk, {"_rt_bettor": "bettor_id"}),
-        (stake, {"_ss_bettor": "bettor_id"}),
+        _stake_side(aggregates.stake_size),
     ]
 
 
+def _stake_side(stake_size: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    stake = stake_size.select(F.col("bettor_id").alias("_ss_bettor"), "mean_stake_size")
+    return stake, {"_ss_bettor": "bettor_id"}
+
+
 def _attach(left: DataFrame, sides) -> DataFrame:
     for side, keys in sides:
         condition = [F.col(ours) == F.col(theirs) for theirs, ours in keys.items()]
@@ -126,6 +130,17 @@ def _by_key(tickets: DataFrame, sides) -> DataFrame:
     return left.join(right, on, "left").drop("_slice", "_side_slice", *[f"_side_{k}" for k in KEYS])
 
 
+def _join(tickets: DataFrame, sides, by_key: bool | None) -> DataFrame:
+    if by_key is None:
+        by_key = not all(can_broadcast(side) for side, _ in sides)
+    return _by_key(tickets, sides) if by_key else _attach(tickets, sides)
+
+
+def with_stake_size(tickets: DataFrame, stake_size: DataFrame, by_key: bool | None = None) -> DataFrame:
+    """Tickets with the bettor's mean stake, joined as in ``enrich``."""
+    return _join(tickets, [_stake_side(stake_size)], by_key)
+
+
 def enrich(
     tickets: DataFrame, aggregates: Aggregates, scale: int | None = None, by_key: bool | None = None
 ) -> DataFrame:
@@ -134,7 +149,4 @@ def enrich(
     ``by_key`` forces the one-shuffle form (True) or the direct joins (False); by default
     the sides' sizes decide.
     """
-    sides = _sides(aggregates, scale)
-    if by_key is None:
-        by_key = not all(can_broadcast(side) for side, _ in sides)
-    return _by_key(tickets, sides) if by_key else _attach(tickets, sides)
+    return _join(tickets, _sides(aggregates, scale), by_key)

@@ -36,18 +36,17 @@ def feature_coverage(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     )
 
 
-def _correlations(df: DataFrame, pairs: Sequence[tuple[str, str]]) -> DataFrame:
-    """One row with the correlation of each pair, over rows where both values are present.
-
-    A first pass takes means, so that the sums of the second are of centred values and do
-    not cancel. Columns without gaps share their sums; each pair of them adds one product.
-    """
-    columns = list(dict.fromkeys(c for pair in pairs for c in pair))
+def _values(df: DataFrame, columns: Sequence[str]) -> tuple[dict[str, int], DataFrame]:
+    """Numbers of the columns, and the columns as ``v0``, ``v1``, ..."""
     index = {c: i for i, c in enumerate(columns)}
-    values = df.select(
+    return index, df.select(
         *[fn.nan_to_null(F.col(c).cast("double")).alias(f"v{i}") for c, i in index.items()]
     )
-    seen = values.selectExpr(
+
+
+def _spread(index: dict[str, int], values: DataFrame):
+    """Counts, means and extremes of all columns, in one pass."""
+    return values.selectExpr(
         "count(*) AS n",
         *[
             part
@@ -57,6 +56,15 @@ def _correlations(df: DataFrame, pairs: Sequence[tuple[str, str]]) -> DataFrame:
             )
         ],
     ).first()
+
+
+def _correlations(index, values: DataFrame, seen, pairs: Sequence[tuple[str, str]]) -> DataFrame:
+    """One row with the correlation of each pair, over rows where both values are present.
+
+    The means are known, so that the sums are of centred values and do not cancel. Columns
+    without gaps share their sums; each pair of them adds one product.
+    """
+    index = {c: index[c] for c in dict.fromkeys(c for pair in pairs for c in pair)}
     whole = {i for i in index.values() if seen[f"n{i}"] == seen["n"]}
     flat = {i for i in index.values() if seen[f"lo{i}"] == seen[f"hi{i}"]}
     centred = values.select(
@@ -89,13 +97,15 @@ def _correlations(df: DataFrame, pairs: Sequence[tuple[str, str]]) -> DataFrame:
 def _pairs(df: DataFrame, pairs: Sequence[tuple[str, str]], mirrored: bool) -> DataFrame:
     """Long table of correlations."""
     parts = []
+    index, values = _values(df, list(dict.fromkeys(c for pair in pairs for c in pair)))
+    seen = _spread(index, values)
     for start in range(0, len(pairs), PAIRS_PER_PASS):
         chunk = pairs[start : start + PAIRS_PER_PASS]
         rows = []
         for k, (a, b) in enumerate(chunk):
             for left, right in [(a, b), (b, a)] if mirrored and a != b else [(a, b)]:
                 rows.append(f"named_struct('feature_1', '{left}', 'feature_2', '{right}', 'correlation', r{k})")
-        parts.append(_correlations(df, chunk).selectExpr(f"inline(array({', '.join(rows)}))"))
+        parts.append(_correlations(index, values, seen, chunk).selectExpr(f"inline(array({', '.join(rows)}))"))
     return reduce(DataFrame.unionByName, parts)
 
 

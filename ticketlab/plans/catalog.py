@@ -61,15 +61,15 @@ def sides(spark, sf):
     return star.aggregates(tickets(spark, sf), MONEY)
 
 
-def merged(spark, sf):
-    stored = order_stats.pin(tickets(spark, sf))
-    return enrich.enrich(stored, star.aggregates(stored, MONEY), MONEY)
+def merged(spark, sf, by_key=None):
+    """The tickets are read again for each side, narrow, instead of being copied wide."""
+    return enrich.enrich(tickets(spark, sf), sides(spark, sf), MONEY, by_key)
 
 
-def featured(spark, sf):
+def featured(spark, sf, by_key=None):
     """Kept tickets with the mean stake and the engineered columns."""
     stake = sides(spark, sf).stake_size
-    return jobs.prepare(tickets(spark, sf).join(stake, "bettor_id", "left"))
+    return jobs.prepare(enrich.with_stake_size(tickets(spark, sf), stake, by_key))
 
 
 def kept(spark, sf):
@@ -493,6 +493,7 @@ QUERIES: dict[str, Query] = {
     "rejected_rollup": rejected_rollup,
     "risk_rollup": risk_rollup,
     "enrich": lambda spark, sf: _merged_rounded(merged(spark, sf)),
+    "enrich_by_key": lambda spark, sf: _merged_rounded(merged(spark, sf, True)),
     "overview": overview,
     "shape": on_tickets(analytics.shape),
     "target_stats": target_stats,

@@ -170,7 +170,8 @@ def evaluate_job(
 ) -> DataFrame:
     """Score the test split, simulate the policy, draw the review sample, save everything.
 
-    Returns the metrics and the policy totals in one row.
+    Beside the metrics that is the simulated tickets, the sample, calibration bins, thinned
+    scatter points and importance. Returns the metrics and the policy totals in one row.
     """
     root = model_dir.rstrip("/")
     with order_stats.scratch(spark) as folder:
@@ -183,6 +184,11 @@ def evaluate_job(
         files.write_parquet(policy.policy(tiered, scale).drop("raw_score"), f"{root}/ope/simulation")
     simulated = spark.read.parquet(f"{root}/ope/simulation")
     files.write_parquet(review.review_sample(simulated), f"{root}/ope/review_sample")
+    files.write_report(calibration.calibration_bins(simulated, TARGET, "predicted_clv"), f"{root}/ope/calibration_bins.csv")
+    files.write_parquet(review.scatter_points(simulated, TARGET, "predicted_clv"), f"{root}/ope/scatter")
+    with order_stats.scratch(spark) as folder:
+        gains = model.importance(model.TicketModel.load(f"{root}/model"), spark, folder)
+        files.write_report(gains, f"{root}/ope/importance.csv")
     measures = calibration.regression_metrics(simulated, TARGET, "predicted_clv")
     totals = policy.policy_summary(simulated)
     record = measures.withColumn("_one", F.lit(1)).join(totals.withColumn("_one", F.lit(1)), "_one")
@@ -190,6 +196,19 @@ def evaluate_job(
     return files.read_metrics(spark, f"{root}/ope/metrics.json")
 
 
+def review_job(spark: SparkSession, model_dir: str, scale: int | None = None) -> dict[str, DataFrame]:
+    """The review tables over the sample that ``evaluate_job`` has stored."""
+    sample = files.read_tickets(spark, f"{model_dir.rstrip('/')}/ope/review_sample")
+    return {
+        "summary": review.review_summary(sample),
+        "by_sport": review.review_by_sport(sample, scale),
+        "states": review.review_states(sample),
+        "points": review.review_points(sample, "predicted_clv"),
+        "detail": review.review_detail(sample, "stake", ascending=False),
+        "histogram": review.histogram(features.with_sharp(sample)),
+    }
+
+
 def results_job(spark: SparkSession, model_dir: str) -> DataFrame:
     root = model_dir.rstrip("/")
     return model.results_summary(

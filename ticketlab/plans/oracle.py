@@ -368,6 +368,7 @@ FROM tickets GROUP BY sport"""),
     "rejected_rollup": over("rejected_rollup", select="SELECT * FROM rejected_rollup"),
     "risk_rollup": over("risk_rollup", select="SELECT * FROM risk_rollup"),
     "enrich": over("merged", select="SELECT * FROM merged"),
+    "enrich_by_key": over("merged", select="SELECT * FROM merged"),
     "overview": over("tickets", select=f"""SELECT count(*) AS n, count(DISTINCT bettor_id) AS n_bettors,
   count(DISTINCT sport) AS n_sports, count(DISTINCT match_id) AS n_matches,
   count(*) FILTER (ticket_state = 'won') AS n_won, count(*) FILTER (ticket_state = 'lost') AS n_lost,
