@@ -37,6 +37,10 @@ PROFILE_NUMBERS = (
     "selection_odds", "stake", DELAY, "client_id", "market_type_id", "stake_ratio",
     "mean_stake_size", "odds_after_30", "odds_after_90",
 )
+# A fit that SQL can repeat: one string feature, each of its values a leaf, all rows in each round.
+EXACT = BoostParams(
+    rounds=3, learning_rate=0.3, max_depth=6, min_leaf=1, feature_fraction=1.0, bagging_fraction=1.0, checkpoint_every=2
+)
 QUICK = BoostParams(rounds=4, learning_rate=0.3, patience=2, max_depth=4, checkpoint_every=2)
 
 
@@ -360,6 +364,38 @@ def train_score(spark, sf):
     return fitted.score(rows.filter(F.col("split") == "test")).select("ticket_id", TARGET, "raw_score")
 
 
+def _trained_exact(spark, sf):
+    rows = once(kept(spark, sf), "ticket_id", "sport", TARGET)
+    return model.train(rows, ["sport"], EXACT)[0], rows
+
+
+def train_exact(spark, sf):
+    """Scores of a model whose rounds are plain means per sport."""
+    fitted, rows = _trained_exact(spark, sf)
+    return rounded(fitted.score(rows).select("ticket_id", "raw_score"), 9, "raw_score")
+
+
+def reload_score(spark, sf):
+    """The same after saving and loading the model."""
+    fitted, rows = _trained_exact(spark, sf)
+    path = f"{scratch(spark)}/model"
+    fitted.save(path)
+    again = model.TicketModel.load(path)
+    return rounded(again.score(rows).select("ticket_id", "raw_score"), 9, "raw_score")
+
+
+def importance_exact(spark, sf):
+    """Gain and splits of that model."""
+    fitted, _ = _trained_exact(spark, sf)
+    return rounded(model.importance(fitted, spark, scratch(spark)), 4, "gain")
+
+
+def permutation_exact(spark, sf):
+    """Rise of its MAE when tickets take the sport of their partner."""
+    fitted, rows = _trained_exact(spark, sf)
+    return rounded(model.permutation_importance(fitted, rows), 9, "mae_increase")
+
+
 def importance(spark, sf):
     fitted, _ = _trained(spark, sf)
     return model.top_importance(model.importance(fitted, spark, scratch(spark)))
@@ -412,6 +448,13 @@ def csv_roundtrip(spark, sf):
     return files.read_tickets_csv(spark, path, blank_strings="null")
 
 
+def csv_default(spark, sf):
+    """Missing strings come back empty."""
+    path = f"{scratch(spark)}/tickets.csv"
+    files.write_csv(tickets(spark, sf), path)
+    return files.read_tickets_csv(spark, path)
+
+
 def convert(spark, sf):
     root = scratch(spark)
     files.write_csv(tickets(spark, sf), f"{root}/tickets.csv")
@@ -552,6 +595,11 @@ QUERIES: dict[str, Query] = {
     "importance": importance,
     "permute": permute,
     "encode": encode,
+    "train_exact": train_exact,
+    "reload_score": reload_score,
+    "csv_default": csv_default,
+    "importance_exact": importance_exact,
+    "permutation_exact": permutation_exact,
     "permutation_importance": permutation_importance,
     "feature_analysis": feature_analysis,
     "results_summary": results_summary,

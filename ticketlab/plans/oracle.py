@@ -6,7 +6,7 @@ Written against the tables alone, independently of the DataFrame code.
 from __future__ import annotations
 
 from ticketlab.config import MISSING_CATEGORY
-from ticketlab.plans.catalog import AUDIT_RULES, BANDS, PROFILE_NUMBERS
+from ticketlab.plans.catalog import AUDIT_RULES, BANDS, EXACT, PROFILE_NUMBERS
 from ticketlab.schema import DEFAULT_FEATURES, ENRICH_COLUMNS, REVIEW_COLUMNS, enrich_columns, inspect_columns
 
 TICKETS = """
@@ -354,6 +354,31 @@ FROM scored"""
 MERGED_NAMES = enrich_columns(ENRICH_COLUMNS)
 REPORT = binned(10, ("mean_predicted", "mean_actual"), spread=False)
 
+def boosted(select: str, more: dict[str, str] | None = None) -> str:
+    """Rounds of clipped mean steps per sport, from the mean label, as tables s0, s1, ..."""
+    extra = {"s0": "SELECT ticket_id, sport, odds_after_10 AS y, avg(odds_after_10) OVER () AS s FROM kept"}
+    delta, rate = (f"CAST({x} AS DOUBLE)" for x in (EXACT.huber_delta, EXACT.learning_rate))
+    for k in range(EXACT.rounds):
+        step = f"avg(greatest(least(y - s, {delta}), -{delta})) OVER (PARTITION BY sport)"
+        extra[f"s{k + 1}"] = f"SELECT ticket_id, sport, y, s + {rate} * {step} AS s FROM s{k}"
+    return over("kept", extra=extra | (more or {}), select=select)
+
+
+def gains() -> str:
+    """Squared error that the trees take away: between the sports' mean steps and the mean of all."""
+    delta = f"CAST({EXACT.huber_delta} AS DOUBLE)"
+    parts = " UNION ALL ".join(
+        f"SELECT sport, greatest(least(y - s, {delta}), -{delta}) AS r, {k} AS k FROM s{k}" for k in range(EXACT.rounds)
+    )
+    return boosted(
+        f"""SELECT 'sport' AS feature, {rnd('sum(n * (m - a) * (m - a))', 4)} AS gain,
+  CAST(count(*) - {EXACT.rounds} AS BIGINT) AS split_count
+FROM (SELECT k, sport, count(*) AS n, avg(r) AS m, sum(sum(r)) OVER (PARTITION BY k) / sum(count(*)) OVER (PARTITION BY k) AS a
+      FROM steps GROUP BY k, sport)""",
+        {"steps": parts},
+    )
+
+
 ORACLE: dict[str, str] = {
     "tickets": over("tickets", select="SELECT * FROM tickets"),
     "by_sport": over("tickets", select=f"""SELECT sport, count(*) AS n, count(DISTINCT bettor_id) AS n_bettors,
@@ -498,6 +523,18 @@ FROM ({correlations([p for p in ALL_PAIRS if p[0] != p[1]], 'corr({a}, {b})', Fa
         "here": "SELECT ticket_id, row_number() OVER (ORDER BY ticket_id) AS p FROM kept",
         "there": """SELECT stake, row_number() OVER (ORDER BY md5(ticket_id || '|7'), ticket_id) AS p FROM kept""",
     }, select="SELECT ticket_id, stake FROM here JOIN there USING (p)"),
+    "train_exact": boosted(f"SELECT ticket_id, {rnd('s', 9)} AS raw_score FROM s{EXACT.rounds}"),
+    "reload_score": boosted(f"SELECT ticket_id, {rnd('s', 9)} AS raw_score FROM s{EXACT.rounds}"),
+    "importance_exact": gains(),
+    "permutation_exact": boosted(
+        f"SELECT 'sport' AS feature, {rnd('avg(abs(there.s - y)) - avg(abs(here.s - y))', 9)} AS mae_increase FROM here JOIN there USING (p)",
+        {
+            "here": f"SELECT y, s, row_number() OVER (ORDER BY ticket_id) AS p FROM s{EXACT.rounds}",
+            "there": f"SELECT s, row_number() OVER (ORDER BY md5(ticket_id || '|42'), ticket_id) AS p FROM s{EXACT.rounds}",
+        },
+    ),
+    "csv_default": over("tickets", select="""SELECT * REPLACE (coalesce(accepted_at, '') AS accepted_at,
+  coalesce(rejected_at, '') AS rejected_at, coalesce(reject_reason, '') AS reject_reason) FROM tickets"""),
     "encode": over("kept", select=f"""SELECT ticket_id,
   CAST(dense_rank() OVER (ORDER BY coalesce(sport, '{MISSING_CATEGORY}')) - 1 AS DOUBLE) AS code FROM kept"""),
     "csv_roundtrip": over("tickets", select="SELECT * FROM tickets"),
