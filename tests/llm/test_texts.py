@@ -226,6 +226,13 @@ def test_leaks_and_clean_documents(spark):
     assert decontam.leaks(df.limit(0), bench).collect() == decontam.leaks(df, bench.limit(0)).collect() == []
 
 
+def test_capital_copies_are_found(spark):
+    text = "été à Noël où ça naît du goût près d'ici, mêlé de thé"
+    bench = spark.createDataFrame([(1, text)], "item_id long, text string")
+    df = spark.createDataFrame([(1, "x " + text.upper() + " y"), (2, "× ÷ ß")], "doc_id long, text string")
+    assert [(r.doc_id, r.score) for r in decontam.leaks(df, bench).collect()] == [(1, 1.0)]
+
+
 def test_items_in_blocks(spark, monkeypatch):
     monkeypatch.setattr(decontam, "BLOCK_WORDS", 3)
     bench = spark.createDataFrame([(k, f"a{k} b{k} c{k} d{k} e{k}") for k in range(4)], "item_id long, text string")

@@ -45,7 +45,7 @@ class Items:
 
     @classmethod
     def of(cls, ids: list, texts: list[str]) -> Items:
-        split = Words(LETTERS_AND_DIGITS)
+        split = Words(LETTERS_AND_DIGITS, latin=True)
         words, parts = [], []
         for k, text in enumerate(texts):
             data = np.frombuffer((text or "").encode(), np.uint8)
@@ -87,7 +87,7 @@ class _Finder:
     """Places of listed n-grams in runs of texts."""
 
     def __init__(self, items: Items):
-        self.split = Words(LETTERS_AND_DIGITS)
+        self.split = Words(LETTERS_AND_DIGITS, latin=True)
         self.by_size = {}
         for size in np.unique(items.size):
             mine = items.size == size
@@ -246,7 +246,8 @@ def leaks(
 ) -> DataFrame:
     """(id, item, score, first_word, last_word) of test items found in documents.
 
-    Words are runs of letters, digits and bytes above ASCII, A-Z lower-cased. One pass
+    Words are runs of letters, digits and bytes above ASCII, ASCII and Latin-1 letters
+    lower-cased. One pass
     over the documents counts in how many of them each n-gram of the items occurs; the
     rarest of every SPAN neighbours are seeds. A second pass finds the seeds and aligns
     the item with the words around them; ``score`` is the alignment's part of what an

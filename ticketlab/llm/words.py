@@ -27,11 +27,13 @@ def mix(x: np.ndarray) -> np.ndarray:
 class Words:
     """Splits UTF-8 text at separator bytes and hashes the words, A-Z lower-cased.
 
-    A word's hash is a polynomial over 64-bit values of its bytes; two different words
-    of a corpus share one with a chance of about 2**-60 a pair.
+    With ``latin`` the other capital letters of Latin-1 are lower-cased too. A word's
+    hash is a polynomial over 64-bit values of its bytes; two different words of a corpus
+    share one with a chance of about 2**-60 a pair.
     """
 
-    def __init__(self, separators: bytes):
+    def __init__(self, separators: bytes, latin: bool = False):
+        self.latin = latin
         self.separator = np.zeros(256, bool)
         self.separator[list(separators)] = True
         byte = np.arange(256)
@@ -51,6 +53,10 @@ class Words:
 
     def of(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Word hashes of the texts data[offsets[i]:offsets[i+1]], and where each text's begin."""
+        if self.latin:  # À to Þ without × are 0xC3 and a byte that is 0x20 below the small letter's
+            capital = (data[1:] >= 0x80) & (data[1:] <= 0x9E) & (data[1:] != 0x97) & (data[:-1] == 0xC3)
+            data = data.copy()
+            data[1:][capital] += 0x20
         word = ~self.separator[data]
         first = word.copy()
         first[1:] &= ~word[:-1]
