@@ -91,8 +91,9 @@ def documents():
     return rows
 
 
-@pytest.mark.parametrize("block", [partenum.BLOCK, 3])
-def test_groups_are_those_of_all_pairs(spark, block):
+@pytest.mark.parametrize("block, elements", [(partenum.BLOCK, partenum.ELEMENTS), (3, 10**6), (partenum.BLOCK, 200)])
+def test_groups_are_those_of_all_pairs(spark, monkeypatch, block, elements):
+    monkeypatch.setattr(partenum, "ELEMENTS", elements)
     rows = documents()
     df = spark.createDataFrame([(i, t, 1, "x", 0) for i, t in rows], "doc_id long, text string, n int, node string, sig int")
     sets = {i: shingle_set(t) for i, t in rows}

@@ -19,6 +19,7 @@ SIMILARITY = 80  # per cent
 FIRST_BAND = 4  # smallest size of the first band; each band is twice as wide as the one before
 LEAST_PARTS = 16
 BLOCK = 192  # documents of one side of a comparison in a task
+ELEMENTS = 4_000_000  # shingles of one side
 COLUMNS = 4096  # shingles compared at a time
 
 _ONE = np.uint64(1)
@@ -179,8 +180,9 @@ def similar_groups(
        candidate groups.
     3. Each candidate group is compared by blocks inside tasks, either as a whole or
        signature by signature, whichever means fewer comparisons; both cover all pairs
-       that share a signature. A task holds 2 * ``block`` sets and emits a forest of
-       the links it found, so a large group of near copies never becomes rows of pairs.
+       that share a signature. A task holds two blocks of about ``block`` sets, fewer if
+       they have over ELEMENTS shingles, and emits a forest of the links it found, so a
+       large group of near copies never becomes rows of pairs.
 
     Null or empty texts have no shingles and stay alone. Null ids are kept; rows that
     repeat an id are judged by their own text. Other columns are ignored. An empty table
@@ -210,20 +212,31 @@ def similar_groups(
         .select("sig", "component", "size")
     )
     cost = groups.groupBy("component").agg(F.sum(F.col("size") * F.col("size")).alias("apart"))
-    whole = candidates.groupBy("component").agg(F.count("*").alias("size"))
+    # The document whose text gives each node that takes part.
+    wanted = pin(
+        made.filter(F.size("items") > 0)
+        .select("id", "node", "n")
+        .join(candidates, "node")
+        .groupBy("node", "component")
+        .agg(F.min("id").alias("id"), F.max("n").alias("n"))
+    )
+    whole = wanted.groupBy("component").agg(
+        F.count("*").alias("size"), F.sum("n").alias("elements"), F.max("n").alias("largest")
+    )
     plan = pin(
-        whole.join(cost, "component").select(
-            "component", "size", (F.col("size") * F.col("size") <= 4 * F.col("apart")).alias("together")
-        )
+        whole.join(cost, "component").withColumn(
+            "together", F.col("size") * F.col("size") <= 4 * F.col("apart")
+        ).drop("apart")
     )
-    units = candidates.join(plan.filter("together"), "component").select(
-        F.lit(0).alias("kind"), F.col("component").alias("unit"), "size", "node"
+    units = wanted.join(plan.filter("together"), "component").select(
+        F.lit(0).alias("kind"), F.col("component").alias("unit"), "size", "elements", "node"
     ).union(
-        groups.join(plan.filter("not together").select("component"), "component")
+        groups.join(plan.filter("not together").select("component", "largest"), "component")
         .join(members.select("sig", "node"), "sig")
-        .select(F.lit(1).alias("kind"), F.col("sig").alias("unit"), "size", "node")
+        .select(F.lit(1).alias("kind"), F.col("sig").alias("unit"), "size", F.col("size") * F.col("largest"), "node")
     )
-    pieces = units.withColumn("pieces", _pieces(F.col("size"), block)).withColumn(
+    by_size = F.greatest(_pieces(F.col("size"), block), _pieces(F.col("elements"), ELEMENTS))
+    pieces = units.withColumn("pieces", by_size).withColumn(
         "own", F.pmod(F.xxhash64("node", F.lit(7)), F.col("pieces"))
     )
     dealt = pieces.select(
@@ -231,21 +244,13 @@ def similar_groups(
     ).select(
         "kind", "unit", "node", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j")
     )
-    # One row with its set for each node that takes part; the sets are made again from the
-    # texts of those documents alone.
-    wanted = (
-        made.filter(F.size("items") > 0)
-        .select("id", "node")
-        .join(candidates.select("node"), "node")
-        .groupBy("node")
-        .agg(F.min("id").alias("id"))
-    )
+    # The sets are made again from the texts of those documents alone.
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(
         wanted.select("id").distinct(), "id", "left_semi"
     )
     sets = (
         _read(texts, "id", "text", shingle, percent, True)
-        .join(candidates.select("node"), "node", "left_semi")
+        .join(wanted.select("node"), "node", "left_semi")
         .dropDuplicates(["node"])
         .select("node", "n", "items")
     )
@@ -254,7 +259,7 @@ def similar_groups(
         .groupBy("kind", "unit", "i", "j")
         .applyInPandas(lambda pdf: _forest(pdf, percent), "a bigint, b bigint")
     )
-    discard(members, candidates, plan)
+    discard(members, candidates, wanted, plan)
     groups_of = components(links)
     discard(links)
     placed = made.select("id", "n", "node").join(groups_of, "node", "left").withColumn(
