@@ -239,3 +239,15 @@ def test_items_in_blocks(spark, monkeypatch):
     df = spark.createDataFrame([(1, "x a1 b1 c1 d1 e1 y a3 b3 c3 d3 e3"), (2, "q")], "doc_id long, text string")
     assert sorted((r.doc_id, r.item_id, r.score) for r in decontam.leaks(df, bench).collect()) == [(1, 1, 1.0), (1, 3, 1.0)]
     assert [r.doc_id for r in decontam.without_leaks(df, bench).collect()] == [2]
+
+
+@pytest.mark.parametrize("every", [4, 5, 6])
+def test_copies_that_occur_only_edited_are_found(spark, every):
+    item = [f"w{k}" for k in range(38)]
+    edited = [f"other{k}" if k % every == every - 1 else w for k, w in enumerate(item)]
+    bench = spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")
+    df = spark.createDataFrame([(1, "before " + " ".join(edited) + " after"), (2, "w0 w1 w2")], "doc_id long, text string")
+    want = plain_alignment(item, edited) / (2 * len(item))
+    assert want >= decontam.THRESHOLD
+    assert [(r.doc_id, r.score) for r in decontam.leaks(df, bench).collect()] == [(1, pytest.approx(want))]
+    assert [r.doc_id for r in decontam.without_leaks(df, bench).collect()] == [2]

@@ -1,4 +1,4 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment of words."""
+"""Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment of words."""
 
 from __future__ import annotations
 
@@ -14,7 +14,6 @@ from pyspark.sql.types import StructType
 from ticketlab.llm.words import LETTERS_AND_DIGITS, Words, carrying, mix, runs
 
 GRAM = 3
-SPAN = 4  # of so many neighbouring n-grams the rarest is a seed
 MATCH, MISMATCH, GAP = 2, -1, -1
 THRESHOLD = 0.5  # of the score of an unchanged copy
 BLOCK_WORDS = 1_000_000  # words of test items that are sent to the tasks at a time
@@ -64,24 +63,6 @@ class Items:
     def parts(self) -> tuple:
         return self.ids, self.words, self.gram, self.item, self.at, self.size
 
-    def seeds(self, uses: dict[int, int]) -> Items:
-        """Only the n-grams that are the rarest of SPAN neighbours, the first among equals.
-
-        A copy that leaves GRAM + SPAN - 1 neighbouring words as they are holds a seed,
-        however often the item occurs in the corpus.
-        """
-        order = np.lexsort((self.at, self.item))
-        count = np.array([uses.get(int(g), 0) for g in self.gram[order].view(np.int64)], np.int64)
-        keep = np.zeros(len(order), bool)
-        bounds = np.searchsorted(self.item[order], np.arange(len(self.ids) + 1))
-        for a, b in zip(bounds, bounds[1:]):
-            for k in range(a, max(a + 1, b - SPAN + 1)):
-                if k < b:
-                    keep[k + int(count[k : min(b, k + SPAN)].argmin())] = True
-        kept = np.zeros(len(order), bool)
-        kept[order[keep]] = True
-        return Items(self.ids, self.words, self.gram[kept], self.item[kept], self.at[kept], self.size[kept])
-
 
 class _Finder:
     """Places of listed n-grams in runs of texts."""
@@ -111,27 +92,6 @@ class _Finder:
         return hashes, bounds, np.concatenate(places), np.concatenate(found)
 
 
-def _uses(sent, batches: Iterator[pa.RecordBatch]):
-    finder = _Finder(Items(*sent.value))
-    total: dict[int, int] = {}
-    for batch in batches:
-        for _, rows, data, offsets in runs(batch.column(0)):
-            _, bounds, at, found = finder.find(data, offsets)
-            doc = np.searchsorted(bounds, at, "right")
-            if len(at):
-                pairs = np.unique(np.rec.fromarrays([found, doc], names="g,d"))
-                for g, n in zip(*np.unique(pairs.g, return_counts=True)):
-                    total[int(g)] = total.get(int(g), 0) + int(n)
-    if total:
-        yield pa.RecordBatch.from_arrays(
-            [
-                pa.array(np.array(list(total), np.uint64).view(np.int64)),
-                pa.array(np.array(list(total.values()), np.int64)),
-            ],
-            ["gram", "n"],
-        )
-
-
 def align(item: np.ndarray, text: np.ndarray) -> tuple[int, int, int]:
     """Best local alignment: score, and the first and last word of the text in it.
 
@@ -223,19 +183,6 @@ def _without(sent, threshold: float, batches: Iterator[pa.RecordBatch]):
         yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(keep))], ["id"])
 
 
-def _seeds(spark, text: DataFrame, items: Items):
-    """The block's seeds, ready for the tasks."""
-    sent = spark.sparkContext.broadcast(items.parts())
-    uses = (
-        text.select("text")
-        .mapInArrow(lambda b: _uses(sent, b), "gram bigint, n bigint")
-        .groupBy("gram")
-        .agg(F.sum("n").alias("n"))
-        .collect()  # one row for each n-gram of the block at most
-    )
-    return spark.sparkContext.broadcast(items.seeds({r["gram"]: r["n"] for r in uses}).parts())
-
-
 def leaks(
     docs: DataFrame,
     benchmark: DataFrame,
@@ -247,9 +194,9 @@ def leaks(
     """(id, item, score, first_word, last_word) of test items found in documents.
 
     Words are runs of letters, digits and bytes above ASCII, ASCII and Latin-1 letters
-    lower-cased. One pass
-    over the documents counts in how many of them each n-gram of the items occurs; the
-    rarest of every SPAN neighbours are seeds. A second pass finds the seeds and aligns
+    lower-cased. Every n-gram of an item is a seed, so a copy is looked at wherever it
+    leaves GRAM neighbouring words as they are; one that leaves fewer everywhere is not
+    found, whatever its score. One pass over the documents finds the seeds and aligns
     the item with the words around them; ``score`` is the alignment's part of what an
     unchanged copy would get, from ``threshold`` to 1, and the best place in a document
     is given. Items go to the tasks in blocks of BLOCK_WORDS words, documents are never
@@ -266,7 +213,7 @@ def leaks(
     schema = carrying(text, "id", "item bigint, score double, first_word bigint, last_word bigint")
     found = spark.createDataFrame([], schema).withColumn("name", F.lit(None).cast(item_kind))
     for ids, texts in _blocks(benchmark.select(F.col(item_col).alias("id"), F.col("text"))):
-        seeds = _seeds(spark, text, Items.of(ids, texts))
+        seeds = spark.sparkContext.broadcast(Items.of(ids, texts).parts())
         names = spark.createDataFrame(
             list(enumerate(ids)), StructType().add("item", "long").add("name", item_kind)
         )
@@ -283,7 +230,7 @@ def without_leaks(
     """The rows in which ``leaks`` finds no item, with all their columns."""
     kept = docs.select(F.struct("*").alias("id"), F.col(text_col).alias("text"))
     for ids, texts in _blocks(benchmark.select(F.lit(None).alias("id"), F.col("text"))):
-        seeds = _seeds(docs.sparkSession, kept, Items.of(ids, texts))
+        seeds = docs.sparkSession.sparkContext.broadcast(Items.of(ids, texts).parts())
         kept = kept.mapInArrow(
             lambda b, seeds=seeds: _without(seeds, threshold, b), StructType().add("id", kept.schema["id"].dataType)
         ).select("id", F.col("id").getField(text_col).alias("text"))
