@@ -79,6 +79,19 @@ def test_trust_goes_along_links_and_distrust_against_them(spark):
     assert url_filters.judge(pages.limit(0)).collect() == []
 
 
+@pytest.mark.parametrize("fan_in", [10, 10_000])
+def test_verdicts_do_not_depend_on_the_size_of_the_shares(spark, fan_in):
+    """Three levels of so many hosts each; one host of each level is linked to by the whole next one."""
+    level, number = f"floor(id / {fan_in})", f"id % {fan_in}"
+    pages = spark.range(3 * fan_in).selectExpr(
+        "id AS page_id",
+        f"concat('http://l', {level}, 'x', {number}, '.net/') AS url",
+        f"concat('<a href=\"http://', if({level} = 0, 'bad.com', concat('l', {level} - 1, 'x0.net')), '/\">') AS html",
+    ).union(spark.createDataFrame([(-1, "http://bad.com/de/1", None)], "page_id long, url string, html string"))
+    got = url_filters.judge(pages)
+    assert got.filter("verdict = 'block' and distrust > 0").count() == 3 * fan_in + 1
+
+
 def test_canonical_urls(spark):
     same = ["http://www.A.org:80/x/?b=2&utm_source=f&a=1#t", "https://u@a.org/x?a=1&b=2&ref=q", "HTTPS://a.org:443/x/?a=1&&b=2"]
     other = {"http://a.org": "a.org/", "http://a.org/": "a.org/", "http://a.org/?refer=1": "a.org/?refer=1", "x": None, None: None}

@@ -24,7 +24,7 @@ RULES = (
 DAMPING = 0.85
 ROUNDS = 12  # what later rounds could still move is below DAMPING**ROUNDS of all trust, 0.15
 RATIO = 1.0  # distrust of a blocked host over its trust
-DIGITS = 12
+MARGIN = 1e-9  # of itself, by which trust may exceed what equals it: sums of doubles depend on their order
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 LINK = r"""(?i)\bhref\s*=\s*["']?\s*(?:https?:)?//([^/?#"'\s>]+)"""
 
@@ -147,8 +147,9 @@ def judge(
     The longest fitting rule decides. Hosts are seeds by how many of their pages a rule
     allows and blocks. A page without a rule is blocked if its host's distrust is above
     zero and at least ``ratio`` times its trust, else allowed; so it is where nothing is
-    known. Scores are compared after rounding to 12 decimals, since sums of doubles
-    depend on their order.
+    known. Both are shares of all seed pages, so only their ratio is looked at, however
+    small they are; a ratio short of ``ratio`` by MARGIN counts as equal. Scores are
+    given with 12 significant digits.
 
     A null url, or one without ``://``, has an empty host and path and is allowed. Null
     html has no links. Repeated rows are judged one by one and each count as a page;
@@ -162,14 +163,15 @@ def judge(
     counted = pin(seeds)
     scores = propagate(counted, links)
     discard(counted, links)
-    trust, distrust = F.round("trust", DIGITS), F.round("distrust", DIGITS)
-    blocked = F.coalesce((distrust > 0) & (distrust >= F.round(trust * ratio, DIGITS)), F.lit(False))
+    trust, distrust = F.col("trust"), F.col("distrust")
+    blocked = F.coalesce((distrust > 0) & (distrust >= trust * (ratio * (1 - MARGIN))), F.lit(False))
+    digits = lambda x: F.when(x.isNotNull(), F.format_string("%.11e", x)).cast("double")
     return ruled.join(scores, "host", "left").select(
         F.col("id").alias(id_col),
         "host",
         "path",
         F.col("by.rule").alias("rule"),
         F.coalesce(F.col("by.verdict"), F.when(blocked, BLOCK).otherwise(ALLOW)).alias("verdict"),
-        trust.alias("trust"),
-        distrust.alias("distrust"),
+        digits(trust).alias("trust"),
+        digits(distrust).alias("distrust"),
     )
