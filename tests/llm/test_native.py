@@ -92,6 +92,31 @@ def test_verdicts_do_not_depend_on_the_size_of_the_shares(spark, fan_in):
     assert got.filter("verdict = 'block' and distrust > 0").count() == 3 * fan_in + 1
 
 
+@pytest.mark.parametrize("direct", [url_filters.DIRECT, 0])
+def test_scores_are_settled_along_chains(spark, monkeypatch, direct):
+    """A chain of 20 links to a blocked host, and a host whose trust and distrust settle late."""
+    monkeypatch.setattr(url_filters, "DIRECT", direct)
+    monkeypatch.setattr(url_filters, "TOLERANCE", 1e-4 if direct == 0 else url_filters.TOLERANCE)
+    links = {(f"h{k + 1}", f"h{k}"): 1.0 for k in range(20)} | {("good", "a"): 1.0, ("a", "b"): 2.0, ("b", "good"): 1.0, ("b", "h0"): 1.0}
+    seeds = {"h0": (0, 1), "good": (1, 0)}
+    got = url_filters.propagate(
+        spark.createDataFrame([(h, float(t), float(b)) for h, (t, b) in seeds.items()], "host string, trusted double, blocked double"),
+        spark.createDataFrame([(a, b, w) for (a, b), w in links.items()], "src string, dst string, weight double"),
+    )
+    got = {r.host: [r.trust, r.distrust] for r in got.collect()}
+    want = plain_scores(seeds, links)
+    assert got.keys() == want.keys() and got["h20"][1] > 0
+    for host, scores in want.items():
+        assert got[host] == pytest.approx(scores, rel=1e-8 if direct else 1e-3, abs=0)
+
+
+def test_unsettled_scores_are_an_error(spark):
+    links = spark.createDataFrame([("a", "b", 1.0), ("b", "a", 1.0)], "src string, dst string, weight double")
+    seeds = spark.createDataFrame([("a", 1.0, 0.0)], "host string, trusted double, blocked double")
+    with pytest.raises(RuntimeError):
+        url_filters.propagate(seeds, links, rounds=12)
+
+
 def test_canonical_urls(spark):
     same = ["http://www.A.org:80/x/?b=2&utm_source=f&a=1#t", "https://u@a.org/x?a=1&b=2&ref=q", "HTTPS://a.org:443/x/?a=1&&b=2"]
     other = {"http://a.org": "a.org/", "http://a.org/": "a.org/", "http://a.org/?refer=1": "a.org/?refer=1", "x": None, None: None}

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -22,7 +24,9 @@ RULES = (
 )
 
 DAMPING = 0.85
-ROUNDS = 12  # what later rounds could still move is below DAMPING**ROUNDS of all trust, 0.15
+TOLERANCE = 1e-10  # scores are settled when a round changes none by more than this part of itself
+ROUNDS = 1000  # unsettled after so many, propagation fails
+DIRECT = 200_000  # links and seeds that are settled in the driver's memory
 RATIO = 1.0  # distrust of a blocked host over its trust
 MARGIN = 1e-9  # of itself, by which trust may exceed what equals it: sums of doubles depend on their order
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -87,6 +91,34 @@ def host_links(pages: DataFrame, url_col: str = "url", html_col: str = "html") -
     )
 
 
+def _unsettled(rounds: int) -> RuntimeError:
+    return RuntimeError(f"trust and distrust have not settled after {rounds} rounds")
+
+
+def _direct(seeds: pa.Table, links: pa.Table, damping: float, rounds: int) -> pa.Table:
+    """``propagate`` in memory, by the same rounds and the same end."""
+    column = lambda table, name: table[name].to_numpy(zero_copy_only=False)
+    n = [seeds.num_rows, seeds.num_rows + links.num_rows]
+    hosts = np.concatenate([column(seeds, "host"), column(links, "src"), column(links, "dst")])
+    hosts, place = np.unique(hosts.astype(object), return_inverse=True)
+    seed, src, dst = np.split(place, n)
+    weight = column(links, "weight")
+    scores = []
+    for part, a, b in (("trusted", src, dst), ("blocked", dst, src)):
+        base = np.bincount(seed, column(seeds, part), len(hosts))
+        base = base / (base.sum() or 1.0)
+        each = weight / np.bincount(a, weight, len(hosts))[a]
+        state = base
+        for _ in range(rounds):
+            before, state = state, (1 - damping) * base + damping * np.bincount(b, state[a] * each, len(hosts))
+            if not (np.abs(state - before) > TOLERANCE * state).any():
+                break
+        else:
+            raise _unsettled(rounds)
+        scores.append(state)
+    return pa.table({"host": pa.array(hosts, pa.string()), "trust": scores[0], "distrust": scores[1]})
+
+
 def propagate(seeds: DataFrame, links: DataFrame, damping: float = DAMPING, rounds: int = ROUNDS) -> DataFrame:
     """(host, trust, distrust) of all hosts that a seed or a link names.
 
@@ -94,16 +126,23 @@ def propagate(seeds: DataFrame, links: DataFrame, damping: float = DAMPING, roun
     personalised PageRank from the trusted ones along the links; distrust the same from
     the blocked ones against them: who links to a blocked host shares its distrust. Both
     go through one join a round. A host without links on the way hands nothing on.
-    Each round is written to the checkpoint folder, so no plan grows and a lost
-    executor costs one round; the parts of a hub's rows are split by Spark.
+    Rounds go on until no host's trust or distrust changes by more than TOLERANCE of
+    itself, so they also reach every host that has any; if ``rounds`` are not enough,
+    this is an error. Each round is written to the checkpoint folder, so no plan grows
+    and a lost executor costs one round; the parts of a hub's rows are split by Spark.
+    Up to DIRECT seeds and links are settled in the driver, by the same rule.
     """
+    if seeds.count() + links.count() <= DIRECT:
+        parts = seeds.select("host", "trusted", "blocked").toArrow(), links.select("src", "dst", "weight").toArrow()
+        found = _direct(*parts, damping, rounds)
+        return pin(seeds.sparkSession.createDataFrame(found, "host string, trust double, distrust double"))
     totals = seeds.agg(F.sum("trusted").alias("t"), F.sum("blocked").alias("b"))
     share = lambda part, whole: F.when(F.col(whole) > 0, F.col(part) / F.col(whole)).otherwise(0.0)
     known = seeds.select("host").union(links.select("src")).union(links.select("dst")).distinct()
     start = pin(
         known.join(seeds, "host", "left")
         .crossJoin(F.broadcast(totals))  # one row
-        .select("host", F.coalesce(share("trusted", "t"), F.lit(0.0)).alias("trust0"), F.coalesce(share("blocked", "b"), F.lit(0.0)).alias("distrust0"))
+        .select("host", F.coalesce(share("trusted", "t"), F.lit(0.0)).alias("trust"), F.coalesce(share("blocked", "b"), F.lit(0.0)).alias("distrust"))
     )
     out = links.groupBy("src").agg(F.sum("weight").alias("all_out"))
     into = links.groupBy("dst").agg(F.sum("weight").alias("all_in"))
@@ -114,22 +153,25 @@ def propagate(seeds: DataFrame, links: DataFrame, damping: float = DAMPING, roun
         F.col("dst").alias("from"), F.col("src").alias("to"), F.lit(0.0).alias("t"), (F.col("weight") / F.col("all_in")).alias("d")
     )
     ways = pin(forward.union(backward))
-    state = begun = start.select("host", F.col("trust0").alias("trust"), F.col("distrust0").alias("distrust"))
+    scores = ("trust", "distrust")
+    state = start
     for _ in range(rounds):
-        given = (
-            ways.join(state.withColumnRenamed("host", "from"), "from")
-            .groupBy("to")
-            .agg(F.sum(F.col("trust") * F.col("t")).alias("t"), F.sum(F.col("distrust") * F.col("d")).alias("d"))
-        )
-        before, state = state, pin(
-            start.join(given.withColumnRenamed("to", "host"), "host", "left").select(
-                "host",
-                ((1 - damping) * F.col("trust0") + damping * F.coalesce("t", F.lit(0.0))).alias("trust"),
-                ((1 - damping) * F.col("distrust0") + damping * F.coalesce("d", F.lit(0.0))).alias("distrust"),
-            )
+        given = ways.join(state.withColumnRenamed("host", "from"), "from").select(
+            F.col("to").alias("host"), (damping * F.col("trust") * F.col("t")).alias("trust"), (damping * F.col("distrust") * F.col("d")).alias("distrust"),
+            F.lit(0.0).alias("old_trust"), F.lit(0.0).alias("old_distrust"),
         )
-        if before is not begun:
+        anew = start.select("host", *[(1 - damping) * F.col(c) for c in scores], F.lit(0.0), F.lit(0.0))
+        old = state.select("host", F.lit(0.0), F.lit(0.0), *scores)
+        sums = [F.sum(c).alias(c) for c in (*scores, "old_trust", "old_distrust")]
+        before, after = state, pin(given.union(anew).union(old).groupBy("host").agg(*sums))
+        state = after.select("host", *scores)
+        if before is not start:
             discard(before)
+        moved = [F.abs(F.col(c) - F.col(f"old_{c}")) > TOLERANCE * F.col(c) for c in scores]
+        if after.filter(moved[0] | moved[1]).isEmpty():
+            break
+    else:
+        raise _unsettled(rounds)
     discard(ways, start)
     return state
 
