@@ -19,7 +19,7 @@ HEADLINE = (
     "apply_rules", "stake_ratio", "odds_bucket_left", "browse", "split_kept", "label_stats",
     "policy_summary", "regression_metrics", "calibration_report", "isotonic", "worst_50",
     "review_sample", "histogram", "sample_n", "corr_with_target", "corr_matrix",
-    "parquet_roundtrip", "train_score",
+    "parquet_roundtrip", "train_score_4_rounds", "train_score",
 )
 
 

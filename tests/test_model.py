@@ -180,3 +180,28 @@ def test_feature_report(spark, tickets):
     assert out["importance"].agg(F.sum("gain_pct")).first()[0] == pytest.approx(100.0)
     assert [r["feature_1"] for r in out["high_corr_pairs"].collect()] == ["stake"]
     assert out["permutation_importance"].count() == 4
+
+
+class Began(Exception):
+    pass
+
+
+@pytest.mark.parametrize("name", ["train_score", "importance", "permutation_importance", "feature_analysis", "calibrate_job", "evaluate_job", "results_summary"])
+def test_training_queries_use_the_operators_settings(spark, folder, monkeypatch, name):
+    from ticketlab.plans import catalog
+
+    def began(*args):
+        raise Began(next(getattr(a, "boost", a) for a in args if isinstance(a, (BoostParams, Settings))))
+
+    rows = spark.createDataFrame([("train",)], "split string")
+    for of, what in ((catalog, "featured"), (catalog, "merged"), (catalog, "once"), (catalog.split, "temporal_split"),
+                     (catalog.review, "sample_n"), (catalog.order_stats, "pin"), (catalog.files, "write_parquet")):
+        monkeypatch.setattr(of, what, lambda *args: rows)
+    monkeypatch.setattr(catalog.model, "train", began)
+    monkeypatch.setattr(catalog.model, "feature_analysis", began)
+    monkeypatch.setattr(catalog.jobs, "train_job", began)
+    full = BoostParams(rounds=200) if name == "feature_analysis" else Settings().boost
+    for query, params in ((name, full), (f"{name}_4_rounds", catalog.QUICK)):
+        with pytest.raises(Began) as seen:
+            catalog.QUERIES[query](spark, folder)
+        assert seen.value.args == (params,)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from functools import partial
 
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
@@ -41,6 +42,7 @@ PROFILE_NUMBERS = (
 EXACT = BoostParams(
     rounds=3, learning_rate=0.3, max_depth=6, min_leaf=1, feature_fraction=1.0, bagging_fraction=1.0, checkpoint_every=2
 )
+FULL = Settings().boost
 QUICK = BoostParams(rounds=4, learning_rate=0.3, patience=2, max_depth=4, checkpoint_every=2)
 
 
@@ -351,16 +353,16 @@ def high_corr_pairs(spark, sf):
 # --- model ---------------------------------------------------------------------------------
 
 
-def _trained(spark, sf):
+def _trained(spark, sf, boost=FULL):
     known = once(featured(spark, sf), "ticket_id", "created_at", TARGET, *DEFAULT_FEATURES)
     rows = split.temporal_split(known)
     train_rows, val_rows = (rows.filter(F.col("split") == s) for s in ("train", "val"))
-    fitted, _ = model.train(train_rows, DEFAULT_FEATURES, QUICK, val_rows)
+    fitted, _ = model.train(train_rows, DEFAULT_FEATURES, boost, val_rows)
     return fitted, rows
 
 
-def train_score(spark, sf):
-    fitted, rows = _trained(spark, sf)
+def train_score(spark, sf, boost=FULL):
+    fitted, rows = _trained(spark, sf, boost)
     return fitted.score(rows.filter(F.col("split") == "test")).select("ticket_id", TARGET, "raw_score")
 
 
@@ -396,13 +398,13 @@ def permutation_exact(spark, sf):
     return rounded(model.permutation_importance(fitted, rows), 9, "mae_increase")
 
 
-def importance(spark, sf):
-    fitted, _ = _trained(spark, sf)
+def importance(spark, sf, boost=FULL):
+    fitted, _ = _trained(spark, sf, boost)
     return model.top_importance(model.importance(fitted, spark, scratch(spark)))
 
 
-def permutation_importance(spark, sf):
-    fitted, rows = _trained(spark, sf)
+def permutation_importance(spark, sf, boost=FULL):
+    fitted, rows = _trained(spark, sf, boost)
     return model.permutation_importance(fitted, rows.filter(F.col("split") == "val"))
 
 
@@ -420,10 +422,10 @@ def encode(spark, sf):
     return coded.select("ticket_id", vector_to_array("features")[0].alias("code"))
 
 
-def feature_analysis(spark, sf):
+def feature_analysis(spark, sf, boost=BoostParams(rounds=200)):
     known = once(featured(spark, sf), "ticket_id", TARGET, *DEFAULT_FEATURES)
     sample = order_stats.pin(review.sample_n(known, 5000, 42))
-    _, gains = model.feature_analysis(sample, DEFAULT_FEATURES, scratch(spark), QUICK)
+    _, gains = model.feature_analysis(sample, DEFAULT_FEATURES, scratch(spark), boost)
     return gains
 
 
@@ -499,25 +501,25 @@ def enrich_job(spark, sf):
     return _merged_rounded(_ingested(spark, sf, scratch(spark)))
 
 
-def _ran(spark, sf):
+def _ran(spark, sf, boost=FULL):
     root = scratch(spark)
     files.write_parquet(merged(spark, sf), f"{root}/merged")
-    jobs.train_job(spark, f"{root}/merged", f"{root}/model", Settings(boost=QUICK))
+    jobs.train_job(spark, f"{root}/merged", f"{root}/model", Settings(boost=boost))
     return f"{root}/model"
 
 
-def calibrate_job(spark, sf):
-    return jobs.calibrate_job(spark, _ran(spark, sf))
+def calibrate_job(spark, sf, boost=FULL):
+    return jobs.calibrate_job(spark, _ran(spark, sf, boost))
 
 
-def evaluate_job(spark, sf):
-    root = _ran(spark, sf)
+def evaluate_job(spark, sf, boost=FULL):
+    root = _ran(spark, sf, boost)
     jobs.calibrate_job(spark, root)
     return jobs.evaluate_job(spark, root, scale=MONEY)
 
 
-def results_summary(spark, sf):
-    root = _ran(spark, sf)
+def results_summary(spark, sf, boost=FULL):
+    root = _ran(spark, sf, boost)
     jobs.evaluate_job(spark, root, scale=MONEY)
     return jobs.results_job(spark, root)
 
@@ -614,3 +616,10 @@ QUERIES: dict[str, Query] = {
     "calibrate_job": calibrate_job,
     "evaluate_job": evaluate_job,
 }
+
+# The same queries with a model of 4 rounds of depth 4.
+TRAINING = (
+    "train_score", "importance", "permutation_importance", "feature_analysis", "calibrate_job", "evaluate_job",
+    "results_summary",
+)
+QUERIES |= {f"{name}_4_rounds": partial(QUERIES[name], boost=QUICK) for name in TRAINING}
