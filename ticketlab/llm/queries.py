@@ -8,7 +8,19 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ticketlab.llm import chat, decontam, language, lattice, licenses, packing, partenum, token_counts, url_filters, warc
+from ticketlab.llm import (
+    bin_slack,
+    chat,
+    decontam,
+    language,
+    lattice,
+    licenses,
+    packing,
+    partenum,
+    token_counts,
+    url_filters,
+    warc,
+)
 
 WORD_BPE = "word_bpe_49k.json"
 
@@ -162,3 +174,9 @@ SELECT conv_id, n_turns, sha256(turns) AS turns_sha256, length(loss) AS loss_cha
   sha256(loss) AS loss_sha256, formatted_chars, true AS identical
 FROM joined
 """
+
+
+@query
+def op12_full_bins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces of all documents in as few sequences of at most 4096 tokens as found."""
+    return bin_slack.pack_full(table(spark, sf_dir, "documents"), public_tokenizers.path(WORD_BPE))
