@@ -259,7 +259,7 @@ def pack_full(
     )
     counts = {r.length: r.n for r in before.groupBy("length").agg(F.sum("n").alias("n")).collect()}
     sent = docs.sparkSession.sparkContext.broadcast(_Slots(fill_bins(counts, window)))
-    ranked = cut.join(before.drop("n"), ["block", "length"]).select(
+    ranked = cut.join(before.drop("n").hint("merge"), ["block", "length"]).select(
         "id", "piece", "start", "length", "ids_crc32", (F.col("before") + F.col("nth")).alias("rank")
     )
     return ranked.mapInArrow(

@@ -17,6 +17,7 @@ from ticketlab.llm import (
     licenses,
     packing,
     partenum,
+    repair,
     token_counts,
     url_filters,
     warc,
@@ -180,3 +181,99 @@ FROM joined
 def op12_full_bins(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pieces of all documents in as few sequences of at most 4096 tokens as found."""
     return bin_slack.pack_full(table(spark, sf_dir, "documents"), public_tokenizers.path(WORD_BPE))
+
+
+@query
+def op11_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations, damaged and repaired at the least cost."""
+    rows = table(spark, sf_dir, "conversations")
+    return repair.with_all(repair.report(repair.repair(repair.damage(rows))), rows)
+
+
+# CRC-32 of an ASCII string, bit by bit; list_reduce folds the bytes into the register.
+_CRC = """
+crc_steps AS (
+  SELECT list_transform(range(256), lambda n: list_reduce([n, 0, 0, 0, 0, 0, 0, 0, 0],
+    lambda c, x: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS steps
+), crc AS (
+  SELECT k, xor(list_reduce(list_concat([4294967295],
+      list_transform(range(1, length(k) + 1), lambda i: ord(substr(k, i, 1))::BIGINT)),
+    lambda c, b: xor(c >> 8, steps[(xor(c, b) & 255) + 1])), 4294967295) AS crc32
+  FROM (SELECT DISTINCT {key} AS k FROM conversations), crc_steps
+)"""
+
+ORACLE["op11_turn_repair"] = (
+    "WITH RECURSIVE"
+    + _CRC.format(key="coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ')")
+    + r""", keyed AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, crc32 % 20 AS kind
+  FROM conversations JOIN crc ON k = coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ')
+), damaged AS (
+  SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role,
+    CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+    unnest(range(CASE kind WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)) AS again
+  FROM keyed
+), judged AS (
+  SELECT *, left(role, 1) AS initial,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, again) AS i,
+    CASE WHEN NOT regexp_matches(text, '[^\x20\x09-\x0D]') THEN 'b'
+      WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST, again) > 1 THEN 'd'
+      WHEN NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*\z') THEN 't' ELSE 'k' END AS fault
+  FROM damaged
+), counted AS (
+  SELECT conv_id, count(*) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps,
+    count(*) FILTER (fault = 'b') AS blank, count(*) FILTER (fault = 'd') AS duplicate,
+    count(*) FILTER (fault = 't') AS truncated, count(*) FILTER (pair IS NOT NULL AND pair NOT IN ('su', 'ua', 'au')) AS illegal
+  FROM (SELECT *, lag(initial) OVER (PARTITION BY conv_id ORDER BY i) || initial AS pair FROM judged) GROUP BY conv_id
+), dp AS (
+  SELECT conv_id, 0::BIGINT AS i, {'c': 0::BIGINT, 'a': ''} AS s0, NULL::STRUCT(c BIGINT, a VARCHAR) AS s1,
+    {'c': 5::BIGINT, 'a': 'I'} AS s2, {'c': 10::BIGINT, 'a': 'II'} AS s3
+  FROM counted
+  UNION ALL
+  SELECT conv_id, i, t0, t1, t2, list_min([t3, {'c': t2.c + 5, 'a': t2.a || 'I'}])
+  FROM (
+    SELECT conv_id, i, t0, t1, t3, list_min([x2, CASE WHEN t0 IS NOT NULL THEN {'c': t0.c + 5, 'a': t0.a || 'I'} END,
+      CASE WHEN t1 IS NOT NULL THEN {'c': t1.c + 5, 'a': t1.a || 'I'} END,
+      CASE WHEN t3 IS NOT NULL THEN {'c': t3.c + 5, 'a': t3.a || 'I'} END]) AS t2
+    FROM (
+      SELECT d.conv_id, r.i, stays, {'c': s0.c + 2, 'a': s0.a || 'D'} AS t0,
+        list_min([CASE WHEN s1 IS NOT NULL THEN {'c': s1.c + 2, 'a': s1.a || 'D'} END,
+          CASE WHEN stays AND initial = 's' THEN {'c': s0.c + extra, 'a': s0.a || 'K'} END]) AS t1,
+        list_min([{'c': s2.c + 2, 'a': s2.a || 'D'}, CASE WHEN stays THEN list_min([
+          {'c': s0.c + extra + fix_u, 'a': s0.a || is_u}, {'c': s3.c + extra + fix_u, 'a': s3.a || is_u},
+          CASE WHEN s1 IS NOT NULL THEN {'c': s1.c + extra + fix_u, 'a': s1.a || is_u} END]) END]) AS x2,
+        list_min([{'c': s3.c + 2, 'a': s3.a || 'D'}, CASE WHEN stays THEN
+          {'c': s2.c + extra + CASE WHEN initial = 'a' THEN 0 ELSE 1 END,
+           'a': s2.a || CASE WHEN initial = 'a' THEN 'K' ELSE 'R' END} END]) AS t3
+      FROM dp d JOIN (
+        SELECT *, fault IN ('k', 't') AS stays, CASE WHEN fault = 't' THEN 5 ELSE 0 END AS extra,
+          CASE WHEN initial = 'u' THEN 0 ELSE 1 END AS fix_u, CASE WHEN initial = 'u' THEN 'K' ELSE 'R' END AS is_u
+        FROM judged
+      ) r ON r.conv_id IS NOT DISTINCT FROM d.conv_id AND r.i = d.i + 1
+    )
+  )
+), best AS (
+  SELECT c.*, list_min([s0, s3]) AS v
+  FROM dp d JOIN counted c ON c.conv_id IS NOT DISTINCT FROM d.conv_id AND d.i = c.n
+), letters AS (
+  SELECT conv_id, v.a AS audit, unnest(range(1, length(v.a) + 1)) AS j FROM best
+), placed AS (
+  SELECT conv_id, j, substr(audit, j, 1) AS letter, length(replace(left(audit, j), 'I', '')) AS i,
+    length(replace(left(audit, j), 'D', '')) AS o
+  FROM letters
+), edited AS (
+  SELECT p.*, r.role, r.text, sum(CASE WHEN letter = 'K' AND r.initial = 's' THEN 1 ELSE 0 END)
+    OVER (PARTITION BY p.conv_id) AS lead
+  FROM placed p LEFT JOIN judged r ON letter <> 'I' AND r.i = p.i AND r.conv_id IS NOT DISTINCT FROM p.conv_id
+), texts AS (
+  SELECT conv_id, string_agg(CASE WHEN letter = 'K' THEN role WHEN (o - lead) % 2 = 1 THEN 'user' ELSE 'assistant' END
+    || ':' || CASE WHEN letter = 'I' THEN '' ELSE text END, chr(10) ORDER BY j) AS repaired
+  FROM edited WHERE letter <> 'D' GROUP BY conv_id
+)
+SELECT a.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate,
+  coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, coalesce(v.c, 0)::BIGINT AS cost,
+  coalesce(v.a, '') AS audit, sha256(coalesce(repaired, '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) a LEFT JOIN best b ON a.conv_id IS NOT DISTINCT FROM b.conv_id
+LEFT JOIN texts t ON a.conv_id IS NOT DISTINCT FROM t.conv_id
+"""
+)
