@@ -17,6 +17,7 @@ from ticketlab.llm import (
     licenses,
     packing,
     partenum,
+    prefix_trie,
     repair,
     token_counts,
     url_filters,
@@ -277,3 +278,53 @@ FROM (SELECT DISTINCT conv_id FROM conversations) a LEFT JOIN best b ON a.conv_i
 LEFT JOIN texts t ON a.conv_id IS NOT DISTINCT FROM t.conv_id
 """
 )
+
+
+@query
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every distinct sequence of first turns of the rebuilt conversations, with subtree totals."""
+    turns, convs = prefix_trie.ordered_turns(table(spark, sf_dir, "conversations"))
+    return prefix_trie.prefix_trie(*prefix_trie.rebuild(turns, convs))
+
+
+ORACLE["op13_prefix_trie"] = (
+    "WITH "
+    + _CRC.format(key="conv_id::VARCHAR")
+    + r""", ordered AS (
+  SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS i
+  FROM conversations WHERE conv_id IS NOT NULL
+), convs AS (
+  SELECT conv_id, conv_id - conv_id % 5 AS source, crc32 % 9 AS h
+  FROM (SELECT DISTINCT conv_id FROM ordered) JOIN crc ON k = conv_id::VARCHAR
+), taken AS (
+  SELECT c.conv_id, i, role, text FROM convs c JOIN ordered o ON o.conv_id = source AND i <= h
+  UNION ALL SELECT c.conv_id, 1000000000 + i, role, text FROM convs c JOIN ordered o ON o.conv_id = c.conv_id AND i > h
+), rebuilt AS (
+  SELECT conv_id, row_number() OVER w AS depth, strlen(text) AS bytes,
+    string_agg(md5(role) || md5(text), '') OVER w AS prefix
+  FROM taken WINDOW w AS (PARTITION BY conv_id ORDER BY i)
+), members AS (
+  SELECT conv_id, depth, bytes, prefix FROM rebuilt
+  UNION ALL SELECT conv_id, 0, 0, '' FROM convs
+), nodes AS (
+  SELECT prefix, min(conv_id) AS conv_id, any_value(depth) AS depth, count(*) AS n_convs, (count(*) - 1) * any_value(bytes) AS saved
+  FROM members GROUP BY prefix
+), kids AS (
+  SELECT left(prefix, length(prefix) - 64) AS prefix, count(*) AS n_children FROM nodes WHERE depth > 0 GROUP BY 1
+), ends AS (
+  SELECT prefix, string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) AS ids
+  FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY depth DESC) AS back FROM members) WHERE back = 1
+  GROUP BY prefix
+), totals AS (
+  SELECT left(w.prefix, (64 * d)::BIGINT) AS prefix, sum(saved)::BIGINT AS saved_tokens,
+    count(*) FILTER (k.n_children IS NULL) AS n_leaves
+  FROM (SELECT *, unnest(range(depth + 1)) AS d FROM nodes) w LEFT JOIN kids k ON k.prefix = w.prefix
+  GROUP BY 1
+)
+SELECT n.conv_id, n.depth::BIGINT AS depth, p.conv_id AS parent_conv_id, n.n_convs, coalesce(n_children, 0) AS n_children,
+  n_leaves, saved_tokens, sha256(coalesce(ids, '')) AS ends_sha256
+FROM nodes n LEFT JOIN nodes p ON n.depth > 0 AND p.prefix = left(n.prefix, length(n.prefix) - 64)
+LEFT JOIN kids k ON k.prefix = n.prefix LEFT JOIN ends e ON e.prefix = n.prefix JOIN totals t ON t.prefix = n.prefix
+"""
+)
