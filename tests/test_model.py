@@ -66,7 +66,7 @@ def test_boosting_learns_and_stops_early(spark, toy):
     assert out.columns == [*parts.columns, "raw_score"]
     mae = out.agg(F.avg(F.abs(F.col("raw_score") - F.col("odds_after_10")))).first()[0]
     assert mae == pytest.approx(min(history), rel=1e-6) and mae < 0.5 * history[0] + 0.05
-    gains = {r["feature"]: r for r in model.importance(fitted, spark, order_stats.shared_folder(spark)).collect()}
+    gains = {r["feature"]: r for r in model.importance(fitted, spark).collect()}
     assert gains["noise"]["gain"] < gains["kind"]["gain"] and gains["x"]["split_count"] > 0
     rise = {r["feature"]: r["mae_increase"] for r in model.permutation_importance(fitted, out).collect()}
     assert rise["kind"] > rise["noise"] and rise["x"] > rise["noise"]
@@ -174,7 +174,7 @@ def test_results_with_absent_counts(spark):
 def test_feature_report(spark, tickets):
     df = tickets.withColumn("mean_stake_size", F.lit(100.0))
     out = jobs.feature_report(
-        df, ["stake", "selection_odds", "sport", "stake_ratio", "absent"], order_stats.shared_folder(spark), 500, settings=Settings(boost=QUICK)
+        df, ["stake", "selection_odds", "sport", "stake_ratio", "absent"], 500, settings=Settings(boost=QUICK)
     )
     assert out["coverage"].count() == 4 and out["corr_matrix"].count() == 9
     assert out["importance"].agg(F.sum("gain_pct")).first()[0] == pytest.approx(100.0)

@@ -1,24 +1,19 @@
-"""Feature encoding, Huber boosting on Spark's trees, scoring and importance."""
+"""Feature encoding, training, scoring and importance."""
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.feature import SQLTransformer, StringIndexer, VectorAssembler
-from pyspark.ml.regression import (
-    DecisionTreeRegressor,
-    GBTRegressionModel,
-    RandomForestRegressor,
-)
+from pyspark.ml.feature import SQLTransformer, StringIndexer, StringIndexerModel, VectorAssembler
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ticketlab import functions as fn
 from ticketlab.config import MISSING_CATEGORY, BoostParams
 from ticketlab.operators import order_stats
+from ticketlab.operators.boosting import Booster, best_round, boost  # noqa: F401
 from ticketlab.operators.features import check_leakage, numeric_features
 from ticketlab.schema import CATEGORICAL_FEATURES, DELAYED_COUNT, TARGET
 
@@ -112,138 +107,26 @@ def feature_of(slot: str) -> str:
     return slot[len(NUMBER):]
 
 
+def labels_of(encoder: PipelineModel, feature: str) -> int:
+    """How many codes a string feature has, the one of unknown strings included."""
+    indexer = [s for s in encoder.stages if isinstance(s, StringIndexerModel)][0]
+    return len(indexer.labelsArray[indexer.getInputCols().index(f"_str_{feature}")]) + 1
+
+
 def features_of(encoder: PipelineModel) -> list[str]:
     """Feature names in order; an indicator belongs to the feature before it."""
     return list(dict.fromkeys(feature_of(s) for s in slots_of(encoder)))
 
 
-# --- boosting ------------------------------------------------------------------------------
-
-
-def ensemble(spark: SparkSession, trees, weights) -> GBTRegressionModel:
-    """Spark's own boosted model made of single trees and their weights."""
-    package = spark._jvm.org.apache.spark.ml.regression
-    jtrees = spark.sparkContext._gateway.new_array(package.DecisionTreeRegressionModel, len(trees))
-    jweights = spark.sparkContext._gateway.new_array(spark._jvm.double, len(trees))
-    for i, (tree, weight) in enumerate(zip(trees, weights)):
-        jtrees[i], jweights[i] = tree._java_obj, float(weight)
-    model = package.GBTRegressionModel(f"huber_{uuid.uuid4().hex[:12]}", jtrees, jweights)
-    return GBTRegressionModel(model)
-
-
-def _validation_errors(val: DataFrame, trees, rate: float) -> list[float]:
-    """MAE on ``val`` after each of ``trees``, in one pass."""
-    scored, total, names = val, F.col("_score"), []
-    for i, tree in enumerate(trees):
-        scored = tree.setPredictionCol(f"_p{i}").transform(scored)
-    for i in range(len(trees)):
-        total = total + F.lit(rate) * F.col(f"_p{i}")
-        names.append(F.avg(F.abs(total - F.col("_label"))).alias(f"m{i}"))
-    return list(scored.agg(*names).first())
-
-
-def best_round(history: Sequence[float], patience: int) -> tuple[int, int]:
-    """Best round, and the round at which training ends or has come to.
-
-    Walks the errors in order and ends ``patience`` rounds after the last improvement, so
-    the result does not depend on how many rounds are looked at together.
-    """
-    best = 0
-    for number, error in enumerate(history, 1):
-        if not best or error < history[best - 1]:
-            best = number
-        elif number - best >= patience:
-            return best, number
-    return best, len(history)
-
-
-def boost(
-    train: DataFrame,
-    val: DataFrame | None,
-    params: BoostParams,
-    row_key: str,
-    max_bins: int,
-    folder: str,
-) -> tuple[GBTRegressionModel, int, list[float]]:
-    """Gradient boosting with Huber loss over columns ``features`` and ``_label``.
-
-    Starts from the mean label. Each round fits one tree to the residuals clipped at
-    ``huber_delta``, on a hashed share of the rows that changes every ``bagging_every``
-    rounds. Stops when the validation MAE has not improved for ``patience`` rounds, and
-    keeps the trees up to the best round. ``folder`` holds the current scores. Returns the
-    model, that round and the MAE history.
-    """
-    spark = train.sparkSession
-    rate, block = params.learning_rate, max(1, params.checkpoint_every)
-    base = DecisionTreeRegressor(maxDepth=0, labelCol="_label", featuresCol="features").fit(train)
-    start = base.setPredictionCol("_score")
-    keep = ["features", "_label"]
-    place = f"{folder}/0"
-    state = order_stats.pin(
-        start.transform(train.select(row_key, *keep)).select(row_key, *keep, "_score"), place
-    )
-    val_state = None if val is None else order_stats.pin(
-        start.transform(val.select(*keep)).select(*keep, "_score"), place
-    )
-    trees, history, best, done = [], [], 0, False
-    recent: list = []
-    for number in range(params.rounds):
-        current = state
-        score = F.col("_score")
-        if recent:
-            current = ensemble(spark, recent, [rate] * len(recent)).setPredictionCol("_step").transform(state)
-            score = F.col("_score") + F.col("_step")
-        residual = F.col("_label") - score
-        clipped = F.least(F.greatest(residual, F.lit(-params.huber_delta)), F.lit(params.huber_delta))
-        bag = number // params.bagging_every
-        share = F.pmod(F.xxhash64(F.col(row_key), F.lit(params.seed + bag)), F.lit(10_000))
-        fitting = current.filter(share < int(params.bagging_fraction * 10_000)).select(
-            "features", clipped.alias("_target")
-        )
-        forest = RandomForestRegressor(
-            numTrees=1,
-            bootstrap=False,
-            subsamplingRate=1.0,
-            featureSubsetStrategy=str(params.feature_fraction),
-            maxDepth=params.max_depth,
-            minInstancesPerNode=params.min_leaf,
-            maxBins=max_bins,
-            seed=params.seed + number,
-            labelCol="_target",
-            featuresCol="features",
-        ).fit(fitting)
-        tree = forest.trees[0]
-        trees.append(tree)
-        recent.append(tree)
-        last = number + 1 == params.rounds
-        if len(recent) == block or last:
-            if val_state is not None:
-                history += _validation_errors(val_state, recent, rate)
-                best, stop = best_round(history, params.patience)
-                done = stop < len(history) or stop - best >= params.patience
-                history = history[:stop]
-            if done or last:
-                break
-            # The scores move on to a checkpoint, so that no plan spans more than one block.
-            step = ensemble(spark, recent, [rate] * len(recent)).setPredictionCol("_step")
-            moved = (F.col("_score") + F.col("_step")).alias("_score")
-            left, place = place, f"{folder}/{number + 1}"
-            state = order_stats.pin(step.transform(state).select(row_key, *keep, moved), place)
-            if val_state is not None:
-                val_state = order_stats.pin(step.transform(val_state).select(*keep, moved), place)
-            order_stats.delete(spark, left)
-            recent = []
-    used = best if history else len(trees)
-    model = ensemble(spark, [base, *trees[:used]], [1.0] + [rate] * used)
-    return model, used, history
+# --- the model ------------------------------------------------------------------------------
 
 
 @dataclass
 class TicketModel:
-    """Encoder and boosted model; one Spark pipeline on disk."""
+    """Encoder and boosted trees."""
 
     encoder: PipelineModel
-    booster: GBTRegressionModel
+    booster: Booster
     best_iteration: int = 0
 
     @property
@@ -255,16 +138,17 @@ class TicketModel:
 
     def score(self, df: DataFrame, name: str = "raw_score") -> DataFrame:
         """Add the prediction and nothing else."""
-        self.booster.setFeaturesCol("features").setPredictionCol(name)
-        return self.booster.transform(self.encode(df)).select(*df.columns, name)
+        scored = self.encode(df).withColumn(name, self.booster.column(F.col("features")))
+        return scored.select(*df.columns, name)
 
     def save(self, path: str) -> None:
-        PipelineModel(stages=[self.encoder, self.booster]).write().overwrite().save(path)
+        self.encoder.write().overwrite().save(f"{path}/encoder")
+        self.booster.save(f"{path}/booster")
 
     @classmethod
     def load(cls, path: str) -> TicketModel:
-        encoder, booster = PipelineModel.load(path).stages
-        return cls(encoder, booster, booster.getNumTrees - 1)
+        booster = Booster.load(f"{path}/booster")
+        return cls(PipelineModel.load(f"{path}/encoder"), booster, len(booster.trees))
 
 
 def train(
@@ -278,45 +162,35 @@ def train(
 ) -> tuple[TicketModel, list[float]]:
     """Fit encoder and model on the training rows; ``val_rows`` drive early stopping."""
     encoder = fit_encoder(train_rows, features, categorical)
-    label = fn.clean_label(target).alias("_label")
+    label = fn.clean_label(target).cast("double").alias("_label")
     encoded = encoder.transform(train_rows).select(row_key, "features", label)
     encoded_val = None
     if val_rows is not None and not val_rows.isEmpty():
         encoded_val = encoder.transform(val_rows).select("features", label)
-    bins = params.max_bins
-    if set(categorical) & set(features):
-        bins = max(bins, CUTS + 1)
+    slots = slots_of(encoder)
+    groups = {i: labels_of(encoder, feature_of(s)) for i, s in enumerate(slots) if s in {f"{CATEGORY}{c}" for c in categorical}}
     with order_stats.scratch(train_rows.sparkSession) as folder:
-        booster, used, history = boost(encoded, encoded_val, params, row_key, bins, folder)
+        booster, used, history = boost(encoded, encoded_val, params, row_key, len(slots), groups, folder)
     return TicketModel(encoder, booster, used), history
 
 
 # --- importance ----------------------------------------------------------------------------
 
 
-def importance(model: TicketModel, spark: SparkSession, folder: str) -> DataFrame:
+def importance(model: TicketModel, spark: SparkSession) -> DataFrame:
     """Total gain and number of splits per feature, features without a split included.
 
-    Reads the nodes of the model, which is saved under ``folder``; a node's gain counts for
-    each of its training rows.
+    The gain of a split is by how much it lowers the squared error of its training rows.
     """
-    path = f"{folder.rstrip('/')}/booster-{uuid.uuid4().hex[:12]}"
-    model.booster.write().save(path)
-    slots = slots_of(model.encoder)
     # One row per encoded column.
     names = spark.createDataFrame(
-        [(i, feature_of(s)) for i, s in enumerate(slots)], "slot int, feature string"
+        [(i, feature_of(s)) for i, s in enumerate(slots_of(model.encoder))], "slot int, feature string"
     )
-    nodes = spark.read.parquet(f"{path}/data").select(
-        F.col("nodeData.leftChild").alias("left"),
-        F.col("nodeData.split.featureIndex").alias("node_slot"),
-        (F.col("nodeData.gain") * F.col("nodeData.rawCount")).alias("gain"),
-    ).filter("left >= 0")
-    per_slot = nodes.groupBy("node_slot").agg(
+    per_slot = model.booster.nodes(spark).filter("slot >= 0").groupBy("slot").agg(
         F.sum("gain").alias("gain"), F.count("*").alias("splits")
     )
     return (
-        names.join(per_slot, F.col("slot") == F.col("node_slot"), "left")
+        names.join(per_slot, "slot", "left")
         .groupBy("feature")
         .agg(
             F.coalesce(F.sum("gain"), F.lit(0.0)).alias("gain"),
@@ -372,12 +246,12 @@ def permutation_importance(
     rows = permute(order_stats.pin(encoded), slots, seed, key)
     booster = model.booster
     rows = VectorAssembler(inputCols=slots, outputCol="_x").transform(rows)
-    rows = booster.setFeaturesCol("_x").setPredictionCol("_base").transform(rows)
+    rows = rows.withColumn("_base", booster.column(F.col("_x")))
     features = model.features
     for i, name in enumerate(features):
         mixed = [f"_swap_{s}" if feature_of(s) == name else s for s in slots]
         rows = VectorAssembler(inputCols=mixed, outputCol=f"_x{i}").transform(rows)
-        rows = booster.setFeaturesCol(f"_x{i}").setPredictionCol(f"_p{i}").transform(rows)
+        rows = rows.withColumn(f"_p{i}", booster.column(F.col(f"_x{i}")))
     label = F.col("_label")
     baseline = F.avg(F.abs(F.col("_base") - label))
     entries = [
@@ -387,7 +261,6 @@ def permutation_importance(
         )
         for i, name in enumerate(features)
     ]
-    booster.setFeaturesCol("features")
     return (
         rows.agg(F.array(*entries).alias("rows"))
         .select(F.inline("rows"))
@@ -445,7 +318,6 @@ def results_summary(training: DataFrame, evaluation: DataFrame) -> DataFrame:
 def feature_analysis(
     df: DataFrame,
     features: Sequence[str],
-    folder: str,
     params: BoostParams = BoostParams(rounds=200),
     target: str = TARGET,
 ) -> tuple[TicketModel, DataFrame]:
@@ -455,7 +327,7 @@ def feature_analysis(
     """
     declared = [c for c in CATEGORICAL_FEATURES if c in features]
     model, _ = train(df, features, params, None, target, categorical=declared)
-    gains = importance(model, df.sparkSession, folder)
+    gains = importance(model, df.sparkSession)
     shares = cumulative_share(gains.select("feature", "gain"), "feature", "gain")
     return model, shares.join(gains.select("feature", "split_count"), "feature").select(
         "feature", "gain", "split_count", "gain_pct", "cumulative_gain_pct"

@@ -389,7 +389,7 @@ def reload_score(spark, sf):
 def importance_exact(spark, sf):
     """Gain and splits of that model."""
     fitted, _ = _trained_exact(spark, sf)
-    return rounded(model.importance(fitted, spark, scratch(spark)), 4, "gain")
+    return rounded(model.importance(fitted, spark), 4, "gain")
 
 
 def permutation_exact(spark, sf):
@@ -400,7 +400,7 @@ def permutation_exact(spark, sf):
 
 def importance(spark, sf, boost=FULL):
     fitted, _ = _trained(spark, sf, boost)
-    return model.top_importance(model.importance(fitted, spark, scratch(spark)))
+    return model.top_importance(model.importance(fitted, spark))
 
 
 def permutation_importance(spark, sf, boost=FULL):
@@ -424,8 +424,8 @@ def encode(spark, sf):
 
 def feature_analysis(spark, sf, boost=BoostParams(rounds=200)):
     known = once(featured(spark, sf), "ticket_id", TARGET, *DEFAULT_FEATURES)
-    sample = order_stats.pin(review.sample_n(known, 5000, 42))
-    _, gains = model.feature_analysis(sample, DEFAULT_FEATURES, scratch(spark), boost)
+    sample = order_stats.pin(review.sample_n(known, jobs.SAMPLE_ROWS, 42))
+    _, gains = model.feature_analysis(sample, DEFAULT_FEATURES, boost)
     return gains
 
 

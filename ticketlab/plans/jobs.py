@@ -27,6 +27,8 @@ from ticketlab.schema import AGGREGATES, DEFAULT_FEATURES, TARGET, inspect_colum
 from ticketlab.sources import files
 from ticketlab.sources.star import Aggregates
 
+SAMPLE_ROWS = 200_000  # tickets of the feature analysis
+
 
 def convert(
     spark: SparkSession, source: str, target: str, limit_rows: int | None = None
@@ -124,10 +126,9 @@ def train_job(
         train_rows = split.cap_rows(train_rows, settings.max_train_rows)
     fitted, _ = model.train(train_rows, names, settings.boost, val_rows)
     fitted.save(f"{root}/model")
-    with order_stats.scratch(spark) as folder:
-        top = model.top_importance(model.importance(fitted, spark, folder))
-        record = model.train_metrics(fitted, train_rows.count(), val_rows, top)
-        files.write_metrics(record, f"{root}/metrics.json")
+    top = model.top_importance(model.importance(fitted, spark))
+    record = model.train_metrics(fitted, train_rows.count(), val_rows, top)
+    files.write_metrics(record, f"{root}/metrics.json")
     return files.read_metrics(spark, f"{root}/metrics.json")
 
 
@@ -186,9 +187,8 @@ def evaluate_job(
     files.write_parquet(review.review_sample(simulated), f"{root}/ope/review_sample")
     files.write_report(calibration.calibration_bins(simulated, TARGET, "predicted_clv"), f"{root}/ope/calibration_bins.csv")
     files.write_parquet(review.scatter_points(simulated, TARGET, "predicted_clv"), f"{root}/ope/scatter")
-    with order_stats.scratch(spark) as folder:
-        gains = model.importance(model.TicketModel.load(f"{root}/model"), spark, folder)
-        files.write_report(gains, f"{root}/ope/importance.csv")
+    gains = model.importance(model.TicketModel.load(f"{root}/model"), spark)
+    files.write_report(gains, f"{root}/ope/importance.csv")
     measures = calibration.regression_metrics(simulated, TARGET, "predicted_clv")
     totals = policy.policy_summary(simulated)
     record = measures.withColumn("_one", F.lit(1)).join(totals.withColumn("_one", F.lit(1)), "_one")
@@ -235,8 +235,7 @@ def inspect(df: DataFrame, bands, settings: Settings = Settings()) -> dict[str,
 def feature_report(
     df: DataFrame,
     names,
-    folder: str,
-    sample_size: int = 200_000,
+    sample_size: int = SAMPLE_ROWS,
     seed: int = 42,
     settings: Settings = Settings(),
 ) -> dict[str, DataFrame]:
@@ -248,7 +247,7 @@ def feature_report(
     sample = order_stats.pin(features.engineer(review.sample_n(kept, sample_size, seed), "right"))
     names = features.resolve_features(sample, features.chosen(names))
     numbers = features.numeric_features(sample, names)
-    fitted, gains = model.feature_analysis(sample, names, folder, settings.boost)
+    fitted, gains = model.feature_analysis(sample, names, settings.boost)
     return {
         "coverage": profile.feature_coverage(sample, names),
         "importance": gains,
