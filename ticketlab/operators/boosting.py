@@ -2,8 +2,9 @@
 
 Features are binned once and stored as blocks of codes. A round needs one aggregate per
 step of its tree: sums of gradients and counts per (node, feature, bin), for the smaller
-one of two children; the other one is its parent less that. Sums are integers, so the
-trees do not depend on how the rows are partitioned.
+one of two children; the other one is its parent less that. Nodes of few rows are finished
+on their rows. Sums are integers, so the trees do not depend on how the rows are
+partitioned.
 """
 
 from __future__ import annotations
@@ -12,7 +13,7 @@ import math
 import sys
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
-from functools import partial
+from functools import partial, reduce
 from heapq import heappop, heappush
 from operator import add
 
@@ -30,8 +31,9 @@ from ticketlab.operators import order_stats
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 BLOCK = 1 << 16  # rows of a stored block
-TASK_ROWS = 100_000  # rows that are worth a task of their own
+TASK_ROWS = 50_000  # rows that are worth a task of their own
 BIN_ROWS = 200_000  # rows, chosen by hash, whose values place the bins
+FEW = 1 << 13  # rows of a node that are looked at in one place
 FAN_IN = 16  # partial sums that are added up in one place
 FINEST = 36  # bits behind the binary point of a gradient: a block's sums stay below 2**53
 ERROR_BITS = 30  # the same for absolute errors of the validation rows
@@ -56,35 +58,72 @@ class Tree:
             column.append(x)
         return len(self.feature) - 1
 
+    def goes_left(self, node: int, x: np.ndarray, codes: bool) -> np.ndarray:
+        if self.group[node] is not None:
+            return np.isin(x, self.group[node])
+        return x <= (self.code[node] if codes else self.threshold[node])
+
     def walk(self, columns, codes: bool) -> np.ndarray:
         """Leaf of each row; ``columns`` are codes or values by feature."""
-        at = np.zeros(len(columns[0]) if len(columns) else 0, np.int64)
-        todo = [(0, np.arange(len(at)))]
+        at = np.zeros(len(columns[0]), np.int64)
+        for node, rows in self.rows_at(columns, np.arange(len(at)), codes):
+            at[rows] = node
+        return at
+
+    def rows_at(self, columns, rows: np.ndarray, codes: bool, wanted: set[int] | None = None):
+        """(node, its rows among ``rows``) of the wanted nodes, or of all leaves; other subtrees are left out."""
+        above = None
+        if wanted is not None:
+            up = {child: k for k in range(len(self.feature)) for child in (self.left[k], self.right[k]) if child >= 0}
+            above = set(wanted)
+            for node in wanted:
+                while node in up:
+                    node = up[node]
+                    above.add(node)
+        todo = [(0, rows)]
         while todo:
             node, rows = todo.pop()
-            if self.feature[node] < 0 or not len(rows):
-                at[rows] = node
+            if above is not None and node not in above:
                 continue
-            x = columns[self.feature[node]][rows]
-            if self.group[node] is not None:
-                goes_left = np.isin(x, self.group[node])
-            else:
-                goes_left = x <= (self.code[node] if codes else self.threshold[node])
-            todo += [(self.left[node], rows[goes_left]), (self.right[node], rows[~goes_left])]
-        return at
+            if node in wanted if wanted is not None else self.feature[node] < 0:
+                yield node, rows
+                continue
+            here = self.goes_left(node, columns[self.feature[node]][rows], codes)
+            todo += [(self.left[node], rows[here]), (self.right[node], rows[~here])]
 
 
 # --- bins --------------------------------------------------------------------------------
 
 
+def _edges_of(slots: int, max_bins: int, categories: dict[int, int], batches: Iterator[pa.RecordBatch]):
+    """Upper bounds of all bins but the last, one row per slot."""
+    x = np.concatenate([b.column(0).flatten().to_numpy(zero_copy_only=False) for b in batches] or [np.zeros(0)])
+    x = x.reshape(-1, slots)
+    edges = []
+    for s in range(slots):
+        if s in categories:
+            edges.append(np.arange(categories[s], dtype=np.float64) + 0.5)
+            continue
+        values = np.unique(x[:, s])
+        if len(values) > max_bins:
+            edges.append(np.unique(np.quantile(x[:, s], np.arange(1, max_bins) / max_bins, method="lower")))
+        else:
+            edges.append(values[:-1] / 2 + values[1:] / 2)
+    yield pa.RecordBatch.from_arrays(
+        [pa.array(range(slots), pa.int32()), pa.array([e.tolist() for e in edges], pa.list_(pa.float64()))],
+        ["slot", "edges"],
+    )
+
+
 def bin_edges(rows: DataFrame, slots: int, key: str, max_bins: int, categories: dict[int, int]) -> list[np.ndarray]:
     """Upper bounds of all bins but the last, per slot of the vector ``features``.
 
     A slot with no more than ``max_bins`` distinct values has a bin for each, bounded half
-    way to the next; else the bins are even shares of the rows. Values are looked up on at
-    most about BIN_ROWS rows, those with the smallest hashes of ``key`` (all rows, if there are
-    no more), since a place of a bound is all that depends on them. Slots in
-    ``categories`` have one bin for each of that many codes.
+    way to the next; else the bins are even shares of the rows. Values are looked up, in
+    one task, on about BIN_ROWS rows at most, those with the smallest hashes of ``key``
+    (all rows, if there are no more): which bounds the bins have is all that depends on
+    them, and every row is then put into its bin. Slots in ``categories`` have one bin for
+    each of that many codes.
     """
     n = rows.count()
     if not n:
@@ -92,26 +131,11 @@ def bin_edges(rows: DataFrame, slots: int, key: str, max_bins: int, categories:
     if n > BIN_ROWS:
         limit = int(2**63 * (2 * BIN_ROWS / n - 1))
         rows = rows.filter(F.xxhash64(F.col(key)) < limit)
-    x = vector_to_array("features")
-    shares = [i / max_bins for i in range(1, max_bins)]
-    numbers = [s for s in range(slots) if s not in categories]
-    out = []
-    for s in numbers:
-        values = F.collect_set(x[s])
-        out.append(F.when(F.size(values) <= max_bins, F.array_sort(values)).alias(f"v{s}"))
-        out.append(F.percentile(x[s], F.array(*map(F.lit, shares))).alias(f"q{s}"))
-    found = rows.agg(*out, F.count("*")).first()
-    edges = []
-    for s in range(slots):
-        if s in categories:
-            edges.append(np.arange(categories[s], dtype=np.float64) + 0.5)
-            continue
-        if found[f"v{s}"] is None:
-            edges.append(np.unique(found[f"q{s}"]))
-        else:
-            values = np.array(found[f"v{s}"])
-            edges.append(values[:-1] / 2 + values[1:] / 2)
-    return edges
+    chosen = rows.select(vector_to_array("features").alias("x")).repartition(1)
+    found = chosen.mapInArrow(
+        lambda b: _edges_of(slots, max_bins, categories, b), "slot int, edges array<double>"
+    )
+    return [np.array(r["edges"], np.float64) for r in sorted(found.collect())]
 
 
 def _coded(edges: list[np.ndarray], batches: Iterator[pa.RecordBatch]):
@@ -170,34 +194,41 @@ def _gradients(labels, scores, delta: float, bits: int) -> np.ndarray:
     return np.rint(np.clip(labels - scores, -delta, delta) * 2.0**bits)
 
 
-def _sums(blocks, tree: Tree, nodes: list[int], features: list[int], bins: list[int], bag: int, p: BoostParams, bits: int):
-    """Gradient sums and counts per (node, feature, bin), one array for all blocks of a task."""
-    width = sum(bins[f] for f in features)
-    total = np.zeros((2, len(nodes), width), np.int64)
-    place = np.full(len(tree.feature), -1)
-    place[nodes] = range(len(nodes))
-    for codes, hashes, labels, scores in blocks:
-        at = place[tree.walk(codes, True)] if len(tree.feature) > 1 else np.zeros(len(labels), np.int64)
-        rows = np.flatnonzero((at >= 0) & _in_bag(hashes, bag, p.bagging_fraction))
-        at, g = at[rows], _gradients(labels[rows], scores[rows], p.huber_delta, bits)
-        begin = 0
-        for f in features:
-            size = len(nodes) * bins[f]
-            where = at * bins[f] + codes[f][rows]
-            part = slice(begin, begin + bins[f])
-            # Whole numbers below 2**53: the double sums are exact.
-            total[0, :, part] += np.bincount(where, g, size).astype(np.int64).reshape(len(nodes), -1)
-            total[1, :, part] += np.bincount(where, minlength=size).reshape(len(nodes), -1)
-            begin += bins[f]
-    yield total
+def _histogram(codes, g: np.ndarray, features: Sequence[int], bins: list[int]) -> np.ndarray:
+    """Gradient sums and counts per feature and bin; ``codes`` are those of ``features``."""
+    parts = [
+        np.stack((np.bincount(c, g, bins[f]), np.bincount(c, minlength=bins[f]))) for c, f in zip(codes, features)
+    ]
+    # Whole numbers below 2**53: the double sums are exact.
+    return np.concatenate(parts, axis=1).astype(np.int64)
 
 
-def _added(parts: RDD):
+def _joined(one: tuple[dict, dict], other: tuple[dict, dict]) -> tuple[dict, dict]:
+    """Sums of the large nodes added up, rows of the small ones put together."""
+    return tuple({k: a[k] + b[k] for k in a} for a, b in zip(one, other))
+
+
+def _measured(blocks, tree: Tree, large: list[int], small: list[int], features, bins, bag: int, p: BoostParams, bits: int):
+    width = sum(bins[f] for f in features)
+    sums, found = {k: np.zeros((2, width), np.int64) for k in large}, {k: [] for k in small}
+    for codes, hashes, labels, scores in blocks:
+        rows = np.flatnonzero(_in_bag(hashes, bag, p.bagging_fraction))
+        for node, rows in tree.rows_at(codes, rows, True, {*large, *small}):
+            g = _gradients(labels[rows], scores[rows], p.huber_delta, bits)
+            mine = [codes[f][rows] for f in features]
+            if node in sums:
+                sums[node] += _histogram(mine, g, features, bins)
+            elif len(g):
+                found[node].append((np.stack(mine), g))
+    yield sums, found
+
+
+def _added(parts: RDD, join=add):
     """Sum of the parts, added up in steps so that no place adds many."""
     n = parts.getNumPartitions()
     if n <= FAN_IN:
-        return parts.reduce(add)
-    return parts.treeReduce(add, math.ceil(math.log(n) / math.log(FAN_IN)))
+        return reduce(join, parts.collect())
+    return parts.treeReduce(join, math.ceil(math.log(n) / math.log(FAN_IN)))
 
 
 # --- trees --------------------------------------------------------------------------------
@@ -205,10 +236,11 @@ def _added(parts: RDD):
 
 @dataclass
 class _Open:
-    """What is known of a node: sums per feature and bin, and its best split."""
+    """What is known of a node: sums per feature and bin, its rows if they are few, its best split."""
 
     sums: np.ndarray
     depth: int
+    rows: tuple[np.ndarray, np.ndarray] | None = None
     gain: float = 0.0
     feature: int = -1
     code: int = 0
@@ -252,16 +284,20 @@ def _best_split(sums: np.ndarray, depth: int, features, bins, categories, p: Boo
 def _grown(measure, features, edges, bins, categories, p: BoostParams, bits: int) -> Tree:
     """The tree that always splits the leaf of the greatest gain, up to ``max_leaves``.
 
-    ``measure(tree, nodes)`` gives the sums of some nodes. Each call asks for children of
-    all leaves that may be split with what is left of ``max_leaves``, so a tree takes about
-    as many calls as it is deep; splits that turn out not to be among the best are dropped.
+    ``measure(tree, large, small)`` gives the sums of some nodes and the rows of others. Each
+    call asks for children of all leaves that may be split with what is left of
+    ``max_leaves``, so a tree takes about as many calls as it is deep; splits that turn out
+    not to be among the best are dropped. A node of at most FEW rows is asked for its rows,
+    and what is below it needs no further call.
     """
     scale = 2.0**-bits
     tree = Tree()
-    first = measure(None, [0])[:, 0]
-    counted = first[:, : bins[features[0]]].sum(axis=1)
-    tree.add(float(counted[0]) * scale / max(1, int(counted[1])), int(counted[1]))
+    tree.add(0.0, 0)
     split = partial(_best_split, features=features, bins=bins, categories=categories, p=p, bits=bits)
+    place = {f: k for k, f in enumerate(features)}
+    first = measure(tree, [0], [])[0][0]
+    whole = first[:, : bins[features[0]]].sum(axis=1)
+    tree.value[0], tree.rows[0] = int(whole[0]) * scale / max(1, int(whole[1])), int(whole[1])
     known = {0: split(first, 0)}
     while True:
         queue, used, leaves, missing = [(-known[0].gain, 0)], [], 1, []
@@ -277,8 +313,8 @@ def _grown(measure, features, edges, bins, categories, p: BoostParams, bits: int
             for child in (tree.left[node], tree.right[node]):
                 heappush(queue, (-known[child].gain, child))
         if not missing:
-            return _only(tree, known, set(used))
-        small, pairs = [], []
+            return _only(tree, set(used))
+        asked, few = {}, []
         for node in missing:
             best = known[node]
             whole = best.sums[:, : bins[features[0]]].sum(axis=1)
@@ -290,18 +326,35 @@ def _grown(measure, features, edges, bins, categories, p: BoostParams, bits: int
             tree.gain[node] = best.gain
             tree.left[node] = tree.add(left[0] * scale / left[1], left[1])
             tree.right[node] = tree.add(right[0] * scale / right[1], right[1])
-            ids = (tree.left[node], tree.right[node]) if left[1] <= right[1] else (tree.right[node], tree.left[node])
-            small.append(ids[0])
-            pairs.append((node, *ids))
-        sums = measure(tree, small)
-        for k, (node, one, other) in enumerate(pairs):
-            depth = known[node].depth + 1
-            known[one] = split(sums[:, k], depth)
-            known[other] = split(known[node].sums - sums[:, k], depth)
-            known[node].sums = None
-
-
-def _only(tree: Tree, known: dict[int, _Open], used: set[int]) -> Tree:
+            children = tree.left[node], tree.right[node]
+            if best.rows is None:
+                smaller = min(children, key=lambda c: tree.rows[c])
+                few += [c for c in children if tree.rows[c] <= FEW]
+                asked[node] = smaller
+        # A small child's rows give its sums as well.
+        large = [c for c in asked.values() if c not in few]
+        got, rows = measure(tree, large, few) if asked else ({}, {})
+        for node in missing:
+            best, depth = known[node], known[node].depth + 1
+            found = {}
+            for child in (tree.left[node], tree.right[node]):
+                if best.rows is not None:
+                    codes, g = best.rows
+                    here = tree.goes_left(node, codes[place[best.feature]], True)
+                    here = here if child == tree.left[node] else ~here
+                    found[child] = codes[:, here], g[here]
+                elif child in rows:
+                    found[child] = tuple(np.concatenate(x, axis=-1) for x in zip(*rows[child]))
+            sums = {c: _histogram(*r, features, bins) for c, r in found.items()}
+            sums |= {c: got[c] for c in (tree.left[node], tree.right[node]) if c in got}
+            for child, other in ((tree.left[node], tree.right[node]), (tree.right[node], tree.left[node])):
+                mine = sums[child] if child in sums else best.sums - sums[other]
+                known[child] = split(mine, depth)
+                known[child].rows = found.get(child)
+            best.rows = best.sums = None
+
+
+def _only(tree: Tree, used: set[int]) -> Tree:
     """The part of ``tree`` whose splits are ``used``."""
     out = Tree()
 
@@ -460,13 +513,10 @@ def boost(
         features = sorted(draw.choice(slots, take, replace=False).tolist())
         bag = params.seed + number // params.bagging_every
 
-        def measure(tree, nodes, state=state, features=features, bag=bag):
-            tree = tree or Tree(feature=[-1])
-            return _added(
-                state.mapPartitions(
-                    partial(_sums, tree=tree, nodes=nodes, features=features, bins=bins, bag=bag, p=params, bits=bits)
-                )
-            )
+        task = partial(_measured, features=features, bins=bins, bag=bag, p=params, bits=bits)
+
+        def measure(tree, large, small, state=state, task=task):
+            return _added(state.mapPartitions(partial(task, tree=tree, large=large, small=small)), _joined)
 
         trees.append(_grown(measure, features, edges, bins, categories, params, bits))
         if old is not None:

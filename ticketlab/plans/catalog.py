@@ -42,6 +42,12 @@ PROFILE_NUMBERS = (
 EXACT = BoostParams(
     rounds=3, learning_rate=0.3, max_depth=6, min_leaf=1, feature_fraction=1.0, bagging_fraction=1.0, checkpoint_every=2
 )
+# One that it can repeat with two features, validation and an early end: each tree one split.
+EARLY = BoostParams(
+    rounds=12, learning_rate=0.7, patience=2, max_leaves=2, min_leaf=20, feature_fraction=1.0, bagging_fraction=1.0,
+    checkpoint_every=5,
+)
+EARLY_FEATURES = ("sport", "selection_odds")
 FULL = Settings().boost
 QUICK = BoostParams(rounds=4, learning_rate=0.3, patience=2, max_depth=4, checkpoint_every=2)
 
@@ -398,6 +404,38 @@ def permutation_exact(spark, sf):
     return rounded(model.permutation_importance(fitted, rows), 9, "mae_increase")
 
 
+def _trained_early(spark, sf):
+    gaps = F.when(F.col("market_type_id") % 7 != 0, F.col("selection_odds"))
+    known = once(kept(spark, sf).withColumn("selection_odds", gaps), "ticket_id", "created_at", TARGET, *EARLY_FEATURES)
+    rows = order_stats.pin(split.temporal_split(known))
+    train_rows, val_rows = (rows.filter(F.col("split") == s) for s in ("train", "val"))
+    fitted, _ = model.train(train_rows, EARLY_FEATURES, EARLY, val_rows)
+    return fitted, rows
+
+
+def train_early(spark, sf):
+    """Scores of a model of two features, one with gaps, that ends early, and after how many rounds."""
+    fitted, rows = _trained_early(spark, sf)
+    scored = fitted.score(rows).select("ticket_id", "split", "raw_score")
+    return rounded(scored, 8, "raw_score").withColumn("best_iteration", F.lit(fitted.best_iteration))
+
+
+def importance_early(spark, sf):
+    """Gain and splits of that model, the leading ones first."""
+    fitted, _ = _trained_early(spark, sf)
+    return rounded(model.top_importance(model.importance(fitted, spark)), 6, "gain")
+
+
+def metrics_early(spark, sf):
+    """Validation record of that model."""
+    fitted, rows = _trained_early(spark, sf)
+    top = model.top_importance(model.importance(fitted, spark))
+    n_train = rows.filter(F.col("split") == "train").count()
+    record = model.train_metrics(fitted, n_train, rows.filter(F.col("split") == "val"), top)
+    record = record.withColumn("leading", F.col("feature_importance_top20")[0]["feature"])
+    return rounded(record.drop("features_used", "feature_importance_top20"), 8, "val_mae", "val_rmse")
+
+
 def importance(spark, sf, boost=FULL):
     fitted, _ = _trained(spark, sf, boost)
     return model.top_importance(model.importance(fitted, spark))
@@ -601,6 +639,9 @@ QUERIES: dict[str, Query] = {
     "reload_score": reload_score,
     "csv_default": csv_default,
     "importance_exact": importance_exact,
+    "train_early": train_early,
+    "importance_early": importance_early,
+    "metrics_early": metrics_early,
     "permutation_exact": permutation_exact,
     "permutation_importance": permutation_importance,
     "feature_analysis": feature_analysis,

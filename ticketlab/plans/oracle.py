@@ -6,7 +6,7 @@ Written against the tables alone, independently of the DataFrame code.
 from __future__ import annotations
 
 from ticketlab.config import MISSING_CATEGORY
-from ticketlab.plans.catalog import AUDIT_RULES, BANDS, EXACT, PROFILE_NUMBERS
+from ticketlab.plans.catalog import AUDIT_RULES, BANDS, EARLY, EXACT, PROFILE_NUMBERS
 from ticketlab.schema import DEFAULT_FEATURES, ENRICH_COLUMNS, REVIEW_COLUMNS, enrich_columns, inspect_columns
 
 TICKETS = """
@@ -364,6 +364,51 @@ def boosted(select: str, more: dict[str, str] | None = None) -> str:
     return over("kept", extra=extra | (more or {}), select=select)
 
 
+def early(select: str) -> str:
+    """Rounds of the best single split of two features, as tables e0, e1, ..., and the best round.
+
+    A split is after a text or half way between neighbouring numbers of the training rows;
+    a missing number is below all others.
+    """
+    delta, rate = (f"CAST({x} AS DOUBLE)" for x in (EARLY.huber_delta, EARLY.learning_rate))
+    extra = {
+        "e0": f"""SELECT ticket_id, split, coalesce(sport, '{MISSING_CATEGORY}') AS t,
+  CASE WHEN market_type_id % 7 <> 0 THEN selection_odds ELSE CAST('-1e30' AS DOUBLE) END AS x, odds_after_10 AS y, (SELECT avg(odds_after_10) FROM split_kept WHERE split = 'train') AS s FROM split_kept""",
+    }
+    for k in range(1, EARLY.rounds + 1):
+        before = f"e{k - 1}"
+        extra[f"g{k}"] = f"""SELECT t, x, greatest(least(y - s, {delta}), -{delta}) AS g FROM {before} WHERE split = 'train'"""
+        extra[f"c{k}"] = f"""SELECT 0 AS f, t AS cut_t, NULL::DOUBLE AS cut_x, sum(sum(g)) OVER w AS l, sum(count(*)) OVER w AS n
+  FROM g{k} GROUP BY t WINDOW w AS (ORDER BY t)
+UNION ALL SELECT 1, NULL, x / 2 + lead(x) OVER (ORDER BY x) / 2, sum(sum(g)) OVER w, sum(count(*)) OVER w
+  FROM g{k} GROUP BY x WINDOW w AS (ORDER BY x)"""
+        extra[f"b{k}"] = f"""SELECT f, cut_t, cut_x, l / c.n AS left_mean, (a.g - l) / (a.n - c.n) AS right_mean,
+    l * l / c.n + (a.g - l) * (a.g - l) / (a.n - c.n) - a.g * a.g / a.n AS gain
+  FROM c{k} c, (SELECT sum(g) AS g, count(*) AS n FROM g{k}) a
+  WHERE c.n >= {EARLY.min_leaf} AND a.n - c.n >= {EARLY.min_leaf} ORDER BY gain DESC, f, cut_t, cut_x LIMIT 1"""
+        extra[f"e{k}"] = f"""SELECT ticket_id, split, t, x, y, s + {rate} * CASE
+    WHEN f = 0 AND t <= cut_t OR f = 1 AND x <= cut_x THEN left_mean ELSE right_mean END AS s FROM {before}, b{k}"""
+    rounds = range(1, EARLY.rounds + 1)
+    extra["errors"] = " UNION ALL ".join(
+        f"SELECT {k} AS k, avg(abs(s - y)) AS mae, sqrt(avg((s - y) * (s - y))) AS rmse, count(*) AS n FROM e{k} WHERE split = 'val'"
+        for k in rounds
+    )
+    extra["so_far"] = "SELECT a.k, (SELECT arg_min(b.k, (b.mae, b.k)) FROM errors b WHERE b.k <= a.k) AS best FROM errors a"
+    extra["ended"] = f"""SELECT coalesce(min(k) FILTER (k - best >= {EARLY.patience}), {EARLY.rounds}) AS stop FROM so_far"""
+    extra["best"] = "SELECT best FROM so_far, ended WHERE k = stop"
+    extra["splits"] = " UNION ALL ".join(f"SELECT {k} AS k, f, gain FROM b{k}" for k in rounds)
+    extra["gained"] = """SELECT v.feature, coalesce(sum(gain), 0) AS gain, count(gain) AS split_count
+  FROM (VALUES (0, 'sport'), (1, 'selection_odds')) v(f, feature)
+  LEFT JOIN (SELECT * FROM splits, best WHERE k <= best) u ON u.f = v.f GROUP BY v.feature"""
+    return over("split_kept", extra=extra, select=select)
+
+
+def early_scores() -> str:
+    scores = " UNION ALL ".join(f"SELECT {k} AS k, ticket_id, split, s FROM e{k}" for k in range(1, EARLY.rounds + 1))
+    return early(f"""SELECT ticket_id, split, {rnd('s', 8)} AS raw_score, best AS best_iteration
+FROM ({scores}), best WHERE k = best""")
+
+
 def gains() -> str:
     """Squared error that the trees take away: between the sports' mean steps and the mean of all."""
     delta = f"CAST({EXACT.huber_delta} AS DOUBLE)"
@@ -526,6 +571,11 @@ FROM ({correlations([p for p in ALL_PAIRS if p[0] != p[1]], 'corr({a}, {b})', Fa
     "train_exact": boosted(f"SELECT ticket_id, {rnd('s', 9)} AS raw_score FROM s{EXACT.rounds}"),
     "reload_score": boosted(f"SELECT ticket_id, {rnd('s', 9)} AS raw_score FROM s{EXACT.rounds}"),
     "importance_exact": gains(),
+    "train_early": early_scores(),
+    "importance_early": early(f"SELECT feature, {rnd('gain', 6)} AS gain, split_count FROM gained"),
+    "metrics_early": early(f"""SELECT {rnd('mae', 8)} AS val_mae, {rnd('rmse', 8)} AS val_rmse, CAST(best AS BIGINT) AS best_iteration,
+  CAST(2 AS BIGINT) AS n_features, (SELECT count(*) FROM split_kept WHERE split = 'train') AS n_train, n AS n_val,
+  (SELECT feature FROM gained ORDER BY gain DESC, feature LIMIT 1) AS leading FROM errors, best WHERE k = best"""),
     "permutation_exact": boosted(
         f"SELECT 'sport' AS feature, {rnd('avg(abs(there.s - y)) - avg(abs(here.s - y))', 9)} AS mae_increase FROM here JOIN there USING (p)",
         {
