@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.ml.regression import IsotonicRegression, IsotonicRegressionModel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ticketlab import functions as fn
 from ticketlab.operators import order_stats
+from ticketlab.operators.isotonic import Calibrator, fit_steps
 from ticketlab.schema import TARGET
 
 
@@ -89,31 +89,19 @@ def calibration_bins(
 
 
 def fit_calibrator(
-    df: DataFrame, actual: str = TARGET, predicted: str = "pred"
-) -> IsotonicRegressionModel:
+    df: DataFrame, actual: str = TARGET, predicted: str = "pred", scale: int | None = None
+) -> Calibrator:
     """Isotonic fit of the outcome on the score; scores outside the fitted range are clipped.
 
-    Equal scores are merged first, with their count as weight. That does not change the
-    fit and leaves far fewer rows to order.
+    ``scale`` states the decimals of the outcomes and makes the fit exact.
     """
-    merged = (
-        df.select(F.col(predicted).cast("double").alias("score"), F.col(actual).alias("label"))
-        .filter(fn.is_finite("score") & fn.is_finite("label"))
-        .groupBy("score")
-        .agg(F.avg("label").alias("label"), F.count("*").cast("double").alias("weight"))
-    )
-    return IsotonicRegression(
-        featuresCol="score", labelCol="label", weightCol="weight", isotonic=True
-    ).fit(merged)
+    return Calibrator(fit_steps(df, actual, predicted, scale))
 
 
 def calibrate(
-    df: DataFrame,
-    model: IsotonicRegressionModel | None = None,
-    predicted: str = "pred",
-    name: str = "calibrated",
+    df: DataFrame, model: Calibrator | None = None, predicted: str = "pred", name: str = "calibrated"
 ) -> DataFrame:
     """Add the calibrated score; without a calibrator it is the score itself."""
     if model is None:
         return df.withColumn(name, F.col(predicted))
-    return model.setFeaturesCol(predicted).setPredictionCol(name).transform(df)
+    return model.apply(df, predicted, name)

@@ -20,15 +20,20 @@ from ticketlab.schema import CATEGORICAL_FEATURES, DELAYED_COUNT, TARGET
 # Stands for a missing number, below every real one; infinities are clamped to its size.
 SENTINEL = 1.0e30
 CUTS = 254  # values that cut a string feature, as many as the trees have split candidates
+CATEGORIES = 1 << 15  # codes of a string feature that is declared categorical
 CATEGORY, NUMBER, ABSENT = "_cat_", "_num_", "_nul_"
 
 
 # --- encoding ------------------------------------------------------------------------------
 
 
+def _texts(df: DataFrame, column: str) -> DataFrame:
+    return df.select(fn.fill_category(column).alias("_text")).distinct()
+
+
 def _order_cuts(df: DataFrame, column: str, n: int) -> list[str]:
     """``n`` of the distinct values, evenly spaced in sorted order; all if there are no more."""
-    text = df.select(fn.fill_category(column).alias("_text")).distinct()
+    text = _texts(df, column)
     values = text.count()
     ranks = sorted({values * i // n for i in range(n)})
     keys = order_stats.keys_at(text, ["_text"], ranks)
@@ -43,7 +48,9 @@ def fit_encoder(
     A string stands for the last cut value that does not sort after it, and its code is the
     place of that; missing sorts as its own label. The cut values are CUTS of the distinct
     training values, evenly spaced in sorted order, so with no more than CUTS of them
-    the codes are their dense ranks. Strings count as ordered numbers unless listed in ``categorical``.
+    the codes are their dense ranks. Strings count as ordered numbers unless listed in
+    ``categorical``: these have a code for each value, up to CATEGORIES of them, and trees
+    split them into groups. Beyond that they are cut like the others.
     Missing numbers get a value below all others and, where training rows have any, an
     indicator beside it.
     """
@@ -57,6 +64,9 @@ def fit_encoder(
     flagged = [c for c in numbers if found[c]]
     lines = []
     for c in strings:
+        if c in categorical and _texts(train, c).limit(CATEGORIES + 1).count() <= CATEGORIES:
+            lines.append(f"coalesce(`{c}`, '{MISSING_CATEGORY}') AS `_str_{c}`")
+            continue
         quoted = [v.replace("\\", "\\\\").replace("'", "\\'") for v in _order_cuts(train, c, CUTS)]
         cuts = ", ".join(f"'{v}'" for v in quoted)
         lines.append(

@@ -26,7 +26,7 @@ from ticketlab.operators import (
     split,
 )
 from ticketlab.plans import jobs
-from ticketlab.schema import DEFAULT_FEATURES, DELAY, DELAYED, TARGET
+from ticketlab.schema import DEFAULT_FEATURES, DELAY, DELAYED, DELAYED_COUNT, TARGET
 from ticketlab.sources import files, star
 from ticketlab.sources.star import MONEY
 
@@ -38,6 +38,7 @@ PROFILE_NUMBERS = (
     "selection_odds", "stake", DELAY, "client_id", "market_type_id", "stake_ratio",
     "mean_stake_size", "odds_after_30", "odds_after_90",
 )
+ODDS = 4  # decimals of the price movements
 # A fit that SQL can repeat: one string feature, each of its values a leaf, all rows in each round.
 EXACT = BoostParams(
     rounds=3, learning_rate=0.3, max_depth=6, min_leaf=1, feature_fraction=1.0, bagging_fraction=1.0, checkpoint_every=2
@@ -274,14 +275,21 @@ def calibration_bins(spark, sf):
 
 
 def isotonic(spark, sf):
-    """Calibrated value of each score, with scores rounded to few levels."""
-    level = F.floor(F.col("pred") * 100 + 0.5) / 100
-    df = once(scored(spark, sf).withColumn("score", level), "score", TARGET)
-    calibrator = calibration.fit_calibrator(df, TARGET, "score")
-    levels = df.groupBy("score").agg(F.count("*").alias("n"))
+    """Calibrated value of each score."""
+    df = once(scored(spark, sf), "pred", TARGET)
+    calibrator = calibration.fit_calibrator(df, TARGET, "pred", ODDS)
+    levels = df.groupBy(F.col("pred").alias("score")).agg(F.count("*").alias("n"))
     return rounded(calibration.calibrate(levels, calibrator, "score", "calibrated"), 6, "calibrated")
 
 
+def isotonic_unseen(spark, sf):
+    """Calibrated value of scores between, below and above those of the fit."""
+    df = once(scored(spark, sf), "ticket_id", "pred", TARGET)
+    calibrator = calibration.fit_calibrator(df.filter("pred > -0.05 and pred < 0.05"), TARGET, "pred", ODDS)
+    moved = df.select("ticket_id", (F.col("pred") * 1.5 + 0.00007).alias("score"))
+    return rounded(calibration.calibrate(moved, calibrator, "score", "calibrated"), 6, "calibrated").drop("score")
+
+
 # --- review --------------------------------------------------------------------------------
 
 REVIEW = ["ticket_id", "sport", "ticket_state", "stake", "predicted_clv", TARGET]
@@ -436,6 +444,45 @@ def metrics_early(spark, sf):
     return rounded(record.drop("features_used", "feature_importance_top20"), 8, "val_mae", "val_rmse")
 
 
+def _stored_early(spark, sf):
+    """Splits, model and training record of that model in a folder, as the training job leaves them."""
+    fitted, parts = _trained_early(spark, sf)
+    root = scratch(spark)
+    rows = kept(spark, sf).join(parts.select("ticket_id", "split", F.col("selection_odds").alias("_gaps")), "ticket_id")
+    files.ensure_splits(spark, f"{root}/splits", lambda: rows.withColumn("selection_odds", F.col("_gaps")).drop("_gaps"))
+    fitted.save(f"{root}/model")
+    n_train, val_rows = (files.read_split(spark, f"{root}/splits", x) for x in ("train", "val"))
+    top = model.top_importance(model.importance(fitted, spark))
+    files.write_metrics(model.train_metrics(fitted, n_train.count(), val_rows, top), f"{root}/metrics.json")
+    return root
+
+
+def calibrate_early(spark, sf):
+    """Errors of that model before and after calibration."""
+    return rounded(jobs.calibrate_job(spark, _stored_early(spark, sf), ODDS), 8, "mae_before", "mae_after")
+
+
+def _evaluated_early(spark, sf):
+    root = _stored_early(spark, sf)
+    jobs.calibrate_job(spark, root, ODDS)
+    return root, jobs.evaluate_job(spark, root, Settings(delay_below=0.0), scale=MONEY)
+
+
+def evaluate_early(spark, sf):
+    """Metrics and policy totals of that model, calibrated, with a delay below 0."""
+    record = _evaluated_early(spark, sf)[1]
+    record = record.select("mae", "rmse", "n_total", "skip_count", "skip_rejected_count", "factual_pnl", "counterfactual_pnl")
+    return rounded(rounded(record, 6, "mae", "rmse"), 2, "factual_pnl", "counterfactual_pnl")
+
+
+def results_early(spark, sf):
+    """Results panel of that run."""
+    root, _ = _evaluated_early(spark, sf)
+    panel = jobs.results_job(spark, root)
+    panel = panel.select("val_mae", "best_iteration", "n_train", "n_val", DELAYED_COUNT, "skip_count", "mae", "skip_rate")
+    return rounded(panel, 6, "val_mae", "mae", "skip_rate")
+
+
 def importance(spark, sf, boost=FULL):
     fitted, _ = _trained(spark, sf, boost)
     return model.top_importance(model.importance(fitted, spark))
@@ -616,6 +663,7 @@ QUERIES: dict[str, Query] = {
     "calibration_report": calibration_report,
     "calibration_bins": calibration_bins,
     "isotonic": isotonic,
+    "isotonic_unseen": isotonic_unseen,
     "worst_50": worst_50,
     "review_sample": review_sample,
     "review_points": review_points,
@@ -642,6 +690,9 @@ QUERIES: dict[str, Query] = {
     "train_early": train_early,
     "importance_early": importance_early,
     "metrics_early": metrics_early,
+    "calibrate_early": calibrate_early,
+    "evaluate_early": evaluate_early,
+    "results_early": results_early,
     "permutation_exact": permutation_exact,
     "permutation_importance": permutation_importance,
     "feature_analysis": feature_analysis,

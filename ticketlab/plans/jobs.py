@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.ml.regression import IsotonicRegressionModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -140,16 +139,17 @@ def _scored(spark: SparkSession, root: str, name: str, folder: str) -> DataFrame
     return order_stats.pin(model.TicketModel.load(f"{root}/model").score(rows), folder)
 
 
-def calibrate_job(spark: SparkSession, model_dir: str) -> DataFrame:
+def calibrate_job(spark: SparkSession, model_dir: str, decimals: int | None = None) -> DataFrame:
     """Fit and save the calibrator on the validation split; reports before and after.
 
-    Returns the MAE before and after, one row.
+    ``decimals`` of the outcomes, if given, make the fit exact. Returns the MAE before and
+    after, one row.
     """
     root = model_dir.rstrip("/")
     with order_stats.scratch(spark) as folder:
         scored = _scored(spark, root, "val", folder)
-        calibrator = calibration.fit_calibrator(scored, TARGET, "raw_score")
-        calibrator.write().overwrite().save(f"{root}/calibrator")
+        calibrator = calibration.fit_calibrator(scored, TARGET, "raw_score", decimals)
+        calibrator.save(f"{root}/calibrator")
         both = calibration.calibrate(scored, calibrator, "raw_score", "calibrated")
         for column, name in (("raw_score", "calibration_pre"), ("calibrated", "calibration_post")):
             report = calibration.calibration_report(both, TARGET, column)
@@ -179,7 +179,7 @@ def evaluate_job(
         scored = _scored(spark, root, "test", folder)
         calibrator = None
         if files.path_exists(spark, f"{root}/calibrator"):
-            calibrator = IsotonicRegressionModel.load(f"{root}/calibrator")
+            calibrator = calibration.Calibrator.load(f"{root}/calibrator")
         predicted = calibration.calibrate(scored, calibrator, "raw_score", "predicted_clv")
         tiered = policy.classify(predicted, "predicted_clv", settings.delay_below)
         files.write_parquet(policy.policy(tiered, scale).drop("raw_score"), f"{root}/ope/simulation")

@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from ticketlab.config import MISSING_CATEGORY
 from ticketlab.plans.catalog import AUDIT_RULES, BANDS, EARLY, EXACT, PROFILE_NUMBERS
-from ticketlab.schema import DEFAULT_FEATURES, ENRICH_COLUMNS, REVIEW_COLUMNS, enrich_columns, inspect_columns
+from ticketlab.schema import DEFAULT_FEATURES, DELAYED_COUNT, ENRICH_COLUMNS, REVIEW_COLUMNS, enrich_columns, inspect_columns
 
 TICKETS = """
 SELECT
@@ -338,6 +338,24 @@ FROM placed GROUP BY lo, hi"""
     return over("scored", select=select, extra=extra)
 
 
+BETWEEN = """CASE WHEN lo IS NULL THEN high WHEN hi IS NULL OR hi = lo THEN low
+  ELSE low + ({x} - lo) / (hi - lo) * (high - low) END"""
+
+
+def fitted(source: str) -> dict[str, str]:
+    """Isotonic values: over all beginnings up to a level, the greatest of the least means up to any end from it."""
+    return {
+        "levels": f"""SELECT pred AS score, count(*) AS n, sum(CAST(round(odds_after_10 * 10000) AS BIGINT)) AS s FROM {source}
+  WHERE odds_after_10 IS NOT NULL GROUP BY 1""",
+        "ranked": """SELECT *, row_number() OVER w AS i, sum(s) OVER w AS up_s, sum(n) OVER w AS up_n
+  FROM levels WINDOW w AS (ORDER BY score)""",
+        "starts": """SELECT i + 1 AS lo, up_s AS s0, up_n AS n0 FROM ranked UNION ALL SELECT 1, 0, 0""",
+        "floors": """SELECT i, lo, min(CAST(up_s - s0 AS DOUBLE) / CAST((up_n - n0) * 10000 AS DOUBLE)) OVER (PARTITION BY lo ORDER BY i DESC) AS m
+  FROM starts JOIN ranked ON lo <= i""",
+        "fitted": "SELECT i, max(m) AS value FROM floors GROUP BY i",
+    }
+
+
 def md5_order(seed: int) -> str:
     return f"ORDER BY md5(concat(ticket_id, '|{seed}')), ticket_id"
 
@@ -364,7 +382,7 @@ def boosted(select: str, more: dict[str, str] | None = None) -> str:
     return over("kept", extra=extra | (more or {}), select=select)
 
 
-def early(select: str) -> str:
+def early(select: str, more: dict[str, str] | None = None) -> str:
     """Rounds of the best single split of two features, as tables e0, e1, ..., and the best round.
 
     A split is after a text or half way between neighbouring numbers of the training rows;
@@ -400,13 +418,28 @@ UNION ALL SELECT 1, NULL, x / 2 + lead(x) OVER (ORDER BY x) / 2, sum(sum(g)) OVE
     extra["gained"] = """SELECT v.feature, coalesce(sum(gain), 0) AS gain, count(gain) AS split_count
   FROM (VALUES (0, 'sport'), (1, 'selection_odds')) v(f, feature)
   LEFT JOIN (SELECT * FROM splits, best WHERE k <= best) u ON u.f = v.f GROUP BY v.feature"""
-    return over("split_kept", extra=extra, select=select)
-
-
-def early_scores() -> str:
-    scores = " UNION ALL ".join(f"SELECT {k} AS k, ticket_id, split, s FROM e{k}" for k in range(1, EARLY.rounds + 1))
-    return early(f"""SELECT ticket_id, split, {rnd('s', 8)} AS raw_score, best AS best_iteration
-FROM ({scores}), best WHERE k = best""")
+    scores = " UNION ALL ".join(f"SELECT {k} AS k, ticket_id, split, y, s FROM e{k}" for k in rounds)
+    extra["final"] = f"SELECT * FROM ({scores}), best WHERE k = best"
+    return over("split_kept", extra=extra | (more or {}), select=select)
+
+
+def calibrated_early() -> dict[str, str]:
+    """Calibrated scores of the test split, and the policy that delays below 0, as tables."""
+    scored = CTES["tiered"].replace("-0.02", "0.0").replace("FROM scored", "FROM judged")
+    return fitted("(SELECT s AS pred, y AS odds_after_10 FROM final WHERE split = 'val')") | {
+        "points": "SELECT score, value FROM ranked r JOIN fitted f ON f.i = r.i",
+        "below": """SELECT a.ticket_id, a.s, p.score AS lo, p.value AS low FROM (SELECT * FROM final WHERE split = 'test') a
+  ASOF LEFT JOIN points p ON a.s >= p.score""",
+        "around": "SELECT b.*, p.score AS hi, p.value AS high FROM below b ASOF LEFT JOIN points p ON b.s <= p.score",
+        "judged": f"""SELECT t.*, {BETWEEN.format(x='s')} AS pred FROM split_kept t JOIN around USING (ticket_id)""",
+        "early_tiered": scored,
+        "early_yield": CTES["skip_yield"].replace("FROM tiered", "FROM early_tiered"),
+        "early_policy": CTES["policy"].replace("tiered", "early_tiered").replace(", skip_yield", ", early_yield"),
+        "judgement": """SELECT avg(abs(pred - odds_after_10)) AS mae, sqrt(avg((pred - odds_after_10) * (pred - odds_after_10))) AS rmse,
+  count(*) AS n_total, count(*) FILTER (model_tier = 'SKIP') AS skip_count,
+  count(*) FILTER (model_tier = 'SKIP' AND ticket_state = 'rejected') AS skip_rejected_count,
+  sum(factual_pnl) AS factual_pnl, sum(counterfactual_pnl) AS counterfactual_pnl FROM early_policy""",
+    }
 
 
 def gains() -> str:
@@ -514,16 +547,15 @@ FROM tickets GROUP BY 1"""),
     "regression_metrics": over("scored", select=METRICS),
     "calibration_report": REPORT,
     "calibration_bins": binned(20, ("mean_pred", "mean_actual"), spread=True),
-    "isotonic": over("scored", extra={
-        "levels": """SELECT floor(pred * 100 + 0.5) / 100 AS score, count(*) AS n, sum(odds_after_10) AS s
-  FROM scored GROUP BY 1""",
-        "ranked": "SELECT *, row_number() OVER (ORDER BY score) AS i FROM levels",
-        "runs": """SELECT a.i AS lo, b.i AS hi, sum(c.s) / sum(c.n) AS m FROM ranked a
-  JOIN ranked b ON a.i <= b.i JOIN ranked c ON c.i BETWEEN a.i AND b.i GROUP BY a.i, b.i""",
-        "floors": """SELECT r.i, u.lo, min(u.m) AS m FROM ranked r JOIN runs u ON u.lo <= r.i AND u.hi >= r.i
-  GROUP BY r.i, u.lo""",
-    }, select=f"""SELECT r.score, r.n, {rnd('max(f.m)', 6)} AS calibrated FROM ranked r JOIN floors f ON f.i = r.i
-GROUP BY r.score, r.n"""),
+    "isotonic": over("scored", extra=fitted("scored"), select=f"""SELECT r.score, r.n, {rnd('value', 6)} AS calibrated
+FROM ranked r JOIN fitted f ON f.i = r.i"""),
+    "isotonic_unseen": over("scored", extra=fitted("(SELECT * FROM scored WHERE pred > -0.05 AND pred < 0.05)") | {
+        "points": "SELECT score, value FROM ranked r JOIN fitted f ON f.i = r.i",
+        "asked": "SELECT ticket_id, pred * CAST(1.5 AS DOUBLE) + CAST('0.00007' AS DOUBLE) AS score FROM scored",
+        "below": """SELECT a.ticket_id, a.score, p.score AS lo, p.value AS low FROM asked a ASOF LEFT JOIN points p
+  ON a.score >= p.score""",
+        "around": """SELECT b.*, p.score AS hi, p.value AS high FROM below b ASOF LEFT JOIN points p ON b.score <= p.score""",
+    }, select=f"""SELECT ticket_id, {rnd(BETWEEN.format(x='score'), 6)} AS calibrated FROM around"""),
     "worst_50": over("delayed", select=f"SELECT {REVIEW} FROM delayed ORDER BY predicted_clv, ticket_id LIMIT 50"),
     "review_sample": over("delayed", extra={
         "worst": f"SELECT {REVIEW} FROM delayed ORDER BY predicted_clv, ticket_id LIMIT 50",
@@ -571,7 +603,16 @@ FROM ({correlations([p for p in ALL_PAIRS if p[0] != p[1]], 'corr({a}, {b})', Fa
     "train_exact": boosted(f"SELECT ticket_id, {rnd('s', 9)} AS raw_score FROM s{EXACT.rounds}"),
     "reload_score": boosted(f"SELECT ticket_id, {rnd('s', 9)} AS raw_score FROM s{EXACT.rounds}"),
     "importance_exact": gains(),
-    "train_early": early_scores(),
+    "train_early": early(f"SELECT ticket_id, split, {rnd('s', 8)} AS raw_score, best AS best_iteration FROM final"),
+    "calibrate_early": early(f"""SELECT {rnd('avg(abs(s - y))', 8)} AS mae_before, {rnd('avg(abs(value - y))', 8)} AS mae_after
+FROM final JOIN (SELECT score, value FROM ranked r JOIN fitted f ON f.i = r.i) ON score = s WHERE split = 'val'""",
+        fitted("(SELECT s AS pred, y AS odds_after_10 FROM final WHERE split = 'val')")),
+    "evaluate_early": early(f"""SELECT {rnd('mae', 6)} AS mae, {rnd('rmse', 6)} AS rmse, n_total, skip_count, skip_rejected_count,
+  {rnd('factual_pnl', 2)} AS factual_pnl, {rnd('counterfactual_pnl', 2)} AS counterfactual_pnl FROM judgement""", calibrated_early()),
+    "results_early": early(f"""SELECT {rnd('e.mae', 6)} AS val_mae, CAST(best AS BIGINT) AS best_iteration,
+  (SELECT count(*) FROM split_kept WHERE split = 'train') AS n_train, e.n AS n_val, n_total - skip_count AS {DELAYED_COUNT},
+  skip_count, {rnd('j.mae', 6)} AS mae, {rnd('skip_count / n_total', 6)} AS skip_rate
+FROM judgement j, best JOIN errors e ON k = best""", calibrated_early()),
     "importance_early": early(f"SELECT feature, {rnd('gain', 6)} AS gain, split_count FROM gained"),
     "metrics_early": early(f"""SELECT {rnd('mae', 8)} AS val_mae, {rnd('rmse', 8)} AS val_rmse, CAST(best AS BIGINT) AS best_iteration,
   CAST(2 AS BIGINT) AS n_features, (SELECT count(*) FROM split_kept WHERE split = 'train') AS n_train, n AS n_val,
