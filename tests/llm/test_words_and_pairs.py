@@ -171,3 +171,14 @@ def test_lattice_recall():
     met = home_a == home_b
     met |= (near_a == home_b[:, :, None]).any(axis=2) | (near_b == home_a[:, :, None]).any(axis=2)
     assert met.any(axis=1).mean() > 0.99
+
+
+@pytest.mark.parametrize("bits", [partenum.FILTER_BITS, 16])
+def test_texts_without_an_id_link_like_others(spark, monkeypatch, bits):
+    monkeypatch.setattr(partenum, "FILTER_BITS", bits)  # the least bitmap has 2**15 bits
+    words = [f"w{k}" for k in range(60)]
+    one, two, three = " ".join(words), " ".join([*words[:-1], "x"]), " ".join([*words[:-1], "y"])
+    rows = [(1, one), (None, two), (3, three), (None, "alone " + " ".join(reversed(words))), (9, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(((r.doc_id, r.n_shingles, r.component_id) for r in partenum.similar_groups(df).collect()), key=str)
+    assert got == sorted([(1, 56, 1), (None, 56, 1), (3, 56, 1), (None, 57, None), (9, 0, 9)], key=str)

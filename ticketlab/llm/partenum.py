@@ -21,6 +21,7 @@ LEAST_PARTS = 16
 BLOCK = 192  # documents of one side of a comparison in a task
 ELEMENTS = 4_000_000  # shingles of one side
 COLUMNS = 4096  # shingles compared at a time
+FILTER_BITS = 27  # 16 MB, sent to every task, say which texts to read again
 
 _ONE = np.uint64(1)
 
@@ -121,6 +122,32 @@ def _read(docs: DataFrame, id_col: str, text_col: str, size: int, percent: int,
     )
 
 
+def _key(id_col: str):
+    return F.pmod(F.xxhash64(id_col), F.lit(1 << FILTER_BITS))
+
+
+def _filter_of(ids: DataFrame) -> np.ndarray:
+    """A bit for each hash of an ``id`` (null is one as well), made by Spark in pieces of 4 KB."""
+    at = _key("id") + 1
+    pieces = ids.groupBy(F.bitmap_bucket_number(at).alias("piece")).agg(
+        F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias("bits")
+    )
+    found = np.zeros((1 << FILTER_BITS) // 8, np.uint8)
+    for row in pieces.collect():  # at most 2**FILTER_BITS bits
+        begin = (row["piece"] - 1) * len(row["bits"])
+        found[begin : begin + len(row["bits"])] = np.frombuffer(row["bits"], np.uint8)
+    return found
+
+
+def _chosen(sent, batches: Iterator[pa.RecordBatch]):
+    """The rows (key, id, text) whose key has its bit set, without the key."""
+    for batch in batches:
+        key = batch.column(0).to_numpy()
+        keep = sent.value[key >> 3] >> (key & 7).astype(np.uint8) & 1
+        rows = batch.filter(pa.array(keep.astype(bool)))
+        yield pa.RecordBatch.from_arrays(rows.columns[1:], rows.schema.names[1:])
+
+
 def _forest(pdf: pd.DataFrame, percent: int) -> pd.DataFrame:
     """Links of one unit, reduced to one star for each group that they connect."""
     pdf = pdf.drop_duplicates("node").reset_index(drop=True)
@@ -184,7 +211,12 @@ def similar_groups(
        they have over ELEMENTS shingles, and emits a forest of the links it found, so a
        large group of near copies never becomes rows of pairs.
 
-    Null or empty texts have no shingles and stay alone. Null ids are kept; rows that
+    4. The texts of candidates are read again; a filter of 2**FILTER_BITS bits over hashes of
+    their ids picks them in the scan. Where there are far more candidates than bits, more
+    sets than needed are made and shuffled; the result is the same.
+
+    Null or empty texts have no shingles and stay alone. Null ids are kept, link like
+    others and count for ``component_id`` only where a group has no other; rows that
     repeat an id are judged by their own text. Other columns are ignored. An empty table
     gives an empty result.
     """
@@ -244,10 +276,11 @@ def similar_groups(
     ).select(
         "kind", "unit", "node", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j")
     )
-    # The sets are made again from the texts of those documents alone.
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(
-        wanted.select("id").distinct(), "id", "left_semi"
-    )
+    # The sets are made again from the texts of those documents (and a few whose hash is
+    # the same); a filter tells them in the scan, so that no text is shuffled to be chosen.
+    sent = docs.sparkSession.sparkContext.broadcast(_filter_of(wanted))
+    texts = docs.select(_key(id_col).alias("key"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    texts = texts.mapInArrow(lambda b: _chosen(sent, b), carrying(docs, id_col, "text string"))
     sets = (
         _read(texts, "id", "text", shingle, percent, True)
         .join(wanted.select("node"), "node", "left_semi")
@@ -265,7 +298,8 @@ def similar_groups(
     placed = made.select("id", "n", "node").join(groups_of, "node", "left").withColumn(
         "component", F.coalesce("component", "node")
     )
-    least = placed.filter("component is not null").groupBy("component").agg(F.min("id").alias("least"))
+    # Written first, so that Spark can split the rows of a large group in the join.
+    least = pin(placed.filter("component is not null").groupBy("component").agg(F.min("id").alias("least")))
     return placed.join(least, "component", "left").select(
         F.col("id").alias(id_col),
         F.col("n").alias("n_shingles"),
