@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ticketlab.llm.graph import components, discard
@@ -139,6 +139,21 @@ def _filter_of(ids: DataFrame) -> np.ndarray:
     return found
 
 
+def perhaps_in(ids: DataFrame, id_col: str) -> Column:
+    """Whether a row's ``id_col`` is among the ``id`` of a table: true for all that are and a few others.
+
+    Only the hash goes through the filter of 2**FILTER_BITS bits, in the scan.
+    """
+    sent = ids.sparkSession.sparkContext.broadcast(_filter_of(ids))
+
+    @F.arrow_udf("boolean")
+    def found(key: pa.Array) -> pa.Array:
+        at = key.to_numpy(zero_copy_only=False)
+        return pa.array((sent.value[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool))
+
+    return found(_key(id_col))
+
+
 def _chosen(sent, batches: Iterator[pa.RecordBatch]):
     """The rows (key, id, text) whose key has its bit set, without the key."""
     for batch in batches:
