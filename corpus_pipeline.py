@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ticketlab.llm import decontam, language, packing, partenum
-from ticketlab.operators.order_stats import delete, shared_folder
+from ticketlab.operators.order_stats import delete, pin, shared_folder
 
 
 def languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -28,13 +28,22 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document of each group of near copies: the one with the smallest id.
 
     A row is named by its id and a hash of all its columns, so that rows which repeat an
-    id with another text are not mixed up; of rows equal in all columns one stays.
+    id with another text are not mixed up; of rows equal in all columns one stays. Rows
+    whose name is kept and not repeated pass in the scan, those of the other names (and a
+    few with the same hash) are the only ones that are shuffled.
     """
     name = F.struct(F.col("doc_id").isNull(), "doc_id", F.xxhash64(*docs.columns))
     rows = docs.select(F.struct("*").alias("row"), name.alias("name"), "text")
     groups = partenum.similar_groups(rows, id_col="name")
-    kept = groups.filter(F.col("name") == F.col("component_id")).select("name").distinct()
-    return rows.join(kept, "name", "left_semi").dropDuplicates(["name"]).select("row.*")
+    named = pin(
+        groups.groupBy(F.col("name").alias("id"))
+        .agg(F.count("*").alias("n"), F.max(F.col("name") == F.col("component_id")).alias("kept"))
+    )
+    doubtful = partenum.perhaps_in(named.filter("n > 1 or not kept").select("id"), "name")
+    told = rows.select("row", "name", doubtful.alias("doubtful"))
+    kept = named.filter("kept").select(F.col("id").alias("name"))
+    looked_up = told.filter("doubtful").join(kept, "name", "left_semi").dropDuplicates(["name"])
+    return told.filter("not doubtful").select("row.*").union(looked_up.select("row.*"))
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
