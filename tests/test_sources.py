@@ -4,7 +4,9 @@ import contextlib
 import io
 
 import pytest
+from pyspark.sql import functions as F
 
+from ticketlab.operators import order_stats
 from ticketlab.plans import jobs
 from ticketlab.schema import AGGREGATES, TICKETS
 from ticketlab.sources import files, star
@@ -91,6 +93,40 @@ def test_publish_verifies(spark, tickets, tmp_path):
     assert files.publish(tickets, f"{tmp_path}/out") == tickets.count()
 
 
+def test_published_tables_keep_a_manifest_and_survive_failed_writes(spark, tickets, tmp_path):
+    path = f"{tmp_path}/out"
+    rows = tickets.select("ticket_id", "stake", "pnl").limit(500)
+    rows = order_stats.pin(rows)
+    files.publish(rows, path)
+    assert files.changed_files(spark, path).count() == 0
+    # A job that fails half way leaves the old table as it is, and nothing beside it.
+    broken = rows.withColumn("stake", F.when(F.col("stake") > 0, F.raise_error(F.lit("lost")).cast("double")))
+    with pytest.raises(Exception, match="lost"):
+        files.publish(broken, path)
+    assert spark.read.parquet(path).count() == 500 and [p.name for p in tmp_path.iterdir()] == ["out"]
+    assert files.publish(order_stats.pin(rows.limit(20)), path) == 20
+    assert spark.read.parquet(path).count() == 20 and [p.name for p in tmp_path.iterdir()] == ["out"]
+    assert files.publish(rows.limit(0), f"{tmp_path}/none") == 0
+    # One value changed, the same number of rows.
+    name = next((tmp_path / "out").glob("part-*.parquet"))
+    files.write_parquet(spark.read.parquet(path).withColumn("stake", F.col("stake") + F.when(F.col("ticket_id") == rows.first()[0], 1).otherwise(0)).coalesce(1), f"{tmp_path}/other")
+    for old in (tmp_path / "out").glob(".*.crc"):
+        old.unlink()
+    name.write_bytes(next((tmp_path / "other").glob("part-*.parquet")).read_bytes())
+    spark.catalog.refreshByPath(path)
+    assert [r.file for r in files.changed_files(spark, path).collect()] == [name.name]
+
+
+def test_a_write_that_reads_back_otherwise_is_refused(spark, tmp_path, monkeypatch):
+    path = f"{tmp_path}/out"
+    files.publish(spark.range(10).select(F.col("id").cast("string").alias("a")), path)
+    write = files.write_parquet
+    monkeypatch.setattr(files, "write_parquet", lambda df, to: write(df.withColumn("a", F.lit("x")), to))
+    with pytest.raises(RuntimeError, match="not the 10 rows"):
+        files.publish(spark.range(10).select(F.col("id").cast("string").alias("a")), path)
+    assert spark.read.parquet(path).distinct().count() == 10
+
+
 def test_missing_inputs_are_named(spark, tmp_path):
     with pytest.raises(FileNotFoundError, match="run convert first"):
         jobs.enrich_job(spark, f"{tmp_path}/none", {}, f"{tmp_path}/out")

@@ -561,6 +561,15 @@ def publish(spark, sf):
     return files.read_tickets(spark, path).select("ticket_id", "stake")
 
 
+def publish_again(spark, sf):
+    """A table published over another one, with the files that are not as its manifest says."""
+    path = f"{scratch(spark)}/published"
+    files.publish(kept(spark, sf).limit(10), path)
+    files.publish(kept(spark, sf), path)
+    wrong = files.changed_files(spark, path).agg(F.count("*").alias("n_changed"))
+    return files.manifest(spark, path).agg(F.sum("n_rows").alias("n_rows")).join(F.broadcast(wrong))
+
+
 def report_roundtrip(spark, sf):
     path = f"{scratch(spark)}/calibration.csv"
     files.write_report(calibration_report(spark, sf), path)
@@ -702,6 +711,7 @@ QUERIES: dict[str, Query] = {
     "convert": convert,
     "splits_roundtrip": splits_roundtrip,
     "publish": publish,
+    "publish_again": publish_again,
     "report_roundtrip": report_roundtrip,
     "metrics_roundtrip": metrics_roundtrip,
     "enrich_job": enrich_job,

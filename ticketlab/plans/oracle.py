@@ -633,6 +633,7 @@ FROM judgement j, best JOIN errors e ON k = best""", calibrated_early()),
     "convert": over("tickets", select="SELECT count(*) AS n_rows FROM tickets"),
     "splits_roundtrip": over("split_kept", select="""SELECT ticket_id, odds_after_10, split FROM split_kept
 WHERE split = 'val'"""),
+    "publish_again": over("kept", select="SELECT count(*) AS n_rows, CAST(0 AS BIGINT) AS n_changed FROM kept"),
     "publish": over("kept", select="SELECT ticket_id, stake FROM kept"),
     "report_roundtrip": REPORT,
     "metrics_roundtrip": over("scored", select=METRICS),

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DataType, StringType, StructType
@@ -107,14 +110,70 @@ def path_bytes(spark: SparkSession, path: str) -> int:
     return hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(hadoop).getLength()
 
 
+def _mark(columns: Sequence[str]) -> Column:
+    """Order-independent fingerprint of rows: a wide sum of their 64-bit hashes, so equal rows count twice."""
+    return F.coalesce(F.sum(F.xxhash64(*[F.col(c) for c in columns]).cast("decimal(38,0)")), F.lit(0)).cast("string")
+
+
+def manifest(spark: SparkSession, uri: str) -> DataFrame:
+    """Rows and fingerprint of each file of a Parquet table, as they are now."""
+    df = spark.read.parquet(uri)
+    file = F.element_at(F.split(F.input_file_name(), "/"), -1)
+    return df.groupBy(file.alias("file")).agg(F.count("*").alias("n_rows"), _mark(df.columns).alias("mark"))
+
+
+def changed_files(spark: SparkSession, uri: str) -> DataFrame:
+    """Files of a published table that are not as the manifest says: changed, missing or added."""
+    said = spark.read.schema("file string, n_rows bigint, mark string").json(f"{uri.rstrip('/')}/_manifest")
+    now = manifest(spark, uri).select("file", F.col("n_rows").alias("n_now"), F.col("mark").alias("mark_now"))
+    same = F.col("n_rows").eqNullSafe(F.col("n_now")) & F.col("mark").eqNullSafe(F.col("mark_now"))
+    return said.join(now, "file", "full").filter(~same).select("file", "n_rows", "n_now")
+
+
+def _move(spark: SparkSession, source: str, target: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    if not path(source).getFileSystem(spark._jsc.hadoopConfiguration()).rename(path(source), path(target)):
+        raise RuntimeError(f"{source} could not be moved to {target}")
+
+
 def publish(df: DataFrame, uri: str) -> int:
-    """Write to any Hadoop URI, read back, and raise unless the row counts agree."""
+    """Write to any Hadoop URI, verify what was written, then put it in place of what is there.
+
+    The table is written beside the target, with a manifest of its files. Rows and
+    fingerprint read back have to be those that went into the write, else the new table is
+    removed and an error raised; the old table is not touched before. The switch is two
+    renames, the first of which is undone if the second one fails.
+    """
+    spark, target = df.sparkSession, uri.rstrip("/")
+    staging, old = (f"{target}-{name}-{uuid.uuid4().hex[:12]}" for name in ("staging", "old"))
     written = Observation()
-    write_parquet(df.observe(written, F.count(F.lit(1)).alias("n")), uri)
-    wrote, expected = df.sparkSession.read.parquet(uri).count(), written.get["n"]
-    if wrote != expected:
-        raise RuntimeError(f"{uri}: wrote {wrote} rows, expected {expected}")
-    return wrote
+    marked = df.observe(written, F.count(F.lit(1)).alias("n"), _mark(df.columns).alias("mark"))
+    try:
+        write_parquet(marked, staging)
+        manifest(spark, staging).coalesce(1).write.json(f"{staging}/_manifest")
+        said = spark.read.schema("file string, n_rows bigint, mark decimal(38,0)").json(f"{staging}/_manifest")
+        found = said.agg(F.coalesce(F.sum("n_rows"), F.lit(0)).alias("n"), F.coalesce(F.sum("mark"), F.lit(0)).alias("mark")).first()
+        expected = written.get
+        if (found["n"], int(found["mark"])) != (expected["n"], int(expected["mark"])):
+            raise RuntimeError(f"{uri}: read back {found['n']} rows that are not the {expected['n']} rows written")
+        there = path_exists(spark, target)
+        if there:
+            _move(spark, target, old)
+        try:
+            _move(spark, staging, target)
+        except Exception:
+            if there:
+                _move(spark, old, target)
+            raise
+    finally:
+        remove(spark, staging)
+    remove(spark, old)
+    return expected["n"]
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
 
 
 def write_splits(df: DataFrame, path: str, mode: str = "overwrite") -> None:
