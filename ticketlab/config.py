@@ -6,13 +6,20 @@ from dataclasses import dataclass, field
 from ticketlab.schema import DELAY
 
 
+COMPARISONS = ("==", "!=", "<", "<=", ">", ">=")
+
+
 @dataclass(frozen=True)
 class Rule:
-    """Keep rows where ``column op value`` is true."""
+    """What a column has to be for a row to stay: a comparison, and what it is compared with."""
 
     column: str
-    op: str = ">="
-    value: float | int | str = 0
+    op: str
+    value: float | int | str
+
+    def __post_init__(self) -> None:
+        if self.op not in COMPARISONS:
+            raise ValueError(f"unknown operator {self.op!r} for {self.column}")
 
 
 # --- fixed values: results depend on them ------------------------------------------------
