@@ -25,7 +25,7 @@ RULES = (
 
 DAMPING = 0.85
 TOLERANCE = 1e-10  # scores are settled when a round changes none by more than this part of itself
-ROUNDS = 1000  # unsettled after so many, propagation fails
+LEAST = 1e-300  # score of a host that links reach, but so far off that it would vanish
 DIRECT = 200_000  # links and seeds that are settled in the driver's memory
 RATIO = 1.0  # distrust of a blocked host over its trust
 MARGIN = 1e-9  # of itself, by which trust may exceed what equals it: sums of doubles depend on their order
@@ -91,11 +91,7 @@ def host_links(pages: DataFrame, url_col: str = "url", html_col: str = "html") -
     )
 
 
-def _unsettled(rounds: int) -> RuntimeError:
-    return RuntimeError(f"trust and distrust have not settled after {rounds} rounds")
-
-
-def _direct(seeds: pa.Table, links: pa.Table, damping: float, rounds: int) -> pa.Table:
+def _direct(seeds: pa.Table, links: pa.Table, damping: float) -> pa.Table:
     """``propagate`` in memory, by the same rounds and the same end."""
     column = lambda table, name: table[name].to_numpy(zero_copy_only=False)
     n = [seeds.num_rows, seeds.num_rows + links.num_rows]
@@ -109,17 +105,16 @@ def _direct(seeds: pa.Table, links: pa.Table, damping: float, rounds: int) -> pa
         base = base / (base.sum() or 1.0)
         each = weight / np.bincount(a, weight, len(hosts))[a]
         state = base
-        for _ in range(rounds):
+        while True:
             before, state = state, (1 - damping) * base + damping * np.bincount(b, state[a] * each, len(hosts))
+            state = np.where(state > 0, np.maximum(state, LEAST), 0.0)
             if not (np.abs(state - before) > TOLERANCE * state).any():
                 break
-        else:
-            raise _unsettled(rounds)
         scores.append(state)
     return pa.table({"host": pa.array(hosts, pa.string()), "trust": scores[0], "distrust": scores[1]})
 
 
-def propagate(seeds: DataFrame, links: DataFrame, damping: float = DAMPING, rounds: int = ROUNDS) -> DataFrame:
+def propagate(seeds: DataFrame, links: DataFrame, damping: float = DAMPING) -> DataFrame:
     """(host, trust, distrust) of all hosts that a seed or a link names.
 
     ``seeds`` has host and the non-negative weights trusted and blocked. Trust is the
@@ -127,14 +122,15 @@ def propagate(seeds: DataFrame, links: DataFrame, damping: float = DAMPING, roun
     the blocked ones against them: who links to a blocked host shares its distrust. Both
     go through one join a round. A host without links on the way hands nothing on.
     Rounds go on until no host's trust or distrust changes by more than TOLERANCE of
-    itself, so they also reach every host that has any; if ``rounds`` are not enough,
-    this is an error. Each round is written to the checkpoint folder, so no plan grows
+    itself, so they also reach every host that has any, which takes a round for each
+    link on the way. A host that is reached has at least LEAST, so its score does not
+    vanish after thousands of links. Each round is written to the checkpoint folder, so no plan grows
     and a lost executor costs one round; the parts of a hub's rows are split by Spark.
     Up to DIRECT seeds and links are settled in the driver, by the same rule.
     """
     if seeds.count() + links.count() <= DIRECT:
         parts = seeds.select("host", "trusted", "blocked").toArrow(), links.select("src", "dst", "weight").toArrow()
-        found = _direct(*parts, damping, rounds)
+        found = _direct(*parts, damping)
         return pin(seeds.sparkSession.createDataFrame(found, "host string, trust double, distrust double"))
     totals = seeds.agg(F.sum("trusted").alias("t"), F.sum("blocked").alias("b"))
     share = lambda part, whole: F.when(F.col(whole) > 0, F.col(part) / F.col(whole)).otherwise(0.0)
@@ -155,7 +151,7 @@ def propagate(seeds: DataFrame, links: DataFrame, damping: float = DAMPING, roun
     ways = pin(forward.union(backward))
     scores = ("trust", "distrust")
     state = start
-    for _ in range(rounds):
+    while True:
         given = ways.join(state.withColumnRenamed("host", "from"), "from").select(
             F.col("to").alias("host"), (damping * F.col("trust") * F.col("t")).alias("trust"), (damping * F.col("distrust") * F.col("d")).alias("distrust"),
             F.lit(0.0).alias("old_trust"), F.lit(0.0).alias("old_distrust"),
@@ -163,15 +159,15 @@ def propagate(seeds: DataFrame, links: DataFrame, damping: float = DAMPING, roun
         anew = start.select("host", *[(1 - damping) * F.col(c) for c in scores], F.lit(0.0), F.lit(0.0))
         old = state.select("host", F.lit(0.0), F.lit(0.0), *scores)
         sums = [F.sum(c).alias(c) for c in (*scores, "old_trust", "old_distrust")]
-        before, after = state, pin(given.union(anew).union(old).groupBy("host").agg(*sums))
+        summed = given.union(anew).union(old).groupBy("host").agg(*sums)
+        reached = {c: F.when(F.col(c) > 0, F.greatest(c, F.lit(LEAST))).otherwise(0.0) for c in scores}
+        before, after = state, pin(summed.withColumns(reached))
         state = after.select("host", *scores)
         if before is not start:
             discard(before)
         moved = [F.abs(F.col(c) - F.col(f"old_{c}")) > TOLERANCE * F.col(c) for c in scores]
         if after.filter(moved[0] | moved[1]).isEmpty():
             break
-    else:
-        raise _unsettled(rounds)
     discard(ways, start)
     return state
 
@@ -190,8 +186,8 @@ def judge(
     allows and blocks. A page without a rule is blocked if its host's distrust is above
     zero and at least ``ratio`` times its trust, else allowed; so it is where nothing is
     known. Both are shares of all seed pages, so only their ratio is looked at, however
-    small they are; a ratio short of ``ratio`` by MARGIN counts as equal. Scores are
-    given with 12 significant digits.
+    small they are; a ratio short of ``ratio`` by MARGIN counts as equal, and so do two
+    scores of LEAST. Scores are given with 12 significant digits.
 
     A null url, or one without ``://``, has an empty host and path and is allowed. Null
     html has no links. Repeated rows are judged one by one and each count as a page;
