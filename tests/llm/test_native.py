@@ -46,7 +46,7 @@ def plain_scores(seeds, links):
     out = {h: sum(w for (a, _), w in links.items() if a == h) for h in hosts}
     into = {h: sum(w for (_, b), w in links.items() if b == h) for h in hosts}
     d = url_filters.DAMPING
-    for _ in range(url_filters.ROUNDS):
+    for _ in range(1000):
         after = {h: [(1 - d) * v for v in base[h]] for h in hosts}
         for (a, b), w in links.items():
             after[b][0] += d * state[a][0] * w / out[a]
@@ -110,11 +110,25 @@ def test_scores_are_settled_along_chains(spark, monkeypatch, direct):
         assert got[host] == pytest.approx(scores, rel=1e-8 if direct else 1e-3, abs=0)
 
 
-def test_unsettled_scores_are_an_error(spark):
-    links = spark.createDataFrame([("a", "b", 1.0), ("b", "a", 1.0)], "src string, dst string, weight double")
+def test_the_end_of_a_long_chain_is_reached(spark):
+    """Each host of 5000 links to the one before it, the first one to a blocked host."""
+    pages = spark.range(5000).selectExpr(
+        "id AS page_id", "concat('http://h', id, '.net/') AS url",
+        "concat('<a href=\"//', if(id = 0, 'bad.com', concat('h', id - 1, '.net')), '/\">') AS html",
+    ).union(spark.createDataFrame([(-1, "http://bad.com/de/1", None), (-2, "http://apart.net/", "")], "page_id long, url string, html string"))
+    got = {r.page_id: r for r in url_filters.judge(pages).collect()}
+    assert {k for k, r in got.items() if r.verdict == "block"} == set(got) - {-2}
+    assert got[4999].distrust == url_filters.LEAST and got[4999].trust == 0
+
+
+def test_scores_on_spark_have_the_same_floor(spark, monkeypatch):
+    monkeypatch.setattr(url_filters, "LEAST", 0.3)
+    links = spark.createDataFrame([("a", "b", 1.0), ("b", "c", 1.0)], "src string, dst string, weight double")
     seeds = spark.createDataFrame([("a", 1.0, 0.0)], "host string, trusted double, blocked double")
-    with pytest.raises(RuntimeError):
-        url_filters.propagate(seeds, links, rounds=12)
+    direct = {tuple(r) for r in url_filters.propagate(seeds, links).collect()}
+    monkeypatch.setattr(url_filters, "DIRECT", 0)
+    assert {tuple(r) for r in url_filters.propagate(seeds, links).collect()} == direct
+    assert {r[0]: r[1] for r in direct} == pytest.approx({"a": 0.3, "b": 0.3, "c": 0.3})
 
 
 def test_canonical_urls(spark):
@@ -170,6 +184,19 @@ def test_revisits_take_the_latest_earlier_response(spark, parts):
     assert warc.resolve(df.limit(0)).collect() == []
 
 
+def test_equal_responses_have_one_outcome(spark):
+    """Responses equal in time and id: the greatest digest counts, then the header lines."""
+    rows = [(1, "http://a.org/", 1, "response", {"etag": t}, d) for t, d in (("1", "d1"), ("2", "d1"), ("1", None), ("3", "d0"))]
+    rows += [(2, "http://a.org/", 2, "revisit", {"etag": t}, None) for t in ("1", "2", "3")]
+    rows += [(2, "http://a.org/", 2, "response", {"etag": "9"}, "d9")] * 2
+    kind = "record_id long, url string, ts long, kind string, headers map<string,string>, digest string"
+    for seed in range(4):
+        random.Random(seed).shuffle(rows)
+        got = warc.resolve(spark.createDataFrame(rows, kind)).collect()
+        assert sorted((r.status, r.response_id, r.digest or "") for r in got) == [("changed", 1, "")] * 2 + [("resolved", 1, "d1")]
+        assert [r.headers["etag"] for r in got if r.headers] == ["2"]
+
+
 def test_chats_are_read_back(spark):
     draw = random.Random(2)
     parts = ["<s>", "</s>", "[INST]", "[/INST]", "\\", "<", "[", "s>", "INST]", "/", "a", " ", "\n", "<\\s>", "[\\/INST]", "$1", "é", "🤦"]

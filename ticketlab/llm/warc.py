@@ -87,10 +87,11 @@ def resolve(records: DataFrame) -> DataFrame:
 
     ``records`` has record_id, url, ts, kind (``response`` or ``revisit``), headers (a map
     with lower-case names) and digest. The response is the latest one of the same
-    canonical URL before the revisit by (ts, record_id). ``status`` is ``resolved`` if
-    the entity tags agree, or without a tag on either side the last-modified dates;
-    ``changed`` if they differ; ``unchecked`` if no validator is on both sides;
-    ``missing`` without an earlier response or without a canonical URL. A resolved
+    canonical URL before the revisit by (ts, record_id). Of responses equal in both the
+    greatest by (digest, header lines) is the latest; one equal in both to the revisit
+    is not before it. ``status`` is ``resolved`` if the entity tags agree, or without a
+    tag on either side the last-modified dates; ``changed`` if they differ; ``unchecked``
+    if no validator is on both sides; ``missing`` without an earlier response or without a canonical URL. A resolved
     revisit gets the response's digest and headers, of which the permitted ones are
     replaced by its own; else both are null.
 
@@ -103,8 +104,10 @@ def resolve(records: DataFrame) -> DataFrame:
         "record_id", "ts", (F.col("kind") == FULL).alias("full"), canonical_url(F.col("url")).alias("url"),
         F.coalesce("headers", empty).alias("headers"), "digest",
     )
+    rows = rows.withColumn("lines", F.when(F.col("full"), header_lines(F.col("headers"))))
     value = F.when(F.col("full"), F.struct("record_id", "headers", "digest"))
-    found = latest_before(rows, "url", ["ts", "record_id"], value).filter("not full")
+    order = ["ts", "record_id", "full", "digest", "lines"]
+    found = latest_before(rows, "url", order, value).filter("not full")
     stored = F.col("before.headers")
     tags = [weak(F.element_at(h, "etag")) for h in (stored, F.col("headers"))]
     dates = [F.element_at(h, "last-modified") for h in (stored, F.col("headers"))]
