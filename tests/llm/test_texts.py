@@ -251,3 +251,31 @@ def test_copies_that_occur_only_edited_are_found(spark, every):
     assert want >= decontam.THRESHOLD
     assert [(r.doc_id, r.score) for r in decontam.leaks(df, bench).collect()] == [(1, pytest.approx(want))]
     assert [r.doc_id for r in decontam.without_leaks(df, bench).collect()] == [2]
+
+
+def test_a_phrase_that_many_items_share_leads_to_none(spark):
+    phrase = "which of the following statements is true about"
+    own = [" ".join(f"k{i}x{j}" for j in range(10)) for i in range(3000)]
+    texts = [f"{phrase} {o}" for o in own] + [phrase, "which of the", "of the", own[7], f"{phrase} {own[8]}"]
+    items = decontam.Items.of(list(range(len(texts))), texts)
+    # Items of the same words are as one: number 8 and the last share all their seeds.
+    assert np.unique(items.gram, return_counts=True)[1].max() <= 2 * decontam.MANY
+    assert set(items.item.tolist()) == set(range(len(texts)))
+    bench = spark.createDataFrame(list(enumerate(texts)), "item_id long, text string")
+    docs = [(1, " and ".join([phrase] * 50)), (2, f"x {phrase} {own[5]} y"), (3, "is true about " + own[5].replace("k5x4", "z")), (4, f"{phrase} {own[8]}")]
+    got = {(r.doc_id, r.item_id) for r in decontam.leaks(spark.createDataFrame(docs, "doc_id long, text string"), bench).collect()}
+    short = {3000, 3001, 3002}
+    assert {i for d, i in got if d == 1} == short
+    assert {i for d, i in got if d == 2} == {5} | short
+    assert {i for d, i in got if d == 3} == {5}
+    assert {i for d, i in got if d == 4} == {8, 3004} | short
+
+
+def test_items_of_shared_n_grams_keep_the_rarest():
+    draw = random.Random(3)
+    texts = [" ".join(draw.choices("ab", k=draw.randint(1, 12))) for _ in range(400)]
+    items = decontam.Items.of(list(range(400)), texts)
+    assert set(items.item.tolist()) == set(range(400))
+    for g, k, at, size in zip(items.gram, items.item, items.at, items.size):
+        part = decontam.Items.of([0], [" ".join(texts[k].split()[at : at + size])])
+        assert at + size <= len(texts[k].split()) and g in decontam._grams(part.words[0], size)

@@ -14,6 +14,7 @@ from pyspark.sql.types import StructType
 from ticketlab.llm.words import LETTERS_AND_DIGITS, Words, carrying, mix, runs
 
 GRAM = 3
+MANY = 8  # different items that may use an n-gram which is rare
 MATCH, MISMATCH, GAP = 2, -1, -1
 THRESHOLD = 0.5  # of the score of an unchanged copy
 BLOCK_WORDS = 1_000_000  # words of test items that are sent to the tasks at a time
@@ -25,38 +26,82 @@ def _grams(hashes: np.ndarray, size: int) -> np.ndarray:
     """Hash of the n-gram that begins at each word; none for the last size - 1 words."""
     n = max(0, len(hashes) - size + 1)
     with np.errstate(over="ignore"):
+        if size > GRAM:  # GRAM, doubled so many times: made of its halves
+            half = _grams(hashes, size // 2)
+            return mix(half[:n] * np.uint64(3) + half[size // 2 :][:n] + np.uint64(size))
         h = np.zeros(n, np.uint64)
         for k in range(size):
             h = mix(h + hashes[k : k + n] + np.uint64(size))
     return h
 
 
+def _seeds(words: np.ndarray, begin: np.ndarray, end: np.ndarray):
+    """(n-gram, item, place, size) of the seeds of the items ``words[begin[k]:end[k]]``.
+
+    At each place the n-gram is lengthened, by doubling, until at most MANY items use it;
+    one that reaches beyond its item before is no seed. An item left without any keeps
+    those of its longest n-grams that the fewest items use.
+    """
+    n = len(begin)
+    seeds, spare = [], []
+    for size in range(1, GRAM):  # shorter items are their own seed
+        mine = np.flatnonzero(end - begin == size)
+        seeds.append((_grams(words, size)[begin[mine]], mine, np.zeros_like(mine), np.full_like(mine, size)))
+    owner = np.repeat(np.arange(n), end - begin)
+    at, size = np.arange(len(words)), GRAM
+    while True:
+        at = at[at + size <= end[owner[at]]]
+        if not len(at):
+            break
+        gram, item = _grams(words, size)[at], owner[at]
+        names, which = np.unique(gram, return_inverse=True)
+        users = np.bincount(np.unique(which * n + item) // n, minlength=len(names))[which]
+        rows = (gram, item, at - begin[item], np.full_like(at, size))
+        rare = users <= MANY
+        seeds.append(tuple(x[rare] for x in rows))
+        spare.append((*(x[~rare] for x in rows), users[~rare]))
+        at, size = at[~rare], 2 * size
+    if spare:
+        gram, item, place, size, users = map(np.concatenate, zip(*spare))
+        seeded = np.zeros(n, bool)
+        seeded[np.concatenate([x[1] for x in seeds])] = True
+        best = np.full(n, 1 << 62)
+        order = users - size * (len(words) + 1)  # the longest, then those of the fewest users
+        np.minimum.at(best, item, order)
+        kept = ~seeded[item] & (order == best[item])
+        seeds.append(tuple(x[kept] for x in (gram, item, place, size)))
+    return tuple(map(np.concatenate, zip(*seeds)))
+
+
 @dataclass
 class Items:
-    """Test items as word hashes, with their n-grams in one sorted list."""
+    """Test items as word hashes, with their seeds in one sorted list."""
 
     ids: list
     words: list[np.ndarray]
-    gram: np.ndarray  # hash of each n-gram
+    gram: np.ndarray  # hash of each seed
     item: np.ndarray  # its item
     at: np.ndarray  # its place in the item
-    size: np.ndarray  # its words: GRAM, or the whole item if that is shorter
+    size: np.ndarray  # its words
 
     @classmethod
     def of(cls, ids: list, texts: list[str]) -> Items:
         split = Words(LETTERS_AND_DIGITS, latin=True)
-        words, parts = [], []
-        for k, text in enumerate(texts):
+        words = []
+        for text in texts:
             data = np.frombuffer((text or "").encode(), np.uint8)
-            w = split.of(data, np.array([0, len(data)]))[0]
-            words.append(w)
-            size = min(GRAM, len(w))
-            if size:
-                g = _grams(w, size)
-                parts.append((g, np.full(len(g), k), np.arange(len(g)), np.full(len(g), size)))
-        if not parts:
-            parts = [(np.zeros(0, np.uint64), *[np.zeros(0, np.int64)] * 3)]
-        gram, item, at, size = map(np.concatenate, zip(*parts))
+            words.append(split.of(data, np.array([0, len(data)]))[0])
+        alike: dict[bytes, list[int]] = {}  # items of the same words count once and share their seeds
+        for k, w in enumerate(words):
+            alike.setdefault(w.tobytes(), []).append(k)
+        groups = [np.array(g) for g in alike.values()]
+        end = np.cumsum([len(words[g[0]]) for g in groups], dtype=np.int64)
+        begin = np.concatenate((np.zeros(1, np.int64), end[:-1]))[: len(end)]
+        joined = np.concatenate([words[g[0]] for g in groups] or [np.zeros(0, np.uint64)])
+        gram, group, at, size = _seeds(joined, begin, end)
+        many = np.array([len(g) for g in groups], np.int64)[group] if len(group) else group
+        item = np.concatenate([groups[g] for g in group] or [np.zeros(0, np.int64)])
+        gram, at, size = (np.repeat(x, many) for x in (gram, at, size))
         order = np.argsort(gram, kind="stable")
         return cls(ids, words, gram[order], item[order], at[order], size[order])
 
@@ -194,9 +239,13 @@ def leaks(
     """(id, item, score, first_word, last_word) of test items found in documents.
 
     Words are runs of letters, digits and bytes above ASCII, ASCII and Latin-1 letters
-    lower-cased. Every n-gram of an item is a seed, so a copy is looked at wherever it
-    leaves GRAM neighbouring words as they are; one that leaves fewer everywhere is not
-    found, whatever its score. One pass over the documents finds the seeds and aligns
+    lower-cased. The seeds of an item are its rare n-grams: GRAM words, or where more
+    than MANY different items use those, twice as many and so on. So a copy is looked at
+    wherever it leaves GRAM neighbouring words as they are that few items share; one that
+    leaves fewer everywhere, or only words that many items begin or end with, is not
+    found, whatever its score. Each n-gram of a text leads to MANY different items at
+    most, but for items made of n-grams that many others hold throughout, whose longest
+    ones are their seeds. One pass over the documents finds the seeds and aligns
     the item with the words around them; ``score`` is the alignment's part of what an
     unchanged copy would get, from ``threshold`` to 1, and the best place in a document
     is given. Items go to the tasks in blocks of BLOCK_WORDS words, documents are never
