@@ -1,5 +1,6 @@
 """Joins, splits, policy, review, calibration and profile on small frames."""
 
+import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
@@ -229,10 +230,10 @@ def test_correlations_match_pandas(spark):
     assert profile.high_corr_pairs(df, ["a"]).count() == 0
 
 
-def test_correlation_passes_are_joined(spark, tickets, monkeypatch):
+def test_correlations_do_not_depend_on_how_states_meet(spark, tickets, monkeypatch):
     names = ["stake", "selection_odds", "odds_after_30", "odds_after_90", "oaf"]
     whole = rows(profile.corr_matrix(tickets, names), "feature_1", "feature_2")
-    monkeypatch.setattr(profile, "PAIRS_PER_PASS", 4)
+    monkeypatch.setattr(profile, "GROUPS", 3)
     assert rows(profile.corr_matrix(tickets, names), "feature_1", "feature_2") == whole
 
 
@@ -270,3 +271,34 @@ def test_split_with_missing_times(spark):
     assert [names[f"{i:04d}"] for i in (0, 99, 100, 149, 150, 179, 180, 199)] == [
         "train", "train", "val", "val", "val", "val", "test", "test",
     ]
+
+
+def test_correlations_of_33_columns_are_one_scan(spark, tmp_path):
+    """Against numpy over the rows where both are present, with gaps, large means and flat columns."""
+    draw = np.random.default_rng(4)
+    x = draw.normal(size=(3000, 33)) + draw.normal(size=(3000, 1))
+    x[:, 1] += 1e9
+    x[:, 2] = x[:, 1] * 3 + 7
+    x[:, 3] = 0.1
+    x[draw.random(x.shape) < 0.1] = np.nan
+    x[:, 5] = np.where(np.arange(3000) < 1, x[:, 5], np.nan)
+    names = [f"c{i}" for i in range(33)]
+    spark.createDataFrame([tuple(None if np.isnan(v) else float(v) for v in r) for r in x], ", ".join(f"{c} double" for c in names)).repartition(7).write.parquet(f"{tmp_path}/t")
+    df = spark.read.parquet(f"{tmp_path}/t")
+    got = profile.corr_matrix(df, names)
+    assert got._jdf.queryExecution().toString().split("== Physical Plan ==")[1].count("FileScan parquet") == 1
+    rows = {(r.feature_1, r.feature_2): r.correlation for r in got.collect()}
+    assert len(rows) == 33 * 33
+    for (a, b), r in rows.items():
+        i, j = names.index(a), names.index(b)
+        both = ~np.isnan(x[:, i]) & ~np.isnan(x[:, j])
+        if {i, j} & {3, 5}:
+            assert r is None
+        else:
+            u, v = (x[both, c] - x[both, c].mean() for c in (i, j))
+            assert r == pytest.approx((u @ v) / np.sqrt((u @ u) * (v @ v)), abs=1e-7)
+    nothing = profile.corr_with_target(df.limit(0), names[1:], "c0").collect()
+    assert len(nothing) == 32 and {r.abs_correlation for r in nothing} == {None}
+    odd = spark.createDataFrame([(1.0, float("inf")), (2.0, 3.0), (3.0, 1.0)], "a double, b double")
+    found = {(r.feature_1, r.feature_2): r.correlation for r in profile.corr_matrix(odd, ["a", "b"]).collect()}
+    assert found.pop(("a", "a")) == pytest.approx(1.0) and set(found.values()) == {None}
