@@ -16,8 +16,25 @@ from ticketlab.llm import decontam, language, packing, partenum
 from ticketlab.operators.order_stats import delete, pin, shared_folder
 
 
+# What a task hands to its Python worker at a time, whatever the lengths of the texts.
+BATCH = {
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "1000",
+    "spark.sql.execution.arrow.maxBytesPerBatch": str(4 << 20),
+}
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bounds the memory of workers; rows and results do not depend on it.
+
+    A stage is run after its function has returned, so the setting stays for the session.
+    """
+    for name, value in BATCH.items():
+        spark.conf.set(name, value)
+
+
 def languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps documents with a language that makes up half of the text or more."""
+    small_batches(spark)
     model = language.learn(docs.filter(F.col("doc_id").isNotNull() & ~language.held_out()))
     rows = docs.select(F.struct("*").alias("row"), "text")
     judged = language.identify(rows, model, id_col="row")
@@ -32,6 +49,7 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     whose name is kept and not repeated pass in the scan, those of the other names (and a
     few with the same hash) are the only ones that are shuffled.
     """
+    small_batches(spark)
     name = F.struct(F.col("doc_id").isNull(), "doc_id", F.xxhash64(*docs.columns))
     rows = docs.select(F.struct("*").alias("row"), name.alias("name"), "text")
     groups = partenum.similar_groups(rows, id_col="name")
@@ -48,11 +66,13 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps documents that hold no test item, neither as it is nor edited."""
+    small_batches(spark)
     return decontam.without_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of the documents in sequences of at most 4096 tokens."""
+    small_batches(spark)
     return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
