@@ -2,6 +2,7 @@
 
 import contextlib
 import io
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -64,6 +65,42 @@ def test_limited_read_and_conversion(spark, tickets, tmp_path):
     assert back.dtypes == [(f.name, f.dataType.simpleString()) for f in TICKETS]
 
 
+@pytest.mark.parametrize("ending", ["\n", "\r\n"])
+def test_first_bytes_hold_the_whole_lines(spark, tmp_path, monkeypatch, ending):
+    monkeypatch.setattr(files, "PROBE", 7)
+    path = tmp_path / "t.csv"
+    lines = ["bettor_id,mean_stake_size", *[f"b{i}é,{i}.5" for i in range(40)]]
+    raw = "".join(x + ending for x in lines).encode()
+    path.write_bytes(raw)
+    for limit in [*range(40, 90), len(raw) - 1, len(raw), len(raw) + 5]:
+        (whole,) = files.head_paths(spark, str(path), limit, f"{tmp_path}/copies")
+        part = raw[:limit]
+        with open(whole.removeprefix("file:"), "rb") as f:
+            assert f.read() == part[: part.rfind(b"\n") + 1]
+    head = files.read_csv(spark, files.head_paths(spark, str(path), 80, f"{tmp_path}/copies"), AGGREGATES["stake_size"])
+    assert [r.bettor_id for r in head.collect()] == [x.split(",")[0] for x in raw[:80].decode(errors="ignore").split(ending)[1:-1]]
+    with pytest.raises(ValueError, match="no whole line"):
+        files.head_paths(spark, str(path), 10)
+    with pytest.raises(ValueError, match="positive"):
+        files.head_paths(spark, str(path), 0)
+
+
+def test_first_bytes_of_a_folder_and_their_conversion(spark, tickets, tmp_path):
+    files.write_csv(tickets.repartition(5), f"{tmp_path}/t.csv")
+    parts = sorted((tmp_path / "t.csv").glob("part-*.csv"))
+    limit = sum(p.stat().st_size for p in parts[:2]) + parts[2].stat().st_size // 3
+    found = files.head_paths(spark, f"{tmp_path}/t.csv", limit, f"{tmp_path}/copies")
+    assert [f.removeprefix("file:") for f in found[:2]] == [str(p) for p in parts[:2]] and len(found) == 3
+    cut = parts[2].read_bytes()[: parts[2].stat().st_size // 3]
+    expected = sum(p.read_bytes().count(b"\n") - 1 for p in parts[:2]) + cut.count(b"\n") - 1
+    folder = order_stats.shared_folder(spark).removeprefix("file:")
+    before = set(Path(folder).iterdir())
+    done = jobs.convert(spark, f"{tmp_path}/t.csv", f"{tmp_path}/t", limit_bytes=limit).first()
+    assert done["n_rows"] == expected and done["csv_bytes"] == limit
+    assert set(Path(folder).iterdir()) == before
+    assert len(list((tmp_path / "t").glob("part-*.parquet"))) > 1
+
+
 def test_splits_are_reused_pruned_and_redone(spark, tickets, tmp_path):
     path = f"{tmp_path}/splits"
     calls = []
@@ -179,10 +216,6 @@ def test_one_shuffle_of_the_wide_rows(spark, tickets):
 
 
 def test_scratch_tables_are_removed(spark, tickets):
-    from pathlib import Path
-
-    from ticketlab.operators import order_stats
-
     folder = Path(order_stats.shared_folder(spark).removeprefix("file:"))
     before = set(folder.iterdir())
     order_stats.quantile_list(tickets, "stake", [0.5])

