@@ -216,9 +216,9 @@ def identify(
 
     ``lang_pred`` is the largest language of the selected mixture, ``share`` its part of
     the text, ``score`` that part times its posterior among the single languages. The
-    text alone is judged; ``id_col`` may be of any type, a struct of the whole row too. ``id_col`` may be of any type, a struct of the whole row too.
-    Null or empty texts, texts without a letter, and a model without
-    languages give ``und`` with 0. Repeated rows are judged one by one, other columns
+    text alone is judged; ``id_col`` may be of any type, a struct of the whole row too. Of
+    languages with equal shares the first in the model's order is taken. Null or empty
+    texts, texts without a letter, and a model without languages give ``und`` with 0. Repeated rows are judged one by one, other columns
     are ignored, an empty table gives an empty result. The model goes to every task; its
     size is the number of labels times CELLS.
     """
