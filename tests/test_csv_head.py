@@ -8,7 +8,6 @@ from test_star_once import small  # noqa: F401
 
 
 def test_rows_that_differ_or_repeat_are_counted(spark, small, monkeypatch):  # noqa: F811
-
     def head(spark, path, **_):
         rows = files.read_csv(spark, path, files.TICKETS, "null")
         first = rows.orderBy("ticket_id").limit(8)
